@@ -130,17 +130,21 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, share: float = ERROR_SHARE
     return out
 
 
+def _clean(shared, share: float):
+    """A test for texts in which no item of the broadcast block occurs."""
+
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher([t for _, t in shared.value], share)
+        for texts in batches:
+            yield pd.Series([not matcher.find(normal(t)) for t in texts], dtype=bool)
+
+    return F.pandas_udf(clean, "boolean")
+
+
 def without_benchmark(docs: DataFrame, items: DataFrame, share: float = ERROR_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs in which no benchmark item occurs, with their columns."""
     for block in _blocks(items, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def clean(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            matcher = Matcher([t for _, t in shared.value], share)
-            for texts in batches:
-                yield pd.Series([not matcher.find(normal(t)) for t in texts], dtype=bool)
-
-        docs = docs.where(F.pandas_udf(clean, "boolean")(F.coalesce("text", F.lit(""))))
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(block), share)(F.coalesce("text", F.lit(""))))
     return docs
 
 
