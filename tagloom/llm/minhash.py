@@ -24,8 +24,8 @@ from .components import components
 
 WORDS, BINS, ROWS = 5, 128, 4
 THRESHOLD = 0.85
-MARGIN = 0.2  # a signature agrees with the Jaccard value within 5 sigma at 128 bins
-SMALL = 64  # sets up to this size are confirmed whatever their signatures say
+MARGIN = 0.13  # four sigma of a signature of 128 bins at the threshold
+SMALL = 64  # sets up to this size are compared in full, as few bins of theirs are their own
 BLOCK = 1024
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -83,29 +83,30 @@ def signature(shingles: np.ndarray, bins: int = BINS) -> np.ndarray:
 
 
 def _sign(words: int, bins: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set1", pa.int64()), ("set2", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set1", pa.int64()), ("set2", pa.int64()), ("sig", pa.binary()), ("small", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         salt = np.arange(1, bins + 1, dtype=np.uint64) * _MIX
         for batch in batches:
-            n, one, two, sigs, bands = [], [], [], [], []
+            n, one, two, sigs, small, bands = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingler(text)
                 n.append(len(s))
                 if not len(s):
-                    one.append(0), two.append(0), sigs.append(b""), bands.append([])
+                    one.append(0), two.append(0), sigs.append(b""), small.append(b""), bands.append([])
                     continue
                 d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 one.append(int.from_bytes(d[:8], "little", signed=True)), two.append(int.from_bytes(d[8:], "little", signed=True))
                 sig = signature(s, bins)
                 sigs.append((sig & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
+                small.append(s.tobytes() if len(s) <= SMALL else b"")
                 keys = mix(sig + salt).reshape(-1, rows)
                 band = np.full(len(keys), 7, np.uint64)
                 for j in range(rows):
                     band = mix(band + _MIX + keys[:, j])
                 bands.append(band.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sigs, pa.binary()), pa.array(small, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -113,9 +114,14 @@ def _sign(words: int, bins: int, rows: int):
 def _may_link(threshold: float):
     """Whether two sets may reach the threshold, by their sizes and signatures."""
 
-    def test(na: np.ndarray, nb: np.ndarray, same: np.ndarray) -> np.ndarray:
-        sizes = np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9
-        return sizes & ((np.minimum(na, nb) <= SMALL) | (same >= threshold - MARGIN))
+    def test(na: np.ndarray, nb: np.ndarray, same: np.ndarray, sa, sb) -> np.ndarray:
+        out = np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9
+        full = (na <= SMALL) & (nb <= SMALL)
+        out &= full | (np.minimum(na, nb) <= SMALL) | (same >= threshold - MARGIN)
+        for i in np.flatnonzero(out & full):
+            both = len(np.intersect1d(np.frombuffer(sa[i], np.uint64), np.frombuffer(sb[i], np.uint64), assume_unique=True))
+            out[i] = both >= threshold * (na[i] + nb[i] - both) - 1e-9
+        return out
 
     return test
 
@@ -153,25 +159,25 @@ def near_dedup(docs: DataFrame, words: int = WORDS, num: int = 85, den: int = 10
     largest text. A row without doc_id keeps a null component and is kept. Other columns are
     not read; an empty table gives an empty result."""
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stage(rows_.mapInArrow(_sign(words, bins, rows), "doc_id long, n long, set1 long, set2 long, sig binary, bands array<long>"), "near-signed")
+    signed = stage(rows_.mapInArrow(_sign(words, bins, rows), "doc_id long, n long, set1 long, set2 long, sig binary, small binary, bands array<long>"), "near-signed")
     full = signed.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("n", "set1", "set2").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("bands").alias("bands"))
+    classes = full.groupBy("n", "set1", "set2").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("small").alias("small"), F.min("bands").alias("bands"))
     reps = stage(classes, "near-classes")
     buckets = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = buckets.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("rep").alias("centre")).where("m > 1")
     members = stage(buckets.join(shared, ["band", "key"]).select("band", "key", "rep", "centre", "m"), "near-members")
     may = _may_link(num / den)
 
-    def plausible(na: pd.Series, nb: pd.Series, sa: pd.Series, sb: pd.Series) -> pd.Series:
+    def plausible(na: pd.Series, nb: pd.Series, sa: pd.Series, sb: pd.Series, fa: pd.Series, fb: pd.Series) -> pd.Series:
         if not len(na):
             return pd.Series([], dtype=bool)
         a, b = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), bins) for s in (sa, sb))
-        return pd.Series(may(na.to_numpy(), nb.to_numpy(), (a == b).mean(axis=1)))
+        return pd.Series(may(na.to_numpy(), nb.to_numpy(), (a == b).mean(axis=1), list(fa), list(fb)))
 
-    sigs = reps.select("rep", "n", "sig")
+    sigs = reps.select("rep", "n", "sig", "small")
     stars = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stars.join(sigs.toDF("a", "na", "siga"), "a").join(sigs.toDF("b", "nb", "sigb"), "b")
-    stars = stars.where(F.pandas_udf(plausible, "boolean")("na", "nb", "siga", "sigb")).select("a", "b")
+    stars = stars.join(sigs.toDF("a", "na", "siga", "fa"), "a").join(sigs.toDF("b", "nb", "sigb", "fb"), "b")
+    stars = stars.where(F.pandas_udf(plausible, "boolean")("na", "nb", "siga", "sigb", "fa", "fb")).select("a", "b")
     done = stage(stars, "near-stars")
     links = stage(_confirmed(done, docs, words, num, den), "near-links")
     comps = stage(components(links), "near-comps")
@@ -182,7 +188,7 @@ def near_dedup(docs: DataFrame, words: int = WORDS, num: int = 85, den: int = 10
     open_ = now.join(apart, ["band", "key"]).join(sigs, "rep")
     # a large bucket is compared block by block, each pair of blocks in a group of its own
     open_ = open_.withColumn("nb", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("band", "key", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "blk", "rep", "comp", "n", "sig")
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("band", "key", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "blk", "rep", "comp", "n", "sig", "small")
 
     def across(group: pd.DataFrame) -> pd.DataFrame:
         x, y = group.x.iloc[0], group.y.iloc[0]
@@ -190,11 +196,14 @@ def near_dedup(docs: DataFrame, words: int = WORDS, num: int = 85, den: int = 10
         out_a, out_b = [], []
         if len(left) and len(right):
             sr, nr, cr, ir = np.frombuffer(b"".join(right.sig), np.uint16).reshape(len(right), bins), right.n.to_numpy(), right.comp.to_numpy(), right.rep.to_numpy()
-            for sig, n, comp, rep in zip(left.sig, left.n, left.comp, left.rep):
+            fr, band = right.small.to_numpy(), int(group.band.iloc[0])
+            for sig, n, comp, rep, small in zip(left.sig, left.n, left.comp, left.rep, left.small):
                 ask = np.flatnonzero((cr != comp) & ((ir > rep) if x == y else True) & (np.minimum(nr, n) >= num / den * np.maximum(nr, n) - 1e-9))
                 if len(ask):
-                    same = (sr[ask] == np.frombuffer(sig, np.uint16)).mean(axis=1)
-                    ask = ask[may(np.full(len(ask), n), nr[ask], same)]
+                    equal = sr[ask] == np.frombuffer(sig, np.uint16)
+                    first = equal.reshape(len(ask), -1, rows).all(axis=2).argmax(axis=1) >= band  # earlier shared buckets have dealt with the others
+                    ask, equal = ask[first], equal[first]
+                    ask = ask[may(np.full(len(ask), n), nr[ask], equal.mean(axis=1), [small] * len(ask), list(fr[ask]))]
                     out_a += [min(rep, i) for i in ir[ask]]
                     out_b += [max(rep, i) for i in ir[ask]]
         return pd.DataFrame({"a": pd.Series(out_a, dtype="int64"), "b": pd.Series(out_b, dtype="int64")})
