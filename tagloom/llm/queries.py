@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontamination, exact_dedup, language_id, license_scan, line_dedup, lm_scoring, minhash, packing, toxicity
+from . import decontamination, exact_dedup, language_id, license_scan, line_dedup, lm_scoring, minhash, packing, repeats, toxicity
 
 QUERIES = {
     "op1_near_dedup": minhash.op1_near_dedup,
     "op2_decontamination": decontamination.op2_decontamination,
+    "op3_repeats": repeats.op3_repeats,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_packing": packing.op6_packing,
