@@ -12,8 +12,8 @@ narrowed down by content-defined anchors, so that only what may repeat is looked
 4. windows: only where one core has different covers are single windows compared, one
    set for each different cover.
 
-Equal windows have equal leaders and cores at equal offsets, so nothing is missed. The
-corpus is written once, bucketed by row; all later joins on the row read it in place.
+Equal windows have equal leaders and cores at equal offsets, so nothing is missed. Texts
+with a repeated leader are written once, bucketed by row; later joins read them in place.
 """
 
 from __future__ import annotations
@@ -157,10 +157,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     span = length // 2 + 4
     name = f"repeats_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    corpus = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # the numbers are the same whenever a file scan is repeated, and fixed once written
-    corpus.repartition(buckets, "row").write.bucketBy(buckets, "row").sortBy("row").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    corpus = spark.table(name)
+    # the numbers are the same whenever a file scan is repeated
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    digests = stage(rows.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("kept_sha256")), "repeats-digests")
 
     def leaders(text: bytes):
         if len(text) < length:
@@ -171,10 +170,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return h(lead[a], lead[a] + gram).view(np.int64), a, b
 
     schema = _schema(g="long", a="int", b="int")
-    led = stage(corpus.select("row", "text").mapInArrow(_rows(schema, leaders), _ddl(schema)), "repeats-leaders")
+    led = stage(rows.select("row", "text").mapInArrow(_rows(schema, leaders), _ddl(schema)), "repeats-leaders")
     twice = led.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     ranges = led.join(twice, "g", "left_semi").groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
+    # rows that may lose something, bucketed by number: later joins read them in place
+    found = rows.join(ranges, "row")
+    found.write.bucketBy(buckets, "row").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    corpus = spark.table(name)
+
     def cores(text: bytes, ranges: list[dict]):
         h = Hashes(text)
         ends = _anchors(h, core, span)
@@ -187,12 +191,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return inner.view(np.int64), cover.view(np.int64), a, b
 
     schema = _schema(core="long", cover="long", a="int", b="int")
-    joined = corpus.select("row", "text").join(ranges, "row")
-    cored = stage(joined.mapInArrow(_rows(schema, cores), _ddl(schema)), "repeats-cores")
-    classes = cored.groupBy("core", "cover").agg(F.count("*").alias("n"), F.min(F.struct("row", "a", "b")).alias("one"))
+    cored = stage(corpus.select("row", "text", "ranges").mapInArrow(_rows(schema, cores), _ddl(schema)), "repeats-cores")
+    classes = cored.groupBy("cover").agg(F.min("core").alias("core"), F.count("*").alias("n"), F.min(F.struct("row", "a", "b")).alias("one"))
     classes = stage(classes, "repeats-classes")
     mixed = classes.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
-    whole = cored.join(classes.where("n > 1").select("core", "cover"), ["core", "cover"], "left_semi").select("row", "a", "b")
+    whole = cored.select("cover", "row", "a", "b").join(classes.where("n > 1").select("cover"), "cover", "left_semi").select("row", "a", "b")
     apart = classes.join(mixed, "core", "left_semi").select("one.row", F.struct("one.a", "one.b", F.col("n").cast("int").alias("n")).alias("r")).groupBy("row").agg(F.collect_list("r").alias("ranges"))
 
     def windows(text: bytes, ranges: list[dict]):
@@ -205,7 +208,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     seen = stage(corpus.select("row", "text").join(apart, "row").mapInArrow(_rows(schema, windows), _ddl(schema)), "repeats-windows")
     again = seen.groupBy("w").agg(F.count("*").alias("k")).where("k > 1").select("w")
     single = seen.where("n = 1").join(again, "w", "left_semi").select("row", F.col("at").alias("a"), F.col("at").alias("b"))
-    gone = whole.union(single).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    lost = stage(whole.union(single), "repeats-lost")
+    gone = lost.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +228,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 cols[3].append(hashlib.sha256(data[~off].tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3])], schema=out)
 
-    return corpus.join(gone, "row", "left").select("doc_id", "text", "ranges").mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    changed = corpus.drop("ranges").join(gone, "row").select("doc_id", "text", "ranges").mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    same = digests.join(lost.select("row").distinct(), "row", "left_anti")
+    zero = F.lit(0).cast("long")
+    return changed.unionByName(same.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256"))
 
 
 def op3_repeats(spark, sf_dir):
