@@ -24,8 +24,8 @@ from .components import components
 
 WORDS, BINS, ROWS = 5, 128, 4
 THRESHOLD = 0.85
-MARGIN = 0.13  # four sigma of a signature of 128 bins at the threshold
-SMALL = 64  # sets up to this size are compared in full, as few bins of theirs are their own
+SIGMAS = 4.5  # a signature may fall short of the threshold by so much of its own spread
+SMALL = 64  # pairs with a set up to this size are compared in full inside their bucket
 BLOCK = 1024
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -100,7 +100,7 @@ def _sign(words: int, bins: int, rows: int):
                 one.append(int.from_bytes(d[:8], "little", signed=True)), two.append(int.from_bytes(d[8:], "little", signed=True))
                 sig = signature(s, bins)
                 sigs.append((sig & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
-                small.append(s.tobytes() if len(s) <= SMALL else b"")
+                small.append(s.tobytes() if len(s) <= 2 * SMALL else b"")
                 keys = mix(sig + salt).reshape(-1, rows)
                 band = np.full(len(keys), 7, np.uint64)
                 for j in range(rows):
@@ -115,9 +115,10 @@ def _may_link(threshold: float):
     """Whether two sets may reach the threshold, by their sizes and signatures."""
 
     def test(na: np.ndarray, nb: np.ndarray, same: np.ndarray, sa, sb) -> np.ndarray:
-        out = np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9
-        full = (na <= SMALL) & (nb <= SMALL)
-        out &= full | (np.minimum(na, nb) <= SMALL) | (same >= threshold - MARGIN)
+        least, most = np.minimum(na, nb), np.maximum(na, nb)
+        own = BINS * (1 - np.exp(-least / BINS))  # bins that are filled, not taken over
+        out = (least >= threshold * most - 1e-9) & (same >= threshold - SIGMAS * np.sqrt(threshold * (1 - threshold) / np.maximum(own, 1)))
+        full = (least <= SMALL) & (most <= 2 * SMALL)
         for i in np.flatnonzero(out & full):
             both = len(np.intersect1d(np.frombuffer(sa[i], np.uint64), np.frombuffer(sb[i], np.uint64), assume_unique=True))
             out[i] = both >= threshold * (na[i] + nb[i] - both) - 1e-9
