@@ -127,6 +127,62 @@ def _may_link(threshold: float):
     return test
 
 
+def _across(rows: int, threshold: float):
+    """A mapInArrow function over rows (band, key, x, y, blk, rep, comp, n, sig, small) that
+    are sorted by their first four columns: pairs of one group that are in different
+    components and may reach the threshold. The last group of a batch waits for the next."""
+    may = _may_link(threshold)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        band, key, x, y, blk, rep, comp, n = (part.column(k).to_numpy() for k in ("band", "key", "x", "y", "blk", "rep", "comp", "n"))
+        new = np.ones(len(key), bool)
+        new[1:] = (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        first = np.flatnonzero(new)
+        left = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key)))) - np.arange(len(key))  # rows of the group from here on
+        sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(len(key), -1)
+        small = part.column("small").to_pylist()
+        out_a, out_b = [rep[:0]], [rep[:0]]
+        at = np.flatnonzero(left > 1)
+        for step in range(1, int(left.max(initial=1))):
+            at = at[left[at] > step]
+            other = at + step
+            ask = (comp[at] != comp[other]) & (rep[at] != rep[other]) & ((x[at] == y[at]) | (blk[at] != blk[other]))
+            ask &= np.minimum(n[at], n[other]) >= threshold * np.maximum(n[at], n[other]) - 1e-9
+            for i in np.array_split(at[ask], ask.sum() // 8192 + 1):
+                if not len(i):
+                    continue
+                j = i + step
+                equal = sig[i] == sig[j]
+                fresh = equal.reshape(len(i), -1, rows).all(axis=2).argmax(axis=1) >= band[i]  # earlier shared buckets have dealt with the others
+                i, j, equal = i[fresh], j[fresh], equal[fresh]
+                if len(i):
+                    ok = may(n[i], n[j], equal.mean(axis=1), [small[k] for k in i], [small[k] for k in j])
+                    out_a.append(np.minimum(rep[i[ok]], rep[j[ok]])), out_b.append(np.maximum(rep[i[ok]], rep[j[ok]]))
+        return np.concatenate(out_a), np.concatenate(out_b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            if kept is not None:
+                part = pa.concat_tables([kept, part])
+            if not part.num_rows:
+                continue
+            ends = np.zeros(part.num_rows, bool)
+            for k in ("band", "key", "x", "y"):
+                col = part.column(k).to_numpy()
+                ends |= col != col[-1]
+            cut = int(ends.sum())  # sorted, so the last group is the rest
+            kept = part.slice(cut)
+            if cut:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs(part.slice(0, cut))], schema=schema)
+        if kept is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs(kept)], schema=schema)
+
+    return run
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Of candidate pairs (a, b), those whose full sets have den * |intersection| >= num * |union|."""
 
@@ -191,25 +247,9 @@ def near_dedup(docs: DataFrame, words: int = WORDS, num: int = 85, den: int = 10
     open_ = open_.withColumn("nb", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("band", "key", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "blk", "rep", "comp", "n", "sig", "small")
 
-    def across(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = group.x.iloc[0], group.y.iloc[0]
-        left, right = group[group.blk == x], group[group.blk == y]
-        out_a, out_b = [], []
-        if len(left) and len(right):
-            sr, nr, cr, ir = np.frombuffer(b"".join(right.sig), np.uint16).reshape(len(right), bins), right.n.to_numpy(), right.comp.to_numpy(), right.rep.to_numpy()
-            fr, band = right.small.to_numpy(), int(group.band.iloc[0])
-            for sig, n, comp, rep, small in zip(left.sig, left.n, left.comp, left.rep, left.small):
-                ask = np.flatnonzero((cr != comp) & ((ir > rep) if x == y else True) & (np.minimum(nr, n) >= num / den * np.maximum(nr, n) - 1e-9))
-                if len(ask):
-                    equal = sr[ask] == np.frombuffer(sig, np.uint16)
-                    first = equal.reshape(len(ask), -1, rows).all(axis=2).argmax(axis=1) >= band  # earlier shared buckets have dealt with the others
-                    ask, equal = ask[first], equal[first]
-                    ask = ask[may(np.full(len(ask), n), nr[ask], equal.mean(axis=1), [small] * len(ask), list(fr[ask]))]
-                    out_a += [min(rep, i) for i in ir[ask]]
-                    out_b += [max(rep, i) for i in ir[ask]]
-        return pd.DataFrame({"a": pd.Series(out_a, dtype="int64"), "b": pd.Series(out_b, dtype="int64")})
-
-    rest = open_.groupBy("band", "key", "x", "y").applyInPandas(across, "a long, b long").distinct().join(done, ["a", "b"], "left_anti")
+    # all comparisons of a group lie together and in order, many groups to a batch
+    open_ = open_.repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y")
+    rest = open_.mapInArrow(_across(rows, num / den), "a long, b long").distinct().join(done, ["a", "b"], "left_anti")
     rest = stage(rest, "near-rest")
     if not rest.isEmpty():
         links = links.unionByName(_confirmed(rest, docs, words, num, den))
