@@ -200,7 +200,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int
             out.append(den * both >= num * (len(x) + len(y) - both) and both > 0)
         return pd.Series(out, dtype=bool)
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # written first: its size is then known when the join with the texts is planned, so
+    # that texts are shuffled only where the ids are too many to broadcast
+    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
     full = stage(texts.select("doc_id", F.pandas_udf(sets, "binary")("text").alias("s")), "near-sets")
     both = pairs.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b")
