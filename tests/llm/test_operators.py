@@ -234,3 +234,32 @@ def test_toxicity(spark):
     truth = np.array(["badword" in (t or "") for _, t in docs])
     assert (got.predicted.reindex([i for i, _ in docs]).to_numpy() == truth).mean() > 0.99
     assert toxicity.toxicity(d, lab.limit(0)).toPandas().predicted.sum() == 0
+
+
+def test_bucket_comparison_does_not_depend_on_batches():
+    """Groups that are cut by the ends of batches give the pairs of a plain double loop."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tagloom.llm.minhash import _across
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for key in range(12):
+        base = rng.integers(0, 9, 128).astype(np.uint16)
+        for k in range(int(rng.integers(1, 9))):
+            sig = base.copy()
+            sig[rng.integers(4, 128, int(rng.integers(0, 40)))] += 1
+            rows.append({"band": 0, "key": key, "x": 0, "y": key % 2, "blk": k % 2 * (key % 2), "rep": key * 100 + k, "comp": key * 100 + k // 2, "n": 1000, "sig": sig.tobytes(), "small": b""})
+    sigs = [np.frombuffer(r["sig"], np.uint16) for r in rows]
+    least = 0.85 - 4.5 * np.sqrt(0.85 * 0.15 / (128 * (1 - np.exp(-1000 / 128))))
+    want = {
+        (r["rep"], o["rep"]) for i, r in enumerate(rows) for j, o in enumerate(rows)
+        if i < j and r["key"] == o["key"] and r["comp"] != o["comp"] and (r["x"] == r["y"] or r["blk"] != o["blk"]) and (sigs[i] == sigs[j]).mean() >= least
+    }
+    table = pa.Table.from_pylist(rows, schema=pa.schema([("band", pa.int32()), ("key", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("blk", pa.int32()), ("rep", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("small", pa.binary())]))
+    assert want
+    for size in (1, 3, 7, 1000):
+        got = [p for b in _across(4, 0.85)(iter(table.to_batches(max_chunksize=size))) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        assert sorted(got) == sorted(want)
+    assert list(_across(4, 0.85)(iter([]))) == []
