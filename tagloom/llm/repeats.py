@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stage, table
+from .common import shared_dir, shuffles_given_up, stage, table
 
 LENGTH = 200
 PRIMES = (2147483647, 2147483629)
@@ -176,7 +176,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     # rows that may lose something, bucketed by number: later joins read them in place
     found = rows.join(ranges, "row")
-    found.write.bucketBy(buckets, "row").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    with shuffles_given_up(spark):
+        found.write.bucketBy(buckets, "row").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     corpus = spark.table(name)
 
     def cores(text: bytes, ranges: list[dict]):
