@@ -22,7 +22,7 @@ from .common import held_out, stage, table
 
 VOCABULARY = 2048  # words that the network predicts one by one
 BROADCAST = 150_000  # frequent words whose counts every task holds; all others are joined
-TRAIN_SHARE = 16  # the network learns from one training text in so many; counts cover all
+TRAIN_SHARE = 1  # the network learns from one training text in so many: from all of them
 WORKERS = 32  # at most so many models are trained side by side and averaged
 WORKER_TOKENS = 250_000  # tokens for each of them at least
 END = b""

@@ -190,6 +190,12 @@ def test_lm(spark, texts):
         assert got[i].score < 0
 
 
+def test_lm_learns_from_every_training_text(spark, texts):
+    rows = table(spark, texts)
+    score = lambda **how: {r.doc_id: r.score for r in lm_scoring.lm_score(rows, vocabulary=20, broadcast=50, **how).collect()}
+    assert score() == pytest.approx(score(share=1), rel=1e-6)
+
+
 def test_gru_is_a_distribution_and_learns():
     p = gru.init(np.array([5, 4, 3, 2, 1]), 3, 0)
     text = [np.array([1, 2, 1, 2, 1, 2, 0] * 5)] * 40
