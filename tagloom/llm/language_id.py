@@ -1,7 +1,8 @@
 """Language identification by word-first backoff.
 
-A word that the model knows adds its log frequency in each language. For an unseen word the
-longest character n-grams of which at least one is known stand in, from long to short.
+A word that the training texts hold adds its log frequency in each language. For an unseen
+word the longest character n-grams of which at least one is known stand in, from long to
+short. Every task holds the frequent words of each language; all others are joined.
 """
 
 from __future__ import annotations
@@ -12,13 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, stage, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
-MAX_WORDS, MAX_GRAMS, GRAM = 100_000, 50_000, 3
+CACHED_WORDS = 100_000  # frequent words that every task holds, shared out equally among the languages
+GRAM = 3
 _FLUSH = 400_000
 
 
@@ -43,107 +47,119 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out()
 
 
-def _most_frequent(counts: DataFrame, key: str, most: int) -> DataFrame:
-    """Entries of ``key`` whose total count reaches the least level at which at most about
-    ``most`` entries stay. The level comes from a histogram, so nothing is sorted."""
-    totals = counts.groupBy(key).agg(F.sum("n").alias("total"))
-    level = F.floor(F.log2("total") * 16).cast("int")
-    hist = totals.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
-    least, seen = 0, 0
-    for h in hist:
-        seen += h["count"]
-        if seen > most:
-            least = h["level"] + 1
-            break
-    return totals.where(level >= least).select(key)
+def _grams(word: str) -> Column:
+    """All n-grams of a word between two spaces, as often as they occur."""
+    padded = F.concat(F.lit(" "), word, F.lit(" "))
+
+    def of(k: int) -> Column:  # a lambda with k as its second parameter would get the position as k
+        return F.transform(F.sequence(F.lit(1), F.length(padded) - (k - 1)), lambda i: F.substring(padded, i, F.lit(k)))
 
+    return F.flatten(F.array(*[of(k) for k in range(1, GRAM + 1)]))
 
-def learn(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> tuple[list[str], dict, list[dict]]:
-    """Languages, word table and n-gram tables (by length) of log frequencies.
 
-    Counts cover every training row; the model keeps the most frequent words and n-grams,
-    up to the bounds, so it fits a broadcast whatever the corpus."""
+def _least_levels(counts: DataFrame, langs: list[str], most: int) -> Column:
+    """Whether a row of (lang, n) is among the most // len(langs) frequent of its language.
+    The bound comes from a histogram, so nothing is sorted."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    hist = counts.groupBy("lang", level.alias("level")).count().orderBy("lang", F.desc("level")).collect()
+    seen: dict[str, int] = dict.fromkeys(langs, 0)
+    least: dict[str, int] = dict.fromkeys(langs, 0)
+    full = set()
+    for h in hist:
+        seen[h["lang"]] += h["count"]
+        if seen[h["lang"]] > most // len(langs) and h["lang"] not in full:
+            full.add(h["lang"])
+            least[h["lang"]] = h["level"] + 1
+    out = F.lit(False)
+    for x in langs:
+        out = F.when(F.col("lang") == x, level >= least[x]).otherwise(out)
+    return out
+
+
+def learn(docs: DataFrame, cached: int = CACHED_WORDS) -> tuple[list[str], DataFrame | None, DataFrame | None]:
+    """Languages, all words (word, cached, v) and all n-grams (gram, v); v holds the log
+    frequency in each language. Counts cover every training row and none is left out."""
     train = docs.where("not crc32(cast(cast(doc_id as string) as binary)) % 3 = 1 and lang is not null and text is not null").select("lang", "text")
     words = stage(train.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
     langs = sorted(r[0] for r in train.select("lang").distinct().collect())
-    index = {x: i for i, x in enumerate(langs)}
-    padded = F.concat(F.lit(" "), "word", F.lit(" "))
-    grams = words.select("lang", "n", F.explode(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (k - 1), F.lit(1))), lambda i, k=k: F.substring(padded, i, k)) for k in range(1, GRAM + 1)]))).alias("gram"))
+    if not langs:
+        return langs, None, None
+    grams = words.select("lang", "n", F.explode(_grams("word")).alias("gram"))
     grams = stage(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
 
-    def logs(counts: DataFrame, key: str, most: int, size=None) -> dict:
-        kept = counts.join(_most_frequent(counts, key, most), key, "left_semi")
-        total = {(r[0], r[1]): r[2] for r in counts.groupBy("lang", (size if size is not None else F.lit(0)).alias("size")).agg(F.sum("n")).collect()}
-        table_: dict[str, np.ndarray] = {}
-        for r in kept.select(key, "lang", "n").toPandas().itertuples(index=False):
-            table_.setdefault(r[0], np.zeros(len(langs)))[index[r[1]]] = r[2]
-        for w, v in table_.items():
-            n = np.array([total.get((x, len(w) if size is not None else 0), 0) for x in langs], float)
-            table_[w] = np.log((v + 0.5) / (n + 0.5 * len(table_) + 1)).astype(np.float32)
-        return table_
-
-    by_gram = logs(grams, "gram", max_grams, F.length("gram"))
-    return langs, logs(words, "word", max_words), [{g: v for g, v in by_gram.items() if len(g) == k} for k in range(1, GRAM + 1)]
-
-
-def word_scores(word: str, words: dict, grams: list[dict]) -> np.ndarray | None:
-    """Log frequencies of a word by language; of its longest known n-grams if unseen."""
-    known = words.get(word)
-    if known is not None:
-        return known
-    padded = f" {word} "
-    for k in range(len(grams), 0, -1):
-        found = [v for v in (grams[k - 1].get(padded[i:i + k]) for i in range(len(padded) - k + 1)) if v is not None]
-        if found:
-            return np.mean(found, axis=0)
-    return None
-
-
-def language_id(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> DataFrame:
+    def logs(counts: DataFrame, key: str, size: Column, frequent: Column) -> DataFrame:
+        total = {(r[0], r[1]): r[2] for r in counts.groupBy("lang", size.alias("size")).agg(F.sum("n")).collect()}
+        sizes = sorted({k for _, k in total})
+        by_key = counts.withColumn("frequent", frequent).groupBy(key).agg(F.max("frequent").alias("cached"), *[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)])
+        by_key = stage(by_key, f"lang-{key}-counts")
+        kinds = by_key.count()
+
+        def of(i: int, x: str) -> Column:
+            whole = F.lit(0)
+            for k in sizes:
+                whole = F.when(size == k, F.lit(total.get((x, k), 0))).otherwise(whole)
+            return F.log((F.col(f"n{i}") + 0.5) / (whole + 0.5 * kinds + 1)).cast("float")
+
+        return by_key.select(key, "cached", F.array(*[of(i, x) for i, x in enumerate(langs)]).alias("v"))
+
+    return langs, logs(words, "word", F.lit(0), _least_levels(words, langs, cached)), logs(grams, "gram", F.length("gram"), F.lit(False)).drop("cached")
+
+
+def _unseen(unseen: DataFrame, grams: DataFrame, n: int) -> DataFrame:
+    """(word, v): the mean over the longest n-grams of each word of which any is known."""
+    found = unseen.select("word", F.explode(_grams("word")).alias("gram")).join(grams, "gram")
+    means = found.groupBy("word", F.length("gram").alias("k")).agg(F.array(*[F.avg(F.col("v")[i]) for i in range(n)]).alias("v"))
+    return means.groupBy("word").agg(F.max_by("v", "k").cast("array<float>").alias("v"))
+
+
+def language_id(docs: DataFrame, cached: int = CACHED_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score.
 
     score is the posterior of the predicted language under equal priors. A null text or one
     without a letter gives `und` and 0, as do all rows when nothing was learned. Ties go to
     the first language by spelling. Repeated rows are predicted alike; of the other
-    columns only lang of training rows is read."""
-    model = learn(docs, max_words, max_grams)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        langs, words, grams = shared.value
-        # the known words as rows of one matrix; unseen words are added while there is room
-        ids = {w: i for i, w in enumerate(words)}
-        matrix = np.zeros((len(ids) + 200_000, max(1, len(langs))), np.float32)
-        if words:
-            matrix[: len(ids)] = np.stack(list(words.values()))
-        for texts in batches:
-            out = []
-            for text in texts:
+    columns only lang of training rows is read. About ``cached`` words are held by every
+    task; the counts of all others come by a join on the word, so the bound changes the
+    speed and not the result."""
+    held = held_out(F.col("doc_id"), 3, 1).alias("held_out")
+    langs, words, grams = learn(docs, cached)
+    if not langs:
+        return docs.select("doc_id", held, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    n = len(langs)
+    kept = words.where("cached").select("word", "v").toPandas()
+    shared = docs.sparkSession.sparkContext.broadcast((list(kept.word), np.array(kept.v.tolist(), np.float32).reshape(-1, n)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = shared.value
+        ids = {w: i for i, w in enumerate(names)}
+        row = TaskContext.get().partitionId() << 33  # the rows are written once, so this names them
+        for batch in batches:
+            cols: list[list] = [[], [], [], []]
+            for text in batch.column(1).to_pylist():
                 found = words_of(text)
-                if not found or not langs:
-                    out.append(("und", 0.0))
-                    continue
-                rows, more = [], np.zeros(len(langs))
-                for w in found:
-                    i = ids.get(w)
-                    if i is None:
-                        v = word_scores(w, words, grams)
-                        v = np.zeros(len(langs)) if v is None else v
-                        if len(ids) < len(matrix):
-                            i = ids[w] = len(ids)
-                            matrix[i] = v
-                        else:
-                            more += v
-                            continue
-                    rows.append(i)
-                total = more + matrix[rows].sum(axis=0, dtype=np.float64)
-                p = np.exp(total - total.max())
-                best = int(total.argmax())
-                out.append((langs[best], float(p[best] / p.sum())))
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
-
-    got = docs.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), F.pandas_udf(predict, "lang_pred string, score double")(F.coalesce("text", F.lit(""))).alias("p"))
-    return got.select("doc_id", "held_out", "p.lang_pred", "p.score")
+                at = [ids.get(w, -1) for w in found]
+                cols[0].append(row)
+                cols[1].append(len(found))
+                cols[2].append(matrix[[i for i in at if i >= 0]].sum(axis=0, dtype=np.float64).tolist())
+                cols[3].append([w for w, i in zip(found, at) if i < 0])
+                row += 1
+            made = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.float64())), pa.array(cols[3], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "row", "n", "own", "rare"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scored = stage(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, row long, n long, own array<double>, rare array<string>"), "lang-scored")
+    rare = scored.select("row", F.explode("rare").alias("word"))
+    others = words.where("not cached").select("word", "v")
+    unseen = stage(rare.select("word").distinct().join(others, "word", "left_anti"), "lang-unseen")
+    vectors = others.unionByName(_unseen(unseen, grams, n))
+    more = rare.join(vectors, "word").groupBy("row").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(n)]).alias("more"))
+    out = scored.select("doc_id", "row", "n", "own").join(more, "row", "left")
+    out = out.withColumn("t", F.when(F.col("more").isNull(), F.col("own")).otherwise(F.zip_with("own", "more", lambda a, b: a + b)))
+    best = F.array_max("t")
+    lang = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("t", best).cast("int"))
+    share = 1 / F.aggregate(F.transform("t", lambda x: F.exp(x - best)), F.lit(0.0), lambda a, x: a + x)
+    some = F.col("n") > 0
+    return out.select("doc_id", held, F.when(some, lang).otherwise("und").alias("lang_pred"), F.when(some, share).otherwise(0.0).alias("score"))
 
 
 def op9_language_id(spark, sf_dir):

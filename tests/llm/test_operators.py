@@ -226,6 +226,42 @@ def test_language(spark):
     assert [(r.lang_pred, r.score) for r in empty] == [("und", 0.0)]
 
 
+def test_language_counts_every_word_and_ngram(spark):
+    """A small cache gives what a model of all words and n-grams gives."""
+    rng = random.Random(12)
+    rows = [(i, words(rng, 6) + " common " * (i % 4), "bb" if i % 9 else "aa") for i in range(60)] + [(70, "QQ!", "aa"), (71, "", "aa"), (72, "cab zzz", None)]
+    train = [r for r in rows if r[2] and zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    whole, grams = Counter(), Counter()
+    for _, text, lang in train:
+        whole.update((lang, w) for w in language_id.words_of(text))
+    for (lang, w), n in whole.items():
+        for k in (1, 2, 3):
+            for i in range(len(w) + 3 - k):
+                grams[lang, f" {w} "[i:i + k]] += n
+    kinds, gram_kinds = len({w for _, w in whole}), len({g for _, g in grams})
+
+    def logs(counts, key, kinds, same):
+        return np.array([math.log((counts[x, key] + 0.5) / (sum(n for (y, g), n in counts.items() if x == y and same(g)) + 0.5 * kinds + 1)) for x in ("aa", "bb")])
+
+    def of(w):
+        if any(whole[x, w] for x in ("aa", "bb")):
+            return logs(whole, w, kinds, lambda g: True)
+        for k in (3, 2, 1):
+            found = [g for g in (f" {w} "[i:i + k] for i in range(len(w) + 3 - k)) if grams["aa", g] or grams["bb", g]]
+            if found:
+                return np.mean([logs(grams, g, gram_kinds, lambda x: len(x) == k) for g in found], axis=0)
+        return np.zeros(2)
+
+    got = {r.doc_id: r for r in language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 4).collect()}
+    assert len(got) == len(rows)
+    for i, text, _ in rows:
+        found = language_id.words_of(text)
+        t = sum(map(of, found), np.zeros(2))
+        p = np.exp(t - t.max())
+        assert math.isclose(got[i].score, p.max() / p.sum() if found else 0, rel_tol=1e-4)
+        assert got[i].lang_pred == (("aa", "bb")[int(p.argmax())] if found else "und")
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     docs, labels = [], []
