@@ -69,10 +69,19 @@ def _share(tokens: list[str], prefix: list[str], need: int):
     return of
 
 
+def _wrapped(tokens: list[str], length: int) -> Column:
+    """The largest share of a template's tokens in as many consecutive words of ws as the
+    template has, whatever lines they stand on. A window may start at its first token."""
+    starts = F.filter(F.sequence(F.lit(1), F.size("ws")), lambda i: F.array_contains(_strings(tokens), F.element_at("ws", i)))
+    held = F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("ws", i, length), _strings(tokens))) / F.lit(len(tokens)))
+    return F.coalesce(F.array_max(held), F.lit(0.0))
+
+
 def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word,
-    base_labels, labels, score (the largest share of a template that one line holds where
-    it reaches the threshold, 1 where a base phrase is found, else 0).
+    base_labels, labels, score (the largest share of a template that one line, or a run of
+    words as long as the template over any lines, holds where it reaches the threshold, 1
+    where a base phrase is found, else 0).
 
     A null or empty text gives zero counts, null positions and empty labels. Rows are
     independent, so repeated rows and ids are kept; other columns are not read."""
@@ -96,7 +105,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
         for token in prefix:
             maybe = F.col("t").contains(token) if maybe is None else maybe | F.col("t").contains(token)
 
-        best = F.when(maybe, F.array_max(F.transform(F.split("t", "\n"), _share(tokens, prefix, need)))).otherwise(F.lit(0.0))
+        best = F.when(maybe, F.greatest(F.array_max(F.transform(F.split("t", "\n"), _share(tokens, prefix, need))), _wrapped(tokens, len(template.split())))).otherwise(F.lit(0.0))
         shares.append(best)
         found.append(label)
     rows = rows.select("doc_id", F.when(F.col("w") == "", F.lit(0)).otherwise(F.size("ws")).cast("long").alias("n_words"), F.flatten(F.array(*places)).alias("places"), F.array_compact(F.array(*base)).alias("base"), F.array(*shares).alias("shares"))

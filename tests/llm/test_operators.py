@@ -176,6 +176,13 @@ def test_license(spark):
     assert (got[3].n_words, got[4].n_words, got[5].n_words, got[5].labels) == (0, 0, 9000, "")
 
 
+def test_license_over_line_breaks(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    got = {r.doc_id: r for r in license_scan.license_scan(table(spark, [mit, bsd, f"a\n{mit} {bsd}", "permission is hereby granted\n" + "x " * 40 + "\nfree of charge to any person obtaining a copy of this software"])).collect()}
+    assert [got[i].labels for i in range(4)] == ["mit", "bsd-3", "bsd-3,mit", ""] and got[0].score == got[1].score == 1.0
+
+
 def test_lm(spark, texts):
     got = {r.doc_id: r for r in lm_scoring.lm_score(table(spark, texts), vocabulary=20, broadcast=50, share=1).collect()}
     c = Counter()
