@@ -5,7 +5,9 @@ Texts of one shingle set form a class; only class representatives go further. In
 round each bucket links its members to its smallest one (a star), so a bucket of m members
 gives m - 1 candidates. Stars alone can miss a link between two members that are not
 both like the centre; the second round therefore compares signatures of those members of a
-bucket that are still in different components, and confirms what may reach the threshold.
+bucket that are still in different components. Those that may reach the threshold with
+another one are compared on their full sets within the bucket, which gives out a spanning
+forest of the links: at most one link less than it has members, and no pair besides.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ THRESHOLD = 0.85
 SIGMAS = 4.5  # a signature may fall short of the threshold by so much of its own spread
 SMALL = 64  # pairs with a set up to this size are compared in full inside their bucket
 BLOCK = 1024
+GROUP = ("band", "key", "x", "y")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,6 +86,7 @@ def signature(shingles: np.ndarray, bins: int = BINS) -> np.ndarray:
 
 
 def _sign(words: int, bins: int, rows: int):
+    """Signatures and buckets of texts. ``sig`` holds 16 bits of each bin, then 32 of each band."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set1", pa.int64()), ("set2", pa.int64()), ("sig", pa.binary()), ("small", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,13 +103,13 @@ def _sign(words: int, bins: int, rows: int):
                 d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 one.append(int.from_bytes(d[:8], "little", signed=True)), two.append(int.from_bytes(d[8:], "little", signed=True))
                 sig = signature(s, bins)
-                sigs.append((sig & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
                 small.append(s.tobytes() if len(s) <= 2 * SMALL else b"")
                 keys = mix(sig + salt).reshape(-1, rows)
                 band = np.full(len(keys), 7, np.uint64)
                 for j in range(rows):
                     band = mix(band + _MIX + keys[:, j])
                 bands.append(band.view(np.int64))
+                sigs.append((sig & np.uint64(0xFFFF)).astype(np.uint16).tobytes() + band.astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sigs, pa.binary()), pa.array(small, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
 
     return run
@@ -127,39 +131,10 @@ def _may_link(threshold: float):
     return test
 
 
-def _across(rows: int, threshold: float):
-    """A mapInArrow function over rows (band, key, x, y, blk, rep, comp, n, sig, small) that
-    are sorted by their first four columns: pairs of one group that are in different
-    components and may reach the threshold. The last group of a batch waits for the next."""
-    may = _may_link(threshold)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def pairs(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        band, key, x, y, blk, rep, comp, n = (part.column(k).to_numpy() for k in ("band", "key", "x", "y", "blk", "rep", "comp", "n"))
-        new = np.ones(len(key), bool)
-        new[1:] = (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        first = np.flatnonzero(new)
-        left = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key)))) - np.arange(len(key))  # rows of the group from here on
-        sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(len(key), -1)
-        small = part.column("small").to_pylist()
-        out_a, out_b = [rep[:0]], [rep[:0]]
-        at = np.flatnonzero(left > 1)
-        for step in range(1, int(left.max(initial=1))):
-            at = at[left[at] > step]
-            other = at + step
-            ask = (comp[at] != comp[other]) & (rep[at] != rep[other]) & ((x[at] == y[at]) | (blk[at] != blk[other]))
-            ask &= np.minimum(n[at], n[other]) >= threshold * np.maximum(n[at], n[other]) - 1e-9
-            for i in np.array_split(at[ask], ask.sum() // 8192 + 1):
-                if not len(i):
-                    continue
-                j = i + step
-                equal = sig[i] == sig[j]
-                fresh = equal.reshape(len(i), -1, rows).all(axis=2).argmax(axis=1) >= band[i]  # earlier shared buckets have dealt with the others
-                i, j, equal = i[fresh], j[fresh], equal[fresh]
-                if len(i):
-                    ok = may(n[i], n[j], equal.mean(axis=1), [small[k] for k in i], [small[k] for k in j])
-                    out_a.append(np.minimum(rep[i[ok]], rep[j[ok]])), out_b.append(np.maximum(rep[i[ok]], rep[j[ok]]))
-        return np.concatenate(out_a), np.concatenate(out_b)
+def _by_group(columns: dict[str, pa.DataType], made):
+    """A mapInArrow function over rows that are sorted by (band, key, x, y): made gets whole
+    groups, many at a time, and gives the columns. The last group of a batch waits for the next."""
+    schema = pa.schema(list(columns.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -170,27 +145,145 @@ def _across(rows: int, threshold: float):
             if not part.num_rows:
                 continue
             ends = np.zeros(part.num_rows, bool)
-            for k in ("band", "key", "x", "y"):
+            for k in GROUP:
                 col = part.column(k).to_numpy()
                 ends |= col != col[-1]
             cut = int(ends.sum())  # sorted, so the last group is the rest
             kept = part.slice(cut)
             if cut:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs(part.slice(0, cut))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made(part.slice(0, cut)), columns.values())], schema=schema)
         if kept is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs(kept)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made(kept), columns.values())], schema=schema)
 
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Of candidate pairs (a, b), those whose full sets have den * |intersection| >= num * |union|."""
+def _starts(part: pa.Table) -> np.ndarray:
+    """Where a new group begins, and the end of the last one."""
+    new = np.ones(part.num_rows, bool)
+    new[1:] = False
+    for k in GROUP:
+        col = part.column(k).to_numpy()
+        new[1:] |= col[1:] != col[:-1]
+    return np.append(np.flatnonzero(new), part.num_rows)
+
+
+def _open_members(rows: int, threshold: float):
+    """Of rows (band, key, x, y, blk, rep, comp, centre, n, sig, small), those that may reach
+    the threshold with another one of their group that is in a different component. Pairs
+    with the bucket's centre were compared as stars; a pair is asked for in its first shared
+    bucket only."""
+    may = _may_link(threshold)
+
+    def made(part: pa.Table) -> list[np.ndarray]:
+        bounds = _starts(part)
+        band, key, x, y, blk, rep, comp, centre, n = (part.column(k).to_numpy() for k in (*GROUP, "blk", "rep", "comp", "centre", "n"))
+        left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(key))  # rows of the group from here on
+        sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(len(key), -1)
+        bins = sig.shape[1] * rows // (rows + 2)
+        sig, bands = sig[:, :bins], np.ascontiguousarray(sig[:, bins:]).view(np.uint32)
+        small = part.column("small").to_pylist()
+        wanted = np.zeros(len(key), bool)
+        at = np.flatnonzero(left > 1)
+        for step in range(1, int(left.max(initial=1))):
+            at = at[left[at] > step]
+            other = at + step
+            ask = (comp[at] != comp[other]) & (rep[at] != rep[other]) & ((x[at] == y[at]) | (blk[at] != blk[other]))
+            ask &= (rep[at] != centre[at]) & (rep[other] != centre[at])
+            ask &= np.minimum(n[at], n[other]) >= threshold * np.maximum(n[at], n[other]) - 1e-9
+            for i in np.array_split(at[ask], ask.sum() // 8192 + 1):
+                if not len(i):
+                    continue
+                j = i + step
+                fresh = (bands[i] == bands[j]).argmax(axis=1) >= band[i]  # earlier shared buckets have dealt with the others
+                i, j = i[fresh], j[fresh]
+                if len(i):
+                    ok = may(n[i], n[j], (sig[i] == sig[j]).mean(axis=1), [small[k] for k in i], [small[k] for k in j])
+                    wanted[i[ok]] = wanted[j[ok]] = True
+        return [c[wanted] for c in (band, key, x, y, blk, rep, comp)]
+
+    return _by_group({"band": pa.int32(), "key": pa.int64(), "x": pa.int32(), "y": pa.int32(), "blk": pa.int32(), "rep": pa.int64(), "comp": pa.int64()}, made)
+
+
+def overlaps(sets: list[np.ndarray], cells: int = 1 << 22) -> np.ndarray:
+    """How many elements each two of the sets share. The sets are columns of a 0/1 matrix that
+    is multiplied with itself piece by piece, so memory stays bounded by ``cells``."""
+    m = len(sets)
+    both = np.zeros((m, m), np.float32)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[col] > 1  # what only one set holds is in no intersection
+    _, col = np.unique(col[shared], return_inverse=True)
+    order = np.argsort(col, kind="stable")
+    col, owner = col[order], owner[shared][order]
+    width = max(1, cells // m)
+    for at in range(0, int(col.max(initial=-1)) + 1, width):
+        a, b = np.searchsorted(col, (at, at + width))
+        piece = np.zeros((m, width), np.float32)
+        piece[owner[a:b], col[a:b] - at] = 1
+        both += piece @ piece.T
+    return both.astype(np.int64)
+
+
+def _forest(linked: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of a symmetric boolean matrix."""
+    seen, a, b = np.zeros(len(linked), bool), [], []
+    for root in range(len(linked)):
+        if seen[root]:
+            continue
+        seen[root], todo = True, [root]
+        while todo:
+            i = todo.pop()
+            found = np.flatnonzero(linked[i] & ~seen)
+            seen[found] = True
+            a += [i] * len(found)
+            b += found.tolist()
+            todo += found.tolist()
+    return a, b
+
+
+def _links_in_groups(num: int, den: int):
+    """Links (a, b) among rows (band, key, x, y, blk, rep, comp, s) of one group, decided on
+    the full sets s: a spanning forest of them, at most one less than the group has rows."""
+
+    def made(part: pa.Table) -> list[np.ndarray]:
+        bounds = _starts(part)
+        x, y, blk, rep, comp = (part.column(k).to_numpy() for k in ("x", "y", "blk", "rep", "comp"))
+        sets, out_a, out_b = part.column("s"), [rep[:0]], [rep[:0]]
+        for at, to in zip(bounds, bounds[1:]):
+            if to - at < 2:
+                continue
+            own = [np.frombuffer(v.as_py(), np.uint64) for v in sets.slice(at, to - at)]
+            both, n = overlaps(own), np.array([len(s) for s in own])
+            ok = (den * both >= num * (n[:, None] + n - both)) & (comp[at:to, None] != comp[at:to])
+            if x[at] != y[at]:
+                ok &= blk[at:to, None] != blk[at:to]
+            i, j = _forest(ok)
+            out_a.append(rep[at:to][i]), out_b.append(rep[at:to][j])
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        return [np.minimum(a, b), np.maximum(a, b)]
+
+    return _by_group({"a": pa.int64(), "b": pa.int64()}, made)
+
+
+def _sets(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, s): the shingle sets of the wanted doc_ids. wanted is written first: its size
+    is then known when the join with the texts is planned, so that texts are shuffled only
+    where the ids are too many to broadcast."""
 
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shingler = Shingler(words)
         for texts in batches:
             yield pd.Series([shingler(t).tobytes() for t in texts])
 
+    wanted = stage(wanted.distinct(), "near-wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    return stage(texts.select("doc_id", F.pandas_udf(sets, "binary")("text").alias("s")), "near-sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Of candidate pairs (a, b), those whose full sets have den * |intersection| >= num * |union|."""
+
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b):
@@ -200,11 +293,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int
             out.append(den * both >= num * (len(x) + len(y) - both) and both > 0)
         return pd.Series(out, dtype=bool)
 
-    # written first: its size is then known when the join with the texts is planned, so
-    # that texts are shuffled only where the ids are too many to broadcast
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-    full = stage(texts.select("doc_id", F.pandas_udf(sets, "binary")("text").alias("s")), "near-sets")
+    full = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, words)
     both = pairs.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b")
     return both.where(F.pandas_udf(linked, "boolean")("sa", "sb")).select("a", "b")
 
@@ -230,7 +319,7 @@ def near_dedup(docs: DataFrame, words: int = WORDS, num: int = 85, den: int = 10
     def plausible(na: pd.Series, nb: pd.Series, sa: pd.Series, sb: pd.Series, fa: pd.Series, fb: pd.Series) -> pd.Series:
         if not len(na):
             return pd.Series([], dtype=bool)
-        a, b = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), bins) for s in (sa, sb))
+        a, b = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1)[:, :bins] for s in (sa, sb))
         return pd.Series(may(na.to_numpy(), nb.to_numpy(), (a == b).mean(axis=1), list(fa), list(fb)))
 
     sigs = reps.select("rep", "n", "sig", "small")
@@ -242,20 +331,21 @@ def near_dedup(docs: DataFrame, words: int = WORDS, num: int = 85, den: int = 10
     comps = stage(components(links), "near-comps")
 
     # second round: members of one bucket that are still apart
-    now = members.join(comps, members.rep == comps.node, "left").select("band", "key", "rep", "m", F.coalesce("component", "rep").alias("comp"))
-    apart = now.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "key")
-    open_ = now.join(apart, ["band", "key"]).join(sigs, "rep")
+    now = members.join(comps, members.rep == comps.node, "left").select("band", "key", "rep", "centre", "m", F.coalesce("component", "rep").alias("comp"))
+    others = now.where("rep <> centre").groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "key")
+    open_ = now.join(others, ["band", "key"]).join(sigs, "rep")
     # a large bucket is compared block by block, each pair of blocks in a group of its own
     open_ = open_.withColumn("nb", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("band", "key", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "blk", "rep", "comp", "n", "sig", "small")
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("band", "key", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "blk", "rep", "comp", "centre", "n", "sig", "small")
 
     # all comparisons of a group lie together and in order, many groups to a batch
-    open_ = open_.repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y")
-    rest = open_.mapInArrow(_across(rows, num / den), "a long, b long").distinct().join(done, ["a", "b"], "left_anti")
-    rest = stage(rest, "near-rest")
+    open_ = open_.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    rest = stage(open_.mapInArrow(_open_members(rows, num / den), "band int, key long, x int, y int, blk int, rep long, comp long"), "near-rest")
     if not rest.isEmpty():
-        links = links.unionByName(_confirmed(rest, docs, words, num, den))
-        comps = stage(components(stage(links, "near-all")), "near-final")
+        full = _sets(rest.select(F.col("rep").alias("doc_id")), docs, words)
+        grouped = rest.join(full.toDF("rep", "s"), "rep").repartition(*GROUP).sortWithinPartitions(*GROUP)
+        more = grouped.select(*GROUP, "blk", "rep", "comp", "s").mapInArrow(_links_in_groups(num, den), "a long, b long")
+        comps = stage(components(stage(links.unionByName(more), "near-all")), "near-final")
     named = reps.join(comps, reps.rep == comps.node, "left").select("n", "set1", "set2", F.coalesce("component", "rep").alias("component_id"))
     same = [signed[k] == named[k] for k in ("n", "set1", "set2")]
     out = signed.join(named, same, "left").select("doc_id", signed["n"].alias("n_shingles"), F.when((signed["n"] > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tagloom.llm import decontamination, exact_dedup, gru, language_id, license_scan, line_dedup, lm_scoring, minhash, packing, repeats, toxicity
@@ -286,12 +287,7 @@ def test_toxicity(spark):
 
 
 def test_bucket_comparison_does_not_depend_on_batches():
-    """Groups that are cut by the ends of batches give the pairs of a plain double loop."""
-    import numpy as np
-    import pyarrow as pa
-
-    from tagloom.llm.minhash import _across
-
+    """Groups that are cut by the ends of batches give the members that a plain double loop gives."""
     rng = np.random.default_rng(3)
     rows = []
     for key in range(12):
@@ -299,16 +295,57 @@ def test_bucket_comparison_does_not_depend_on_batches():
         for k in range(int(rng.integers(1, 9))):
             sig = base.copy()
             sig[rng.integers(4, 128, int(rng.integers(0, 40)))] += 1
-            rows.append({"band": 0, "key": key, "x": 0, "y": key % 2, "blk": k % 2 * (key % 2), "rep": key * 100 + k, "comp": key * 100 + k // 2, "n": 1000, "sig": sig.tobytes(), "small": b""})
-    sigs = [np.frombuffer(r["sig"], np.uint16) for r in rows]
+            bands = np.arange(32, dtype=np.uint32) + np.uint32(1000 * k)
+            bands[0] = 7  # the first bucket is the one they share
+            rows.append({"band": 0, "key": key, "x": 0, "y": key % 2, "blk": k % 2 * (key % 2), "rep": key * 100 + k, "comp": key * 100 + k // 2, "centre": key * 100, "n": 1000, "sig": sig.tobytes() + bands.tobytes(), "small": b""})
+    sigs = [np.frombuffer(r["sig"], np.uint16)[:128] for r in rows]
     least = 0.85 - 4.5 * np.sqrt(0.85 * 0.15 / (128 * (1 - np.exp(-1000 / 128))))
-    want = {
-        (r["rep"], o["rep"]) for i, r in enumerate(rows) for j, o in enumerate(rows)
-        if i < j and r["key"] == o["key"] and r["comp"] != o["comp"] and (r["x"] == r["y"] or r["blk"] != o["blk"]) and (sigs[i] == sigs[j]).mean() >= least
-    }
-    table = pa.Table.from_pylist(rows, schema=pa.schema([("band", pa.int32()), ("key", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("blk", pa.int32()), ("rep", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("small", pa.binary())]))
+    want = set()
+    for i, r in enumerate(rows):
+        for j, o in enumerate(rows[:i]):
+            if r["key"] == o["key"] and r["comp"] != o["comp"] and r["centre"] not in (r["rep"], o["rep"]) and (r["x"] == r["y"] or r["blk"] != o["blk"]) and (sigs[i] == sigs[j]).mean() >= least:
+                want |= {r["rep"], o["rep"]}
+    kinds = {"band": pa.int32(), "key": pa.int64(), "x": pa.int32(), "y": pa.int32(), "blk": pa.int32(), "rep": pa.int64(), "comp": pa.int64(), "centre": pa.int64(), "n": pa.int64(), "sig": pa.binary(), "small": pa.binary()}
+    part = pa.Table.from_pylist(rows, schema=pa.schema(list(kinds.items())))
     assert want
     for size in (1, 3, 7, 1000):
-        got = [p for b in _across(4, 0.85)(iter(table.to_batches(max_chunksize=size))) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        got = [r for b in minhash._open_members(4, 0.85)(iter(part.to_batches(max_chunksize=size))) for r in b.column("rep").to_pylist()]
         assert sorted(got) == sorted(want)
-    assert list(_across(4, 0.85)(iter([]))) == []
+    assert list(minhash._open_members(4, 0.85)(iter([]))) == []
+
+
+def test_overlaps_and_links_of_a_group():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, int(rng.integers(1, 50)))).astype(np.uint64) for _ in range(40)] + [np.arange(45, dtype=np.uint64) + k for k in range(6)]
+    want = [[len(set(a) & set(b)) for b in map(list, sets)] for a in map(list, sets)]
+    for cells in (50, 1 << 22):
+        assert minhash.overlaps(sets, cells).tolist() == want
+    rows = [{"band": 0, "key": k % 2, "x": 0, "y": 0, "blk": 0, "rep": k, "comp": k, "s": s.tobytes()} for k, s in sorted(enumerate(sets), key=lambda x: x[0] % 2)]
+    part = pa.Table.from_pylist(rows, schema=pa.schema([("band", pa.int32()), ("key", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("blk", pa.int32()), ("rep", pa.int64()), ("comp", pa.int64()), ("s", pa.binary())]))
+    for size in (1, 9, 100):
+        got = [p for b in minhash._links_in_groups(85, 100)(iter(part.to_batches(max_chunksize=size))) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+
+        def components_of(pairs):
+            label = list(range(len(sets)))
+            for _ in sets:
+                for a, b in pairs:
+                    label[a] = label[b] = min(label[a], label[b])
+            return label
+
+        full = [(a, b) for a in range(len(sets)) for b in range(a) if a % 2 == b % 2 and 100 * want[a][b] >= 85 * (len(sets[a]) + len(sets[b]) - want[a][b])]
+        assert components_of(got) == components_of(full) and len(got) <= len(sets) - 2 and len(set(got)) > 1
+
+
+def test_near_copies_that_stars_miss(spark):
+    """Chains, and a large group whose members are just below and just above the threshold."""
+    rng = random.Random(21)
+    base = words(rng, 120).split()
+    docs = []
+    for k in range(80):
+        w = list(base)
+        for i in rng.sample(range(0, 120, 6), k % 5):
+            w[i] = f"{k}x{i}"
+        docs.append(" ".join(w))
+    for k in range(20):  # each differs a little more from the first, and little from the one before
+        docs.append(" ".join([f"c{k}"] * 0 + words(random.Random(5), 150).split()[k * 2:k * 2 + 100]))
+    test_near(spark, docs)
