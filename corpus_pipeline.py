@@ -3,22 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tagloom.llm.common import stage, table
 from tagloom.llm.decontamination import without_benchmark
-from tagloom.llm.exact_dedup import exact_dedup
-from tagloom.llm.minhash import near_dedup
+from tagloom.llm.exact_dedup import without_copies
+from tagloom.llm.minhash import without_near_copies
 from tagloom.llm.packing import pack
 from tagloom.llm.toxicity import without_toxic
 
 
-def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """docs without the rows that are not kept; a row without doc_id is never dropped."""
-    gone = judged.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     return without_toxic(docs, table(spark, sf_dir, "labels"))
@@ -26,12 +19,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return _without(docs, exact_dedup(docs))
+    return without_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8."""
-    return _without(docs, near_dedup(docs, num=80))
+    return without_near_copies(docs, num=80)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,17 +42,45 @@ def shuffles_given_up(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+_scratch: list[list[str]] = []  # paths written within each open scratch block
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs neither repeat the
     work nor depend on the executors that did it. Nothing reads the shuffle files of the
     write once it has ended, so they are given up then."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     with shuffles_given_up(spark):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables staged within this block are deleted at its end. It gives a function that
+    stages a result outside of the block's account, so that it stays."""
+    _scratch.append([])
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stage(df, name)
+        _scratch[-1].pop()
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in _scratch.pop():
+            delete(spark, path)
+
+
 def held_out(doc_id, mod: int, rest: int):
     """True where crc32 of the doc_id as text leaves ``rest`` on division by ``mod``;
     a null doc_id counts as held out."""

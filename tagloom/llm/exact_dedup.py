@@ -22,6 +22,7 @@ from .common import stage, table
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1664525)
 CHUNK = 65536
+SALTS = 16  # parts of a group of equal fingerprints
 _CHUNKS = pa.list_(pa.struct([(k, pa.int64()) for k in ("h1", "h2", "w1", "w2")]))
 
 
@@ -84,7 +85,9 @@ def exact_dedup(docs: DataFrame, chunk: int = CHUNK, primes: tuple[int, int] = P
     key = ["n_bytes", "fp1", "fp2"]
     prints = stage(fingerprints(docs, chunk, primes), "exact-prints")
     many = prints.groupBy(*key).agg(F.count("*").alias("group_size")).where("group_size > 1 and n_bytes > 0").drop("group_size")
-    texts = fingerprints(docs, chunk, primes, keep_text=True).where("n_bytes > 0").join(many, key, "left_semi")
+    # the texts of a hot group are dealt to several tasks, and meet as partial minima and maxima
+    many = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    texts = fingerprints(docs, chunk, primes, keep_text=True).where("n_bytes > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(many, [*key, "salt"], "left_semi")
     parts = texts.select(*key, F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n_bytes") - 1, F.lit(chunk)), lambda at: F.substring(F.encode("text", "utf-8"), at.cast("int") + 1, chunk))).alias("chunk_no", "part"))
     unlike = parts.groupBy(*key, "chunk_no").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select(*key).distinct()
     unlike = stage(unlike, "exact-unlike")
@@ -98,6 +101,24 @@ def exact_dedup(docs: DataFrame, chunk: int = CHUNK, primes: tuple[int, int] = P
     return rows.join(groups, same).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def without_copies(docs: DataFrame, **how) -> DataFrame:
+    """docs with one row of each group of equal texts, with all columns: that of the largest
+    doc_id. Of rows that repeat both doc_id and text one stays; rows that share a doc_id and
+    differ in text are judged each by its own text."""
+    judged = exact_dedup(docs, **how)
+    key = ["doc_id", "text_sha256"]
+    marks = judged.groupBy(*key).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")).where("not _kept or _n > 1")
+    marks = stage(marks.toDF("_id", "_sha", "_kept", "_n"), "exact-marks")
+    rows = docs.withColumn("_text_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    same = (rows["_text_sha"] == marks["_sha"]) & rows["doc_id"].cast("long").eqNullSafe(marks["_id"])
+    out = rows.join(marks, same, "left_anti").select(docs.columns)
+    repeated = marks.where("_kept")
+    if repeated.isEmpty():
+        return out
+    again = rows.join(repeated, same).groupBy("_id", "_sha").agg(F.first(F.struct(*docs.columns)).alias("_row"))
+    return out.unionByName(again.select("_row.*"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 

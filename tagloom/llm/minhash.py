@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import scratch, stage, table
 from .components import components
 
 WORDS, BINS, ROWS = 5, 128, 4
@@ -306,6 +306,11 @@ def near_dedup(docs: DataFrame, words: int = WORDS, num: int = 85, den: int = 10
     together when their texts do; a repeated doc_id with different texts is compared by its
     largest text. A row without doc_id keeps a null component and is kept. Other columns are
     not read; an empty table gives an empty result."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_near_dedup(docs, words, num, den, bins, rows), "near-dedup")
+
+
+def _near_dedup(docs: DataFrame, words: int, num: int, den: int, bins: int, rows: int) -> DataFrame:
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage(rows_.mapInArrow(_sign(words, bins, rows), "doc_id long, n long, set1 long, set2 long, sig binary, small binary, bands array<long>"), "near-signed")
     full = signed.where("n > 0 and doc_id is not null")
@@ -352,6 +357,18 @@ def near_dedup(docs: DataFrame, words: int = WORDS, num: int = 85, den: int = 10
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def without_near_copies(docs: DataFrame, **how) -> DataFrame:
+    """docs with one row of each group of near copies, with all columns: that of the smallest
+    doc_id. Rows of a doc_id that is null or occurs more than once are told apart by their
+    text, so none of them is judged by the text of another."""
+    with scratch(docs.sparkSession) as keep:
+        odd = stage(docs.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").select(F.col("doc_id").alias("_odd"), F.lit(True).alias("_is_odd")), "near-odd-ids")
+        own = -1 - F.abs(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))) % (1 << 62))
+        keyed = docs.join(odd, docs.doc_id.eqNullSafe(odd._odd), "left").withColumn("_key", F.when(F.col("_is_odd"), own).otherwise(F.col("doc_id").cast("long"))).drop("_odd", "_is_odd")
+        gone = keep(near_dedup(keyed.select(F.col("_key").alias("doc_id"), "text"), **how).where("not kept").select(F.col("doc_id").alias("_key")).distinct(), "near-gone")
+    return keyed.join(gone, "_key", "left_anti").select(docs.columns)
+
+
 def op1_near_dedup(spark, sf_dir):
     return near_dedup(table(spark, sf_dir, "documents"))
 

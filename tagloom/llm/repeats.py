@@ -8,7 +8,7 @@ narrowed down by content-defined anchors, so that only what may repeat is looked
 2. cores: of those, each window's bytes from its first to its last anchor (smallest hashes
    of its first and last part) must occur twice;
 3. covers: consecutive windows of one core form a run; runs whose whole bytes are equal
-   repeat as a whole and are settled by one key;
+   repeat as a whole and are settled by one key, a cryptographic digest of the bytes;
 4. windows: only where one core has different covers are single windows compared, one
    set for each different cover.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffles_given_up, stage, table
+from .common import delete, scratch, shared_dir, shuffles_given_up, stage, table
 
 LENGTH = 200
 PRIMES = (2147483647, 2147483629)
@@ -152,10 +152,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     of the corpus too, the same text included; all is judged on the input. A null text is
     empty; texts shorter than ``length`` keep all. Repeated rows are copies of each other.
     Other columns are not read."""
+    spark = docs.sparkSession
+    name = f"repeats_{uuid.uuid4().hex}"
+    try:
+        with scratch(spark) as keep:
+            return keep(_remove_repeats(docs, length, name), "repeats")
+    finally:  # the bucketed texts go with the other steps' tables
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, f"{shared_dir(spark)}/{name}")
+
+
+def _remove_repeats(docs: DataFrame, length: int, name: str) -> DataFrame:
     spark = docs.sparkSession
     gram, core = max(4, length * 4 // 25), max(4, length // 25)  # 32 and 8 bytes of 200
     span = length // 2 + 4
-    name = f"repeats_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the numbers are the same whenever a file scan is repeated
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -171,13 +181,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     schema = _schema(g="long", a="int", b="int")
     led = stage(rows.select("row", "text").mapInArrow(_rows(schema, leaders), _ddl(schema)), "repeats-leaders")
-    twice = led.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    ranges = led.join(twice, "g", "left_semi").groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    # both written by themselves: a leader that a third of all texts hold can then be split
+    # in the join, and the shuffles of each step are gone before the next one starts
+    twice = stage(led.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "repeats-twice")
+    ranges = stage(led.join(twice, "g", "left_semi").groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "repeats-ranges")
 
     # rows that may lose something, bucketed by number: later joins read them in place
     found = rows.join(ranges, "row")
     with shuffles_given_up(spark):
-        found.write.bucketBy(buckets, "row").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+        found.write.bucketBy(buckets, "row").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     corpus = spark.table(name)
 
     def cores(text: bytes, ranges: list[dict]):
@@ -188,15 +200,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         i, j = _runs(first, last, at - np.arange(len(at)))
         a, b, first, last = at[i], at[j], first[i], last[i]
         inner = h(first, last + core)
-        cover = _mix(h(a, b + length) + (first - a).astype(np.uint64))
-        return inner.view(np.int64), cover.view(np.int64), a, b
+        whole = b"".join(hashlib.blake2b(text[i:j], digest_size=16).digest() for i, j in zip(a, b + length))
+        cover = np.frombuffer(whole, np.int64).reshape(-1, 2)
+        return inner.view(np.int64), cover[:, 0], cover[:, 1], a, b
 
-    schema = _schema(core="long", cover="long", a="int", b="int")
+    schema = _schema(core="long", cover="long", cover2="long", a="int", b="int")
     cored = stage(corpus.select("row", "text", "ranges").mapInArrow(_rows(schema, cores), _ddl(schema)), "repeats-cores")
-    classes = cored.groupBy("cover").agg(F.min("core").alias("core"), F.count("*").alias("n"), F.min(F.struct("row", "a", "b")).alias("one"))
+    classes = cored.groupBy("cover", "cover2").agg(F.min("core").alias("core"), F.count("*").alias("n"), F.min(F.struct("row", "a", "b")).alias("one"))
     classes = stage(classes, "repeats-classes")
     mixed = classes.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
-    whole = cored.select("cover", "row", "a", "b").join(classes.where("n > 1").select("cover"), "cover", "left_semi").select("row", "a", "b")
+    whole = cored.select("cover", "cover2", "row", "a", "b").join(classes.where("n > 1").select("cover", "cover2"), ["cover", "cover2"], "left_semi").select("row", "a", "b")
     apart = classes.join(mixed, "core", "left_semi").select("one.row", F.struct("one.a", "one.b", F.col("n").cast("int").alias("n")).alias("r")).groupBy("row").agg(F.collect_list("r").alias("ranges"))
 
     def windows(text: bytes, ranges: list[dict]):

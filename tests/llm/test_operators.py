@@ -349,3 +349,19 @@ def test_near_copies_that_stars_miss(spark):
     for k in range(20):  # each differs a little more from the first, and little from the one before
         docs.append(" ".join([f"c{k}"] * 0 + words(random.Random(5), 150).split()[k * 2:k * 2 + 100]))
     test_near(spark, docs)
+
+
+def test_pipeline_stages_judge_rows_by_their_own_text(spark):
+    """Repeated and null ids: no unique text is lost, and no copy stays."""
+    rows = [(1, "a"), (1, "b"), (2, "a"), (3, "z"), (3, "z"), (None, "q"), (None, "q"), (None, "r"), (4, "r"), (5, None), (6, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, _n int")
+    got = exact_dedup.without_copies(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, "b"), (2, "a"), (3, "z"), (None, "q"), (4, "r"), (6, "")], key=str)
+    rng = random.Random(31)
+    a, b, c = (words(rng, 120) for _ in range(3))
+    near = a.rsplit(" ", 1)[0] + " zz"
+    docs = spark.createDataFrame([(1, a, "x"), (2, near, "x"), (2, c, "x"), (None, b, "x"), (None, b.rsplit(" ", 1)[0] + " yy", "x"), (7, None, "x"), (8, "", "x")], "doc_id long, text string, component string")
+    got = [(r.doc_id, r.text) for r in minhash.without_near_copies(docs, num=80).collect()]
+    assert len(got) == 5 and {(2, c), (7, None), (8, "")} <= set(got) and sum(t == a or t == near for _, t in got) == 1
+    assert minhash.without_near_copies(docs.limit(0)).count() == exact_dedup.without_copies(docs.limit(0)).count() == 0
