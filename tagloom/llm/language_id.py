@@ -7,7 +7,6 @@ short. Every task holds the frequent words of each language; all others are join
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,14 +19,25 @@ from pyspark.sql import functions as F
 
 from .common import held_out, stage, table
 
-LETTERS = re.compile(r"[^\W\d_]+")
-CACHED_WORDS = 100_000  # frequent words that every task holds, shared out equally among the languages
+CACHED_WORDS = 200_000  # frequent words that every task holds, shared out equally among the languages
 GRAM = 3
 _FLUSH = 400_000
 
 
+class _Letters(dict):
+    """For str.translate: letters stay, all else is a space. Filled as characters turn up."""
+
+    def __missing__(self, c: int) -> int:
+        self[c] = out = c if chr(c).isalpha() else 32
+        return out
+
+
+_LETTERS = _Letters()
+
+
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall((text or "").lower())
+    """Maximal runs of letters, in lower case; digits and other numerals are no letters."""
+    return (text or "").lower().translate(_LETTERS).split()
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,17 +141,18 @@ def language_id(docs: DataFrame, cached: int = CACHED_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = shared.value
-        ids = {w: i for i, w in enumerate(names)}
+        ids, none = {w: i for i, w in enumerate(names)}, len(names)
+        matrix = np.vstack([matrix, np.zeros((1, n), np.float32)]).astype(np.float64)
         row = TaskContext.get().partitionId() << 33  # the rows are written once, so this names them
         for batch in batches:
             cols: list[list] = [[], [], [], []]
             for text in batch.column(1).to_pylist():
                 found = words_of(text)
-                at = [ids.get(w, -1) for w in found]
+                at = np.fromiter(map(ids.get, found, [none] * len(found)), np.int64, len(found))
                 cols[0].append(row)
                 cols[1].append(len(found))
-                cols[2].append(matrix[[i for i in at if i >= 0]].sum(axis=0, dtype=np.float64).tolist())
-                cols[3].append([w for w, i in zip(found, at) if i < 0])
+                cols[2].append(matrix[at].sum(axis=0).tolist())
+                cols[3].append([found[i] for i in np.flatnonzero(at == none)])
                 row += 1
             made = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.float64())), pa.array(cols[3], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "row", "n", "own", "rare"])
