@@ -112,23 +112,29 @@ def log_prob(p: dict, texts: list[np.ndarray], lanes: int = 2048) -> np.ndarray:
     return out
 
 
-def train(p: dict, texts: list[np.ndarray], cache: dict, lanes: int = 64, rate: float = 0.1) -> None:
-    """One pass of truncated backpropagation over the texts, in place; cache holds Adagrad's sums."""
+def train(p: dict, texts: list[np.ndarray], cache: dict, lanes: int = 512, rate: float = 0.1) -> None:
+    """One pass of truncated backpropagation over the texts, in place; cache holds Adagrad's sums.
+
+    The texts are laid end to end and read in so many lanes side by side, each from its own
+    place on with the word before it as its first input. The last lanes may be a word shorter;
+    every word is learned from once."""
     if not texts:
         return
     stream = np.concatenate(texts)
-    n = len(stream) // lanes
-    if n < 2:
-        lanes, n = 1, len(stream)
-    y = stream[: n * lanes].reshape(lanes, n).T
-    x = np.concatenate([np.full((1, lanes), int(p["end"]), np.int64), y[:-1]])
+    lanes = max(1, min(lanes, len(stream) // WINDOW))
+    n = -(-len(stream) // lanes)
+    at = np.arange(n)[:, None] + np.arange(lanes) * n
+    real = at < len(stream)
+    at = np.minimum(at, len(stream) - 1)
+    y, x = stream[at], np.where(at > 0, stream[at - 1], int(p["end"]))
     h = np.zeros((lanes, HID), np.float32)
     for t in range(0, n, WINDOW):
-        xs, ys = x[t:t + WINDOW], y[t:t + WINDOW]
+        xs, ys, here = x[t:t + WINDOW], y[t:t + WINDOW], real[t:t + WINDOW]
         states, h, tape = _steps(p, xs, h, keep=True)
         g: dict = {}
-        _, dh = _output(p, states.reshape(-1, HID), ys.reshape(-1), g)
-        dh = dh.reshape(states.shape)
+        dh = np.zeros_like(states)
+        if here.any():
+            dh[here] = _output(p, states[here], ys[here], g)[1]
         g["wh"], dgx = np.zeros_like(p["wh"]), np.empty((*xs.shape, 3 * HID), np.float32)
         back = np.zeros_like(h)
         for s in range(len(xs) - 1, -1, -1):
@@ -143,8 +149,7 @@ def train(p: dict, texts: list[np.ndarray], cache: dict, lanes: int = 64, rate:
             back = (d * z + dgh @ p["wh"].T) * (xs[s] != p["end"])[:, None]
         flat, ids = dgx.reshape(-1, 3 * HID), xs.reshape(-1)
         g["b"], g["wx"] = flat.sum(axis=0), p["emb"][ids].T @ flat
-        g["emb"] = np.zeros_like(p["emb"])
-        np.add.at(g["emb"], ids, flat @ p["wx"].T)
+        g["emb"] = np.stack([np.bincount(ids, c, len(p["emb"])) for c in (flat @ p["wx"].T).T], axis=1).astype(np.float32)
         for name, grad in g.items():
             grad = np.clip(grad, -1, 1)
             cache[name] = cache.get(name, 0) + grad * grad

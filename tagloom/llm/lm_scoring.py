@@ -22,9 +22,10 @@ from .common import held_out, stage, table
 
 VOCABULARY = 2048  # words that the network predicts one by one
 BROADCAST = 150_000  # frequent words whose counts every task holds; all others are joined
-TRAIN_SHARE = 1  # the network learns from one training text in so many: from all of them
-WORKERS = 32  # at most so many models are trained side by side and averaged
-WORKER_TOKENS = 250_000  # tokens for each of them at least
+ROUNDS = 4  # parts of the training texts; after each the models are averaged and go on from there
+WORKER_TOKENS = 1_000_000  # about so many tokens of a part for each model that is trained side by side
+BRANCH = 16  # models that are averaged in one task
+TEXTS = 1 << 20  # tokens that one call of the training sees
 END = b""
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FLUSH = 300_000
@@ -74,38 +75,71 @@ def _frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(zip(map(bytes, rows.word), map(int, rows.n)), key=lambda x: (-x[1], x[0]))
 
 
-def _fit(docs: DataFrame, frequent: list[tuple[bytes, int]], total: int, share: int, workers: int) -> dict:
-    """Train copies of one network on parts of the chosen texts and average them."""
-    ids = {w: i for i, (w, _) in enumerate(frequent)}
-    counts = np.array([n for _, n in frequent], np.int64)
-    start = gru.init(counts, total - int(counts.sum()), ids.get(END, 0))
-    workers = int(min(workers, 1 + total // share // WORKER_TOKENS))
-    names = [n for n in start if n not in ("end", "k")]
-    shared = docs.sparkSession.sparkContext.broadcast((ids, start))
+def _averaged(models: DataFrame) -> DataFrame:
+    """The mean of (n, p) weighted by n, by a tree of tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, p = shared.value
-        p, cache, n = {k: v.copy() for k, v in p.items()}, {}, 0
+        total, mean = 0, 0.0
         for batch in batches:
-            texts = [np.array([ids.get(w, len(ids)) for w in tokens(t)], np.int64) for t in _bytes(batch.column(0))]
-            gru.train(p, texts, cache)
-            n += sum(map(len, texts))
-        flat = np.concatenate([p[k].ravel() for k in names]).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["n", "p"])
-
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(share)) == 0).repartition(workers, "doc_id").sortWithinPartitions("doc_id", "text")
-    got = sorted((r.n, bytes(r.p)) for r in chosen.select("text").mapInArrow(run, "n long, p binary").collect() if r.n)
-    if got:
-        total = sum(n for n, _ in got)
-        mean = sum(np.frombuffer(p, np.float32) * np.float32(n / total) for n, p in got)
-        at = 0
-        for k in names:
-            start[k] = mean[at:at + start[k].size].reshape(start[k].shape)
-            at += start[k].size
-    return start
-
-
-def lm_score(docs: DataFrame, vocabulary: int = VOCABULARY, broadcast: int = BROADCAST, share: int = TRAIN_SHARE, workers: int = WORKERS) -> DataFrame:
+            for n, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total, mean = total + n, mean + np.frombuffer(p, np.float32).astype(np.float64) * n
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([(mean / total).astype(np.float32).tobytes()], pa.binary())], ["n", "p"])
+
+    return models.mapInArrow(run, "n long, p binary")
+
+
+def _fit(docs: DataFrame, frequent: list[tuple[bytes, int]], total: int, rounds: int, worker_tokens: int) -> tuple[dict, int]:
+    """The network trained on all texts, and how many tokens it learned from. The texts are dealt to rounds and within a round to as many
+    models as the corpus needs; each round starts from the mean of the models before it."""
+    spark = docs.sparkSession
+    ids = {w: i for i, (w, _) in enumerate(frequent)}
+    counts = np.array([n for _, n in frequent], np.int64)
+    model = gru.init(counts, total - int(counts.sum()), ids.get(END, 0))
+    rounds = max(1, min(rounds, total // worker_tokens))
+    workers = 1 + total // rounds // worker_tokens
+    names, learned = [n for n in model if n not in ("end", "k")], 0
+
+    for part in range(rounds):
+        shared = spark.sparkContext.broadcast((ids, model))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, p = shared.value
+            p, cache, n, held, size = {k: v.copy() for k, v in p.items()}, {}, 0, [], 0
+            other = len(ids)
+            for batch in batches:
+                for text in _bytes(batch.column(0)):
+                    words = tokens(text)
+                    held.append(np.fromiter(map(ids.get, words, [other] * len(words)), np.int64, len(words)))
+                    size += len(words)
+                    if size >= TEXTS:
+                        gru.train(p, held, cache)
+                        n, held, size = n + size, [], 0
+            gru.train(p, held, cache)
+            n += size
+            flat = np.concatenate([p[k].ravel() for k in names]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["n", "p"])
+
+        chosen = docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(rounds)) == part).repartition(workers, "doc_id", F.length("text")).sortWithinPartitions("doc_id", "text")
+        models = stage(chosen.select("text").mapInArrow(run, "n long, p binary"), "lm-models")
+        left = workers
+        while left > BRANCH:
+            left = -(-left // BRANCH)
+            models = stage(_averaged(models.repartition(left)), "lm-means")
+        got = sorted((r.n, bytes(r.p)) for r in models.collect() if r.n)
+        if got:
+            seen = sum(n for n, _ in got)
+            learned += seen
+            mean = sum(np.frombuffer(p, np.float32) * np.float32(n / seen) for n, p in got)
+            at = 0
+            for k in names:
+                model[k] = mean[at:at + model[k].size].reshape(model[k].shape)
+                at += model[k].size
+        shared.unpersist()
+    return model, learned
+
+
+def lm_score(docs: DataFrame, vocabulary: int = VOCABULARY, broadcast: int = BROADCAST, rounds: int = ROUNDS, worker_tokens: int = WORKER_TOKENS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score.
 
@@ -120,7 +154,7 @@ def lm_score(docs: DataFrame, vocabulary: int = VOCABULARY, broadcast: int = BRO
     frequent = _frequent(counts, broadcast)
     in_model = sum(n for _, n in frequent[:vocabulary])
     others, other_kinds = total - in_model, distinct - len(frequent[:vocabulary])
-    model = _fit(train, frequent[:vocabulary], total, share, workers)
+    model, _ = _fit(train, frequent[:vocabulary], total, rounds, worker_tokens)
     shared = docs.sparkSession.sparkContext.broadcast((frequent, model))
     base_log, other_log = math.log10(total + distinct + 1), math.log10(others + other_kinds + 1)
     schema = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.binary()))])
@@ -139,7 +173,7 @@ def lm_score(docs: DataFrame, vocabulary: int = VOCABULARY, broadcast: int = BRO
             texts = []
             for text in _bytes(batch.column(1)):
                 words = tokens(text)
-                at = np.array([ids.get(w, -1) for w in words], np.int64)
+                at = np.fromiter(map(ids.get, words, [-1] * len(words)), np.int64, len(words))
                 rare = [w for w, i in zip(words, at) if i < 0] if (at < 0).any() else []
                 texts.append(np.where((at < 0) | (at >= k), k, at))
                 known = at[at >= 0]
