@@ -63,6 +63,13 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def discard(spark: SparkSession, *names: str) -> None:
+    """Delete tables of these names that the innermost scratch block has staged so far."""
+    for path in [p for p in _scratch[-1] if p.rpartition("/")[2].rpartition("-")[0] in names]:
+        _scratch[-1].remove(path)
+        delete(spark, path)
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Tables staged within this block are deleted at its end. It gives a function that

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, scratch, shared_dir, shuffles_given_up, stage, table
+from .common import delete, discard, scratch, shared_dir, shuffles_given_up, stage, table
 
 LENGTH = 200
 PRIMES = (2147483647, 2147483629)
@@ -191,6 +191,7 @@ def _remove_repeats(docs: DataFrame, length: int, name: str) -> DataFrame:
     with shuffles_given_up(spark):
         found.write.bucketBy(buckets, "row").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     corpus = spark.table(name)
+    discard(spark, "repeats-leaders", "repeats-twice", "repeats-ranges")
 
     def cores(text: bytes, ranges: list[dict]):
         h = Hashes(text)
@@ -210,6 +211,8 @@ def _remove_repeats(docs: DataFrame, length: int, name: str) -> DataFrame:
     classes = stage(classes, "repeats-classes")
     mixed = classes.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
     whole = cored.select("cover", "cover2", "row", "a", "b").join(classes.where("n > 1").select("cover", "cover2"), ["cover", "cover2"], "left_semi").select("row", "a", "b")
+    whole = stage(whole, "repeats-whole")
+    discard(spark, "repeats-cores")
     apart = classes.join(mixed, "core", "left_semi").select("one.row", F.struct("one.a", "one.b", F.col("n").cast("int").alias("n")).alias("r")).groupBy("row").agg(F.collect_list("r").alias("ranges"))
 
     def windows(text: bytes, ranges: list[dict]):
@@ -222,7 +225,8 @@ def _remove_repeats(docs: DataFrame, length: int, name: str) -> DataFrame:
     seen = stage(corpus.select("row", "text").join(apart, "row").mapInArrow(_rows(schema, windows), _ddl(schema)), "repeats-windows")
     again = seen.groupBy("w").agg(F.count("*").alias("k")).where("k > 1").select("w")
     single = seen.where("n = 1").join(again, "w", "left_semi").select("row", F.col("at").alias("a"), F.col("at").alias("b"))
-    lost = stage(whole.union(single), "repeats-lost")
+    lost = whole.union(stage(single, "repeats-single"))
+    discard(spark, "repeats-windows", "repeats-classes")
     gone = lost.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
