@@ -115,7 +115,7 @@ def without_copies(docs: DataFrame, **how) -> DataFrame:
     repeated = marks.where("_kept")
     if repeated.isEmpty():
         return out
-    again = rows.join(repeated, same).groupBy("_id", "_sha").agg(F.first(F.struct(*docs.columns)).alias("_row"))
+    again = rows.join(repeated, same).groupBy(marks["_id"], marks["_sha"]).agg(F.first(F.struct(*[rows[c] for c in docs.columns])).alias("_row"))
     return out.unionByName(again.select("_row.*"))
 
 

@@ -362,7 +362,7 @@ def without_near_copies(docs: DataFrame, **how) -> DataFrame:
     doc_id. Rows of a doc_id that is null or occurs more than once are told apart by their
     text, so none of them is judged by the text of another."""
     with scratch(docs.sparkSession) as keep:
-        odd = stage(docs.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").select(F.col("doc_id").alias("_odd"), F.lit(True).alias("_is_odd")), "near-odd-ids")
+        odd = keep(docs.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").select(F.col("doc_id").alias("_odd"), F.lit(True).alias("_is_odd")), "near-odd-ids")
         own = -1 - F.abs(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))) % (1 << 62))
         keyed = docs.join(odd, docs.doc_id.eqNullSafe(odd._odd), "left").withColumn("_key", F.when(F.col("_is_odd"), own).otherwise(F.col("doc_id").cast("long"))).drop("_odd", "_is_odd")
         gone = keep(near_dedup(keyed.select(F.col("_key").alias("doc_id"), "text"), **how).where("not kept").select(F.col("doc_id").alias("_key")).distinct(), "near-gone")
