@@ -76,8 +76,12 @@ def template_matches(rows: DataFrame, templates=TEMPLATES, threshold: float = TH
     found = rows.select("row", "ws", F.posexplode("ws").alias("i", "word")).join(F.broadcast(index), "word").where(F.size("ws") >= F.col("need"))
     starts = F.sequence(F.greatest(F.col("i") - F.col("length") + 1, F.lit(0)), F.col("i"))
     held = F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect(F.slice("ws", s + 1, F.col("length")), "tokens"))))
-    found = found.select("row", "label", "need", F.size("tokens").alias("n"), held.alias("held")).where("held >= need")
-    return found.groupBy("row").agg(F.collect_set("label").alias("near"), F.max(F.col("held") / F.col("n")).alias("share"))
+    found = found.select("row", "label", F.size("tokens").alias("n"), held.alias("held"), "need")
+    # the threshold is asked for within the aggregate: a filter would become a condition of the
+    # join, which could then not be compiled together with the explode, and every exploded
+    # word would take all words of its text along
+    near, share = F.when(F.col("held") >= F.col("need"), F.col("label")), F.when(F.col("held") >= F.col("need"), F.col("held") / F.col("n"))
+    return found.groupBy("row").agg(F.collect_set(near).alias("near"), F.max(share).alias("share")).where("share is not null")
 
 
 def _starts(words: list[str]) -> Column:
