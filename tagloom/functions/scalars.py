@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Extensions by kind of content.
 KINDS = {
-    "image": ["bmp", "gif", "jpeg", "jpg", "png", "webp"],
+    "image": ["bmp", "gif", "ico", "jpeg", "jpg", "png", "tif", "tiff", "webp"],
     "pdf": ["pdf"],
-    "video": ["avi", "m4v", "mkv", "mov", "mp4", "webm"],
-    "text": ["c", "cpp", "css", "csv", "go", "h", "html", "java", "js", "json", "log", "md", "py", "rs", "sh", "toml", "ts", "txt", "xml", "yaml", "yml"],
-}
+    "video": ["3gp", "avi", "flv", "m4v", "mkv", "mov", "mp4", "mpeg", "mpg", "ogv", "webm", "wmv"],
+    "text": [
+        "bash", "c", "cc", "cfg", "conf", "cpp", "css", "csv", "dart", "go", "h", "hpp", "htm", "html", "ini", "java", "js", "json", "jsx", "kt", "log", "lua", "markdown", "md",
+        "php", "pl", "py", "rb", "rs", "sh", "sql", "swift", "toml", "ts", "tsv", "tsx", "txt", "xml", "yaml", "yml", "zsh",
+    ],
+}
 # Fixed value: the colour of a tag that names none.
 DEFAULT_COLOR = "#F44336"
 
@@ -112,12 +115,14 @@ def _utf8(b: Column, less: int) -> Column:
 
 
 def looks_like_text(b) -> Column:
-    """Empty, or: no NUL in the first 1024 bytes, they are UTF-8 up to a cut character, and
-    under 5 % of the characters are control characters other than newline, return, tab."""
+    """Empty, or: no NUL in the first 1024 bytes, and of what is UTF-8 before the first bytes
+    that are not, under 5 % of the characters are control characters other than newline,
+    return, tab. What starts with bytes that are not UTF-8 is no text."""
     head = F.substr(_c(b), F.lit(1), F.lit(1024))
-    text = _valid_prefix(head)
+    raw = head.cast("string")
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.substring_index(F.make_valid_utf8(raw), "\ufffd", 1))
     control = F.regexp_count(text, F.lit("[\\p{Cc}&&[^\\n\\r\\t]]"))
-    return F.when(F.length(head) == 0, True).otherwise(F.coalesce((F.instr(text, "\x00") == 0) & (control * 20 < F.length(text)), F.lit(False)))
+    return F.when(F.length(head) == 0, True).otherwise(F.coalesce((F.instr(F.make_valid_utf8(raw), "\x00") == 0) & (control * 20 < F.length(text)), F.lit(False)))
 
 
 def text_snippet(b, size: int = 256) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +36,29 @@ def chunk_coverage(plan: DataFrame, got: DataFrame) -> DataFrame:
     return g.select("receiver", *KEY, F.coalesce("gap", "size").alias("contiguous"), "missing", (F.col("missing") == 0).alias("complete"))
 
 
-def verify_chunks(chunks: DataFrame, most: int = 256 << 20) -> DataFrame:
-    """(file_id, content_hash, state) of chunks (…, offset, bytes): ok, mismatch, or too_large
-    where the file is over ``most`` bytes and must be checked by its chunk hashes instead."""
-    size = chunks.groupBy(*KEY).agg(F.sum(F.length("bytes")).alias("size"))
-    small = chunks.join(size.where(F.col("size") <= most).select(*KEY), KEY, "left_semi")
-    whole = small.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("offset", "bytes"))).alias("c")).select(*KEY, F.aggregate("c", F.lit(b""), lambda acc, x: F.concat(acc, x["bytes"])).alias("b"))
-    checked = whole.select(*KEY, F.when(F.sha2("b", 256) == F.col("content_hash"), "ok").otherwise("mismatch").alias("state"))
-    return checked.union(size.where(F.col("size") > most).select(*KEY, F.lit("too_large")))
+def verify_chunks(chunks: DataFrame) -> DataFrame:
+    """(file_id, content_hash, state) of chunks (…, offset, bytes): ok or mismatch. The chunks
+    of a file pass a running hash in order of their offsets, so a file may be of any size."""
+
+    def run(batches):
+        key = digest = None
+        for batch in batches:
+            done = []
+            for file_id, content_hash, part in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if (file_id, content_hash) != key:
+                    if key:
+                        done.append((*key, digest.hexdigest()))
+                    key, digest = (file_id, content_hash), hashlib.sha256()
+                digest.update(part or b"")
+            yield _digests(done)
+        yield _digests([(*key, digest.hexdigest())] if key else [])
+
+    def _digests(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], [*KEY, "digest"])
+
+    ordered = chunks.select(*KEY, "bytes", "offset").repartition(*KEY).sortWithinPartitions(*KEY, "offset")
+    found = ordered.select(*KEY, "bytes").mapInArrow(run, "file_id string, content_hash string, digest string")
+    return found.select(*KEY, F.when(F.col("digest") == F.col("content_hash"), "ok").otherwise("mismatch").alias("state"))
 
 
 def receive_outcomes(coverage: DataFrame, got: DataFrame, verified: DataFrame, misses: DataFrame, now: int) -> DataFrame:

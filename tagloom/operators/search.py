@@ -4,6 +4,7 @@ A term is a dict: kind (tag, name, logical, any), negated, regex, text."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
@@ -112,34 +113,38 @@ def _key(t: dict) -> str:
 MARKS = {"/t": "tag", "/n": "name", "/l": "logical", "/p": "physical"}
 
 
+_WORD = re.compile(r"\S+")
+_QUOTED = re.compile(r'"((?:[^"\\]|\\.)*)"', re.S)
+
+
 def _tokens(query: str) -> list[dict]:
-    """A search string as tokens. Words and "quoted" or %regex% runs; ``!`` negates the next
-    one, a mark names the kind of the next one; what has no end or no text is dropped."""
-    out, i, kind, no = [], 0, "any", False
-    while i < len(query):
-        ch = query[i]
-        if ch.isspace():
-            i += 1
+    """A search string as tokens.
+
+    Marks are words of their own: ``!`` negates the next token, others name its kind. A second
+    negation or a second kind spoils the marks so far. The text is a bare word, "quoted" with
+    \\" and \\\\ as escapes, or a %regex%; either may be empty. Marks without a text are dropped,
+    and so is all after a quote or % that does not end."""
+    out, at, marks = [], 0, []
+    while word := _WORD.search(query, at):
+        at, text, regex = word.start(), word.group(), False
+        if text == "!" or text in MARKS:
+            twice = any((m == "!") == (text == "!") for m in marks)
+            marks, at = [] if twice else [*marks, text], word.end()
             continue
-        if ch == "!":
-            no, i = True, i + 1
-            continue
-        if ch in '"%':
-            end = query.find(ch, i + 1)
+        if text[0] == '"':
+            quoted = _QUOTED.match(query, at)
+            if not quoted:
+                break
+            text, at = re.sub(r"\\(.)", lambda m: m[1] if m[1] in '"\\' else m[0], quoted[1], flags=re.S), quoted.end()
+        elif text[0] == "%":
+            end = query.find("%", at + 1)
             if end < 0:
                 break
-            text, regex, i = query[i + 1:end], ch == "%", end + 1
+            text, regex, at = query[at + 1:end], True, end + 1
         else:
-            end = i
-            while end < len(query) and not query[end].isspace():
-                end += 1
-            text, regex, i = query[i:end], False, end
-            if text in MARKS:
-                kind = MARKS[text]
-                continue
-        if text:
-            out.append({"kind": kind, "negated": no, "regex": regex, "text": text})
-        kind, no = "any", False
+            at = word.end()
+        out.append({"kind": next((MARKS[m] for m in marks if m != "!"), "any"), "negated": "!" in marks, "regex": regex, "text": text})
+        marks = []
     return out
 
 

@@ -16,7 +16,7 @@ TABLES = {
  {ms:l_shipdate} AS observed_at,
  CASE l_suppkey % 3 WHEN 0 THEN 'local' ELSE concat('peer',CAST(l_suppkey % 3 AS STRING)) END AS origin,
  CAST(floor(l_quantity) AS BIGINT)*4096 + l_partkey % 4096 AS size FROM lineitem""",
-    "files": """SELECT b.id,b.logical_path,b.logical_path_modified_at, b.deleted_at > greatest(coalesce(v.o,0),b.restored_at) AS deleted,b.deleted_at,b.restored_at
+    "files": """SELECT b.id,b.logical_path,b.logical_path_modified_at, b.deleted_at > 0 AND b.deleted_at >= greatest(coalesce(v.o,0),b.restored_at) AS deleted,b.deleted_at,b.restored_at
  FROM (SELECT md5(concat('f',CAST(o_orderkey AS STRING))) AS id,
  concat(CASE o_orderkey % 4 WHEN 0 THEN 'photos/' WHEN 1 THEN 'notes/' WHEN 2 THEN 'work/' ELSE 'Archive/Photos/' END, CAST(o_custkey AS STRING),'/',lower(substring(o_orderpriority,3)),'-',CAST(o_orderkey AS STRING),
   CASE o_orderkey % 7 WHEN 0 THEN '.md' WHEN 1 THEN '.JPG' WHEN 2 THEN '.pdf' WHEN 3 THEN '.mp4' WHEN 4 THEN '.csv' WHEN 5 THEN '.tmp' ELSE '' END) AS logical_path,

@@ -105,16 +105,20 @@ def _(cat, spark):
     return cat["files"].select("id", S.matches_substring(p, "ARCHIVE/ph").alias("part"), S.matches_regex(p, r"^photos/.*\.jpg$").alias("pattern"), S.matches_regex(p, r"(?-i)\.JPG$").alias("cased"), S.matches_regex(p, "*.md").alias("broken"), S.name_like_ascii(p, "ARCHIVE").alias("ascii"))
 
 
-@query("b10_b11_text_heads", "SELECT doc_id, coalesce(regexp_replace(substring(text, 1, 40), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '') AS head, true AS is_text FROM documents WHERE text IS NOT NULL AND text NOT LIKE concat('%', chr(1), '%')")
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
+WINDOW = "substring(text, 1, list_max(list_filter(range(0, {0} + 1), lambda i: strlen(substring(text, 1, i)) <= {0})))"
+IS_TEXT = f"(text = '' OR (NOT contains({WINDOW.format(1024)}, chr(0)) AND (length({WINDOW.format(1024)}) - length(regexp_replace({WINDOW.format(1024)}, '{CONTROL}', '', 'g'))) * 20 < length({WINDOW.format(1024)})))"
+
+
+@query("b10_b11_text_heads", f"SELECT doc_id, regexp_replace({WINDOW.format(256)}, '{CONTROL}', '', 'g') AS head, {IS_TEXT} AS is_text FROM documents WHERE text IS NOT NULL")
 def _(cat, spark):
-    d = spark.table("documents").where("text is not null and not contains(text, chr(1))")
     raw = F.encode(F.col("text"), "utf-8")
-    return d.select("doc_id", F.substring(S.text_snippet(raw), 1, 40).alias("head"), S.looks_like_text(raw).alias("is_text"))
+    return spark.table("documents").where("text is not null").select("doc_id", S.text_snippet(raw).alias("head"), S.looks_like_text(raw).alias("is_text"))
 
 
-@query("b12_format_size", "SELECT file_id, version_number, CASE WHEN size < 1024 THEN concat(size::VARCHAR, ' B') WHEN size < 1048576 THEN printf('%.1f KiB', size / 1024.0) ELSE printf('%.1f MiB', size / 1048576.0) END AS s FROM versions WHERE size % 512 <> 51")
+@query("b12_format_size", "SELECT file_id, version_number, CASE WHEN size < 1024 THEN concat(size::VARCHAR, ' B') WHEN size < 1048576 THEN printf('%.1f KiB', floor(size / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.1f MiB', floor(size / 1048576.0 * 10 + 0.5) / 10) END AS s FROM versions")
 def _(cat, spark):
-    return cat["versions"].where("size % 512 <> 51").select("file_id", "version_number", S.format_size("size").alias("s"))
+    return cat["versions"].select("file_id", "version_number", S.format_size("size").alias("s"))
 
 
 @query("b13_validate_tags", "SELECT id, name, '#F44336' AS color FROM tags WHERE name NOT LIKE 'Brand#1%'")
@@ -177,7 +181,7 @@ def _(cat, spark):
     return C.storage_stats(cat, cat["placements"])
 
 
-@query("c11_audit_deleted_flag", "SELECT id, NOT deleted AS deleted, deleted AS should_be FROM files WHERE id LIKE '9%'")
+@query("c11_audit_deleted_flag", f"WITH {LV} SELECT f.id, NOT f.deleted AS deleted, f.deleted_at > 0 AND f.deleted_at >= greatest(coalesce(lv.observed_at, 0), f.restored_at) AS should_be FROM files f LEFT JOIN lv ON lv.file_id = f.id WHERE f.id LIKE '9%'")
 def _(cat, spark):
     flipped = cat["files"].withColumn("deleted", F.col("deleted") != F.col("id").startswith("9"))
     return C.audit_deleted_flag({**cat, "files": flipped})
@@ -344,7 +348,7 @@ def _(cat, spark):
 
 @query("f10_tokenize_searches")
 def _(cat, spark):
-    log = spark.table("events").select(F.concat_ws(" ", F.lit("/t"), "event_type", F.when(F.col("user_id") % 2 == 0, F.lit('!"a b"')), F.when(F.col("user_id") % 3 == 0, F.lit("%x$% /l y"))).alias("q"))
+    log = spark.table("events").select(F.concat_ws(" ", F.lit("/t"), "event_type", F.when(F.col("user_id") % 2 == 0, F.lit('! "a b"')), F.when(F.col("user_id") % 3 == 0, F.lit("%x$% /l y"))).alias("q"))
     return X.tokenize_searches(log, "q").select("search", F.to_json("tokens").alias("tokens"))
 
 
@@ -739,9 +743,9 @@ def _contents(spark):
     return d.select(F.md5(F.col("doc_id").cast("string")).alias("file_id"), F.md5("text").alias("content_hash"), F.concat(F.lit("a/b"), F.when(F.col("doc_id") % 10 == 2, F.lit(".mp4")).otherwise(F.lit(""))).alias("path"), F.concat(head, F.encode("text", "utf-8")).alias("content"), "doc_id", "text")
 
 
-@query("k5_classify", "SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'image' WHEN 1 THEN NULL WHEN 2 THEN 'video' ELSE 'text' END AS kind FROM documents WHERE text IS NOT NULL AND text NOT LIKE concat('%', chr(1), '%')")
+@query("k5_classify", f"SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'image' WHEN 1 THEN NULL WHEN 2 THEN 'video' ELSE CASE WHEN {IS_TEXT} THEN 'text' END END AS kind FROM documents WHERE text IS NOT NULL")
 def _(cat, spark):
-    return K.classify(_contents(spark).where("not contains(text, chr(1))")).select("doc_id", "kind")
+    return K.classify(_contents(spark)).select("doc_id", "kind")
 
 
 @query("k6_text_previews")
@@ -792,10 +796,11 @@ def _(cat, spark):
     return L.chunk_coverage(L.chunk_plan(cat["versions"]), L.clean_chunks(_chunk_log(cat), cat["versions"]))
 
 
-@query("l4_verify_chunks", "SELECT md5(CAST(doc_id AS STRING)) AS file_id, CASE WHEN doc_id % 5 = 0 THEN 'mismatch' ELSE 'ok' END AS state FROM documents WHERE length(text) > 0")
+@query("l4_verify_chunks", "SELECT md5(CAST(doc_id AS STRING)) AS file_id, CASE WHEN doc_id % 5 = 0 THEN 'mismatch' ELSE 'ok' END AS state FROM documents")
 def _(cat, spark):
-    d = spark.table("documents").where("length(text) > 0").select(F.md5(F.col("doc_id").cast("string")).alias("file_id"), F.when(F.col("doc_id") % 5 == 0, F.lit("bad")).otherwise(F.sha2("text", 256)).alias("content_hash"), F.encode("text", "utf-8").alias("b"))
-    parts = d.select("file_id", "content_hash", F.explode(F.sequence(F.lit(0), F.length("b") - 1, F.lit(1000))).alias("offset"), "b").select("file_id", "content_hash", "offset", F.substr("b", F.col("offset") + 1, F.lit(1000)).alias("bytes"))
+    text = F.coalesce("text", F.lit(""))
+    d = spark.table("documents").select(F.md5(F.col("doc_id").cast("string")).alias("file_id"), F.when(F.col("doc_id") % 5 == 0, F.lit("bad")).otherwise(F.sha2(text, 256)).alias("content_hash"), F.encode(text, "utf-8").alias("b"))
+    parts = d.select("file_id", "content_hash", F.explode(F.sequence(F.lit(0), F.greatest(F.length("b") - 1, F.lit(0)), F.lit(1000))).alias("offset"), "b").select("file_id", "content_hash", "offset", F.substr("b", F.col("offset") + 1, F.lit(1000)).alias("bytes"))
     return L.verify_chunks(parts).select("file_id", "state")
 
 

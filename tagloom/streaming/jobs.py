@@ -59,31 +59,38 @@ def stream_entries(changes: DataFrame) -> DataFrame:
     return changes.groupBy("tag_id", "target_id", "type").applyInPandasWithState(_fold_entries, "tag_id string, target_id string, type int, modified_at long, deleted boolean", "top long, deleted boolean", "update", GroupStateTimeout.NoTimeout)
 
 
-def newest_snapshot(spark: SparkSession, top: str) -> tuple[int, str] | None:
-    """(batch id, path) of the last complete snapshot below top."""
+def newest_snapshot(spark: SparkSession, top: str, before: int | None = None) -> tuple[int, str] | None:
+    """(batch id, path) of the last complete snapshot below top, or of the last one before a
+    batch."""
     path = spark._jvm.org.apache.hadoop.fs.Path(top)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return None
     names = [x.getPath().getName() for x in fs.listStatus(path)]
     done = [int(n[6:]) for n in names if n.startswith("batch-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{top}/{n}/_SUCCESS"))]
+    done = [n for n in done if before is None or n < before]
     return (max(done), f"{top}/batch-{max(done)}") if done else None
 
 
-def run_snapshots(stream: DataFrame, top: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame], after: Callable | None = None):
-    """Keep a table below top up to date: each batch is merged into the last snapshot and
-    written as a new one. after(batch id, before, now) sees both."""
+def snapshot_batch(top: str, merge: Callable[[DataFrame, DataFrame], DataFrame], after: Callable | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges each batch into the last snapshot before it and
+    writes a new one. A repeated batch starts from the same snapshot as the first time."""
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        last = newest_snapshot(spark, top)
-        base = spark.read.parquet(last[1]) if last and last[0] != number else df.limit(0)
-        now = merge(base, df)
-        now.write.mode("overwrite").parquet(f"{top}/batch-{number}")
+        last = newest_snapshot(spark, top, number)
+        base = spark.read.parquet(last[1]) if last else df.limit(0)
+        merge(base, df).write.mode("overwrite").parquet(f"{top}/batch-{number}")
         if after:
             after(number, base, spark.read.parquet(f"{top}/batch-{number}"))
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return batch
+
+
+def run_snapshots(stream: DataFrame, top: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame], after: Callable | None = None):
+    """Keep a table below top up to date: each batch is merged into the last snapshot and
+    written as a new one. after(batch id, before, now) sees both."""
+    return stream.writeStream.foreachBatch(snapshot_batch(top, merge, after)).option("checkpointLocation", checkpoint)
 
 
 def run_tag_snapshots(stream: DataFrame, top: str, checkpoint: str, **more):

@@ -1,3 +1,4 @@
+import hashlib
 import os
 import random
 
@@ -6,13 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions import scalars as S
-from tagloom.operators import graph, lww, placement, reads, rules, search, shortid
+from tagloom.operators import chunks, graph, lww, placement, previews, reads, rules, search, shortid
 from tagloom.plans import registry
 from tagloom.sources import catalog
-from tagloom.streaming import events
+from tagloom.streaming import events, jobs
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["c1_list_files", "c5_reverts", "d1_short_ids", "d2_resolve_prefixes", "e2_subtags_transitive", "e7_tag_cycles", "f5_search_any", "f9_search_batch", "g2_replay_tags", "g4_replay_entries", "h3_content_decisions", "h8_plan_file_sync", "i6_rule_coverage", "j1_wanted", "j11_directory_drift", "k1_preview_lookup", "l3_chunk_coverage", "m7_operations_state"]
+SOME = ["b10_b11_text_heads", "b12_format_size", "c11_audit_deleted_flag", "k5_classify", "l4_verify_chunks", "c1_list_files", "c5_reverts", "d1_short_ids", "d2_resolve_prefixes", "e2_subtags_transitive", "e7_tag_cycles", "f5_search_any", "f9_search_batch", "g2_replay_tags", "g4_replay_entries", "h3_content_decisions", "h8_plan_file_sync", "i6_rule_coverage", "j1_wanted", "j11_directory_drift", "k1_preview_lookup", "l3_chunk_coverage", "m7_operations_state"]
 
 
 def rows(df):
@@ -114,9 +115,45 @@ def test_collisions_take_the_lowest_free_number(spark):
     assert got == {"f1": "x.tar (1).gz", "f2": "x.tar (3).gz", "f3": ".env"}
 
 
-def test_tokens():
-    kinds = [(t["kind"], t["negated"], t["regex"], t["text"]) for t in search._tokens('foo "a b" /t bar ! /t old %x$% "open')]
-    assert kinds == [("any", False, False, "foo"), ("any", False, False, "a b"), ("tag", False, False, "bar"), ("tag", True, False, "old"), ("any", False, True, "x$")]
+@pytest.mark.parametrize(
+    ("query", "want"),
+    [
+        ("", []), ("  \t ", []), ("foo bar", ["foo", "bar"]), ("! foo", ["-foo"]), ("!foo", ["!foo"]), ("! ! foo", ["foo"]), ("/t foo", ["tag:foo"]), ("! /n foo", ["-name:foo"]), ("/l ! foo", ["-logical:foo"]), ("/t /l foo", ["foo"]),
+        ("/x foo", ["/x", "foo"]), ("/home/a", ["/home/a"]), ("foo !", ["foo"]), ("foo ! /p", ["foo"]), ('"a b" c', ["a b", "c"]), (r'"a\"b" c', ['a"b', "c"]), (r'"a\\b"', [r"a\b"]), (r'"a\nb"', [r"a\nb"]), ('""', [""]), ('a "b', ["a"]), ('"b\\', []),
+        ("%a b% c", ["~a b", "c"]), ("! /l %^x%", ["-logical:~^x"]), ("a %b", ["a"]), ('"%20"', ["%20"]), ('"a"b', ["a", "b"]), ("%%", ["~"]), (r"%a\"%", [r'~a\"']),
+    ],
+)
+def test_tokens(query, want):
+    shown = lambda t: "-" * t["negated"] + (t["kind"] + ":" if t["kind"] != "any" else "") + "~" * t["regex"] + t["text"]
+    assert [shown(t) for t in search._tokens(query)] == want
+
+
+def test_repeated_batch_gives_the_same_snapshot(spark, tmp_path):
+    schema = "id string, name string, color string, modified_at long, deleted boolean"
+    make = lambda *ids: spark.createDataFrame([(i, i, "c", 1, False) for i in ids], schema)
+    batch = jobs.snapshot_batch(f"file://{tmp_path}/tags", lww.merge_tags)
+    batch(make("a", "b"), 0)
+    for _ in range(3):
+        batch(make("c"), 1)
+        assert {r.id for r in spark.read.parquet(jobs.newest_snapshot(spark, f"file://{tmp_path}/tags")[1]).collect()} == {"a", "b", "c"}
+
+
+def test_kinds_of_content(spark):
+    cases = [
+        (b"RIFF0000WEBPVP8 ", "x", "image"), (b"RIFF0000AVI LIST", "x", "video"), (b"RIFF0000WAVEfmt ", "x.txt", "text"), (b"\0\0\0\x18ftypmp42", "x", "video"), (b"\0\0\0\x18ftypheic", "x", "image"), (b"II*\0abc", "x", "image"),
+        (b"PK\3\4abc", "x.md", None), (b"\x1f\x8b\x08aa", "x.csv", None), (b"%PDF-1.7", "x", "pdf"), (b"hello", "a.tsv", "text"), (b"\0\0", "a.wmv", "video"), (b"plain text \xff more plain text", "x", "text"), (b"\xff\xfe", "x", None), (b"a\0b", "x", None), (b"", "x", "text"), (b"\1\2\3ab", "x", None),
+    ]
+    df = spark.createDataFrame([(k, bytearray(c), p) for k, (c, p, _) in enumerate(cases)], "k int, content binary, path string")
+    got = {r.k: r.kind for r in previews.classify(df).collect()}
+    assert [got[k] for k in range(len(cases))] == [want for *_, want in cases]
+
+
+def test_chunks_of_any_size_are_verified(spark):
+    data = {k: os.urandom(n) for k, n in enumerate((0, 1, 3000, 70_000))}
+    rows = [(f"f{k}", hashlib.sha256(b).hexdigest() if k != 2 else "bad", at, bytearray(b[at:at + 700])) for k, b in data.items() for at in range(0, max(len(b), 1), 700)]
+    random.Random(1).shuffle(rows)
+    got = {r.file_id: r.state for r in chunks.verify_chunks(spark.createDataFrame(rows, "file_id string, content_hash string, offset long, bytes binary")).collect()}
+    assert got == {"f0": "ok", "f1": "ok", "f2": "mismatch", "f3": "ok"}
 
 
 def test_bad_changes_are_set_aside(spark):
