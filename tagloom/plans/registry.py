@@ -20,6 +20,7 @@ from ..operators import rules as I
 from ..operators import search as X
 from ..operators import shortid as D
 from ..sources import catalog as A
+from ..streaming import coalesce as Q
 from ..streaming import events as M
 from .fixtures import catalog, oracle
 
@@ -839,26 +840,52 @@ def _(cat, spark):
 # events
 
 
+FEV = """ev AS (SELECT concat('dev', CAST(user_id % 3 AS STRING)) AS device, concat('d', CAST(user_id % 2 AS STRING)) AS directory, event_id AS seq, event_id * 100 + event_id // 20 * 400 AS "at",
+ CASE event_type WHEN 'view' THEN 'modify' WHEN 'click' THEN 'create' WHEN 'purchase' THEN 'remove' ELSE 'move' END AS op,
+ CASE WHEN event_type IN ('view', 'click', 'purchase') OR event_id % 3 <> 0 THEN concat('p', left(md5(CAST(user_id AS STRING)), 1), CASE WHEN event_id % 4 = 0 THEN concat('/', left(md5(CAST(event_id AS STRING)), 2)) ELSE '' END) END AS path,
+ CASE WHEN event_type NOT IN ('view', 'click', 'purchase') AND event_id % 3 <> 1 THEN concat('q', CAST(user_id % 5 AS STRING)) END AS "to", CAST(event_id % 3 AS STRING) AS content_hash FROM events)"""
+
+
 def _file_events(spark):
-    u = F.col("user_id")
-    op = F.when(F.col("event_type") == "view", "modify").when(F.col("event_type") == "click", "create").when(F.col("event_type") == "purchase", "remove").otherwise("move")
-    return spark.table("events").select(F.concat(F.lit("dev"), (u % 3).cast("string")).alias("device"), F.concat(F.lit("d"), (u % 2).cast("string")).alias("directory"), F.col("event_id").alias("seq"), (F.col("event_id") * 100 + F.floor(F.col("event_id") / 20) * 400).alias("at"), op.alias("op"), F.concat(F.lit("p"), (u % 7).cast("string")).alias("path"), F.when(op == "move", F.concat(F.lit("q"), (u % 5).cast("string"))).alias("to"))
+    u, n, t = F.col("user_id"), F.col("event_id"), F.col("event_type")
+    op = F.when(t == "view", "modify").when(t == "click", "create").when(t == "purchase", "remove").otherwise("move")
+    below = F.when(n % 4 == 0, F.concat(F.lit("/"), F.left(F.md5(n.cast("string")), F.lit(2)))).otherwise("")
+    path = F.when((op != "move") | (n % 3 != 0), F.concat(F.lit("p"), F.left(F.md5(u.cast("string")), F.lit(1)), below))
+    to = F.when((op == "move") & (n % 3 != 1), F.concat(F.lit("q"), (u % 5).cast("string")))
+    return spark.table("events").select(F.concat(F.lit("dev"), (u % 3).cast("string")).alias("device"), F.concat(F.lit("d"), (u % 2).cast("string")).alias("directory"), n.alias("seq"), (n * 100 + F.floor(n / 20) * 400).alias("at"), op.alias("op"), path.alias("path"), to.alias("to"), (n % 3).cast("string").alias("content_hash"))
 
 
 @query("m4_coalesce_events")
 def _(cat, spark):
-    return M.coalesce_events(_file_events(spark))
+    return Q.coalesce_events(_file_events(spark))
+
 
+OWN = """ow AS (SELECT device, directory, seq - 1 AS seq, path, CASE WHEN seq % 12 = 0 THEN NULL ELSE CAST(seq // 4 % 3 AS STRING) END AS content_hash FROM ev WHERE seq % 4 = 0 AND path IS NOT NULL),
+ asks AS (SELECT device, directory, seq, op, content_hash, unnest(CASE WHEN op = 'move' AND "to" IS NULL THEN [] WHEN "to" IS NULL THEN [path] WHEN path IS NULL THEN ["to"] ELSE [path, "to"] END) AS path FROM ev),
+ fit AS (SELECT a.device, a.directory, a.path, w.seq AS record, min(a.seq) AS seq FROM asks a ASOF JOIN ow w ON a.device = w.device AND a.directory = w.directory AND a.path = w.path AND a.seq >= w.seq WHERE a.op <> 'modify' OR w.content_hash IS NULL OR w.content_hash = a.content_hash GROUP BY 1, 2, 3, 4)"""
 
-@query("m5_suppress_self_writes")
+
+@query("m5_suppress_self_writes", f"WITH {FEV}, {OWN} SELECT device, directory, seq, op, path, \"to\", content_hash FROM ev WHERE (device, directory, seq) NOT IN (SELECT (device, directory, seq) FROM fit)")
 def _(cat, spark):
-    e = _file_events(spark).where("op <> 'move'").withColumn("content_hash", (F.col("seq") % 3).cast("string"))
-    return M.suppress_self_writes(e, e.where("seq % 4 = 0").withColumn("seq", F.col("seq") - 1))
+    e, s = _file_events(spark), F.col("seq")
+    own = e.where("seq % 4 = 0").select("device", "directory", (s - 1).alias("seq"), "path", F.when(s % 12 != 0, (F.floor(s / 4) % 3).cast("string")).alias("content_hash"))
+    return M.suppress_self_writes(e, own)
+
+
+PLC = "pl AS (SELECT device, directory, path, min(file_id) AS file_id FROM (SELECT device, directory, file_id, concat('p', left(file_id, 1), CASE WHEN file_id < 'c' THEN concat('/', substring(file_id, 2, 2)) ELSE '' END) AS path FROM placements) x GROUP BY 1, 2, 3)"
+DIRV = "di(device, directory, kind) AS (VALUES " + ", ".join(f"('{d[0]}', '{d[1]}', '{d[3]}')" for d in DIRS) + ")"
+HIT = "hit AS (SELECT ev.*, kind, file_id FROM ev JOIN di USING (device, directory) LEFT JOIN pl USING (device, directory, path) WHERE NOT (op = 'move' AND path IS NOT NULL AND \"to\" IS NOT NULL AND kind = 'universal'))"
+CHANGES = """SELECT device, directory, seq, 'create' AS change, md5(concat_ws(chr(31), device, directory, CAST(seq AS STRING), coalesce("to", path))) AS file_id, coalesce("to", path) AS path FROM hit WHERE op = 'create' OR path IS NULL
+ UNION ALL SELECT device, directory, seq, CASE WHEN file_id IS NULL THEN 'rejected' WHEN op = 'modify' THEN 'edit' ELSE 'delete' END, file_id, path FROM hit WHERE op IN ('modify', 'remove')
+ UNION ALL SELECT device, directory, seq, CASE WHEN "to" IS NULL THEN 'delete' ELSE 'move' END, file_id, coalesce("to", path) FROM hit WHERE op = 'move' AND path IS NOT NULL AND file_id IS NOT NULL
+ UNION ALL SELECT h.device, h.directory, seq, CASE WHEN "to" IS NULL THEN 'delete' ELSE 'move' END, pl.file_id, CASE WHEN "to" IS NULL THEN pl.path ELSE concat("to", substring(pl.path, length(h.path) + 1)) END FROM hit h JOIN pl ON pl.device = h.device AND pl.directory = h.directory AND starts_with(pl.path, concat(h.path, '/')) WHERE op = 'move' AND h.file_id IS NULL"""
 
 
-@query("m6_events_to_changes")
+@query("m6_events_to_changes", f"WITH {FEV}, {PLC}, {DIRV}, {HIT} {CHANGES}")
 def _(cat, spark):
-    placed = cat["placements"].select("device", "directory", "file_id", F.concat(F.lit("p"), (F.crc32(F.col("file_id").cast("binary")) % 7).cast("string")).alias("physical_path")).groupBy("device", "directory", "physical_path").agg(F.min("file_id").alias("file_id"))
+    i = F.col("file_id")
+    path = F.concat(F.lit("p"), F.left(i, F.lit(1)), F.when(i < "c", F.concat(F.lit("/"), F.substring(i, 2, 2))).otherwise(""))
+    placed = cat["placements"].groupBy("device", "directory", path.alias("physical_path")).agg(F.min("file_id").alias("file_id"))
     return M.events_to_changes(_file_events(spark), placed, _dirs(spark)).drop("tags")
 
 

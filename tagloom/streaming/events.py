@@ -1,108 +1,111 @@
-"""File events: coalescing, own writes, translation to changes, operation reports."""
+"""File events: own writes, translation to changes, operation reports."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-# Fixed value: an event is final so many ms after its own time.
-QUIET = 500
-
-
-def _settle(events: list[dict]) -> list[dict]:
-    """Coalesce the events of one burst, in order: modifies before a remove go, a create and
-    its remove cancel, a create takes up later modifies and renames, modifies collapse, and
-    rename away + create + remove (an editor's save) is one modify."""
-    out: list[dict] = []
-
-    def last(path: str):
-        return next((e for e in reversed(out) if path in (e["path"], e["to"])), None)
-
-    for e in events:
-        before = last(e["path"])
-        if e["op"] == "modify":
-            if before is not None and before["op"] in ("create", "modify") and before["path"] == e["path"]:
-                continue
-            out.append(e)
-        elif e["op"] == "remove":
-            out[:] = [x for x in out if not (x["op"] == "modify" and x["path"] == e["path"])]
-            made = next((x for x in out if x["op"] == "create" and x["path"] == e["path"]), None)
-            away = next((x for x in out if x["op"] == "move" and x["to"] == e["path"]), None)
-            if made:
-                out.remove(made)
-            elif away:
-                again = next((x for x in out if x["op"] == "create" and x["path"] == away["path"]), None)
-                out.remove(away)
-                if again:
-                    out[out.index(again)] = {**again, "op": "modify"}
-                else:
-                    out.append({**e, "path": away["path"]})
-            else:
-                out.append(e)
-        elif e["op"] == "move":
-            made = next((x for x in out if x["op"] == "create" and x["path"] == e["path"]), None)
-            if made:
-                out[out.index(made)] = {**made, "path": e["to"]}
-            else:
-                out.append(e)
-        else:
-            out.append(e)
-    return out
-
-
-def coalesce_events(df: DataFrame) -> DataFrame:
-    """Batch form over events (device, seq, at, op, path, to). A device's queue is cut where
-    nothing came for the quiet time, and each burst is settled by itself, so no task holds
-    more than one burst. Events of other kinds are dropped."""
-    known = df.where(F.col("op").isin("create", "modify", "move", "remove"))
-    w = Window.partitionBy("device").orderBy("at", "seq")
-    burst = F.sum(F.when(F.col("at") - F.lag("at").over(w) > QUIET, 1).otherwise(0)).over(w)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["at", "seq"]).astype(object).where(group.notna(), None).to_dict("records")
-        return pd.DataFrame(_settle(rows), columns=["device", "seq", "at", "op", "path", "to"])
-
-    cut = known.withColumn("gap", F.when(F.col("at") - F.lag("at").over(w) > QUIET, 1).otherwise(0)).withColumn("burst", F.sum("gap").over(w)).drop("gap")
-    return cut.groupBy("device", "burst").applyInPandas(run, "device string, seq long, at long, op string, path string, to string")
+WRITE = "device string, directory string, seq long, op string, path string, to string, content_hash string"
+FIELDS = [c.split()[0] for c in WRITE.split(", ")]
 
 
 def suppress_self_writes(events: DataFrame, writes: DataFrame) -> DataFrame:
-    """Events (device, path, seq, op, content_hash) without those that a recorded own write
-    (device, path, seq, op, content_hash) explains. A match uses the record up; a modify
-    needs equal content, or else the record stays. Folded per path, in order."""
-    w = writes.select("device", "path", "seq", F.lit(True).alias("own"), "op", "content_hash")
-    e = events.select("device", "path", "seq", F.lit(False).alias("own"), "op", "content_hash")
-    lists = e.unionByName(w).groupBy("device", "path").agg(F.array_sort(F.collect_list(F.struct("seq", "own", "op", "content_hash"))).alias("q"))
-    kind = "struct<seq:bigint,own:boolean,op:string,content_hash:string>"
-    zero = F.struct(F.array().cast(f"array<{kind}>").alias("pending"), F.array().cast(f"array<{kind}>").alias("out"))
-
-    def step(s, x):
-        fits = F.filter(s.pending, lambda p: (p.op == x.op) & ((x.op != "modify") | p.content_hash.eqNullSafe(x.content_hash)))
-        hit = F.try_element_at(fits, F.lit(1))
-        x_ = F.struct(x.seq.cast("long").alias("seq"), x.own.alias("own"), x.op.alias("op"), x.content_hash.alias("content_hash"))
-        pending = F.when(x.own, F.concat(s.pending, F.array(x_))).when(hit.isNotNull(), F.filter(s.pending, lambda p: p.seq != hit.seq)).otherwise(s.pending)
-        return F.struct(pending.alias("pending"), F.when(x.own | hit.isNotNull(), s.out).otherwise(F.concat(s.out, F.array(x_))).alias("out"))
-
-    return lists.select("device", "path", F.explode(F.aggregate("q", zero, step)["out"]).alias("e")).select("device", "path", "e.seq", "e.op", "e.content_hash")
-
-
-def events_to_changes(events: DataFrame, placements: DataFrame, dirs: DataFrame) -> DataFrame:
-    """Change rows for settled events (device, directory, seq, op, path, to): by the kind of
-    the directory and whether the path is placed. Moves inside a universal directory are
-    ignored; in a tag directory they move the file."""
-    known = placements.select("device", "directory", F.col("physical_path").alias("path"), "file_id")
-    j = events.join(F.broadcast(dirs.select("device", "directory", "kind", "tags")), ["device", "directory"]).join(known, ["device", "directory", "path"], "left")
-    op = (
-        F.when((F.col("op") == "move") & (F.col("kind") == "universal") & F.col("file_id").isNotNull(), None)
-        .when((F.col("op") == "move") & F.col("file_id").isNotNull(), "move")
-        .when(F.col("op").isin("create", "modify", "move") & F.col("file_id").isNull(), "create")
-        .when(F.col("op").isin("create", "modify"), "edit")
-        .when((F.col("op") == "remove") & F.col("file_id").isNotNull(), "delete")
-    )
-    path = F.coalesce("to", "path")
-    tags = F.when(F.col("file_id").isNull() & (F.col("kind") != "universal"), F.col("tags")).otherwise(F.array().cast("array<string>"))
-    return j.select("device", "directory", "seq", op.alias("change"), F.coalesce("file_id", F.md5(F.concat_ws("\x00", "device", "directory", path))).alias("file_id"), path.alias("path"), tags.alias("tags")).where("change is not null")
+    """Events (device, directory, seq, op, path, to, content_hash) without those that an own
+    write (device, directory, seq, path, content_hash) explains.
+
+    A path has at most one record pending, the newest write before the event. Any create,
+    remove, move in or whole rename that finds one uses it up and goes; a whole rename asks
+    both its paths. A modify does so only if the hashes agree or one is unknown, or else the
+    record stays. A move out asks nothing. seq orders events and writes of a device, a write
+    before an event of the same seq, and is unique among its events. Rows without device,
+    directory or seq match nothing and stay. Renames within a universal directory have no
+    meaning and should be left out before."""
+    key = ["device", "directory", "at_path"]
+    asks = F.when((F.col("op") == "move") & F.col("to").isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.array("path", "to"))))
+    touches = events.select("device", "directory", "seq", F.lit(False).alias("own"), "op", "content_hash", F.explode(asks).alias("at_path"))
+    records = writes.where("path is not null").select("device", "directory", "seq", F.lit(True).alias("own"), F.lit(None).cast("string").alias("op"), "content_hash", F.col("path").alias("at_path"))
+    w = Window.partitionBy(*key).orderBy("seq", F.desc("own"), "content_hash")
+    newest = F.last(F.when(F.col("own"), F.struct("seq", "content_hash")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    asked = touches.unionByName(records).withColumn("record", newest).where("not own and record is not null")
+    fits = (F.col("op") != "modify") | F.coalesce(F.col("content_hash") == F.col("record.content_hash"), F.lit(True))
+    before = F.count("*").over(Window.partitionBy(*key, "record.seq").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    gone = asked.where(fits).withColumn("n", before).where("n = 1").select("device", "directory", "seq").distinct()
+    return events.select(*FIELDS).join(gone, ["device", "directory", "seq"], "left_anti").select(*FIELDS)
+
+
+def _fold_writes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    pending: dict = json.loads(state.get[0]) if state.exists else {}
+    rows, out = pd.concat(list(batches)).sort_values(["seq", "own"], ascending=[True, False]), []
+    own = rows.pop("own").tolist()
+    rows = rows[FIELDS].astype(object)
+    for mine, event in zip(own, rows.where(rows.notna(), None).itertuples(index=False, name=None)):
+        _, _, _, op, path, to, digest = event
+        if mine:
+            pending[path] = digest
+            continue
+        asks = [] if op == "move" and to is None else [p for p in (path, to) if p in pending]
+        used = [p for p in asks if op != "modify" or None in (digest, pending[p]) or digest == pending[p]]
+        for p in set(used):
+            del pending[p]
+        if not used:
+            out.append(event)
+    state.update((json.dumps(pending),))
+    if out:
+        yield pd.DataFrame(out, columns=FIELDS).astype({"seq": "Int64"})
+
+
+def stream_suppress(log: DataFrame) -> DataFrame:
+    """suppress_self_writes of one stream of events and own writes, told apart by a boolean
+    column ``own``. The pending records of a directory are its state. Agrees with the batch
+    form as long as seq grows from batch to batch; rows without device, directory, seq or own
+    and writes without a path are dropped."""
+    known = log.where("device is not null and directory is not null and seq is not null and own is not null and (not own or path is not null)")
+    return known.select(*FIELDS, "own").groupBy("device", "directory").applyInPandasWithState(_fold_writes, WRITE, "pending string", "append", GroupStateTimeout.NoTimeout)
+
+
+def _above(path: Column) -> Column:
+    """All directories that a path lies in, itself aside."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.when(n < F.size(parts), F.array_join(F.slice(parts, 1, n), "/")))
+
+
+def events_to_changes(events: DataFrame, placements: DataFrame, dirs: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """Changes (device, directory, seq, change, file_id, path, tags) for final events (device,
+    directory, seq, op, path, to) by the kind of the directory and what is placed there.
+
+    create and move in: a new file, with the directory's tags unless it is universal. Whole
+    rename: nothing in a universal directory, else a move of the file, or of every file below
+    a renamed directory. Move out: delete of the file, or of every file below. modify and
+    remove: edit and delete; of a path that is not placed, ``rejected`` without a file_id. A
+    path that is moved in and has files below it in ``listing`` (device, directory, path) is a
+    directory and gives one new file each. Events of an unknown directory and of another op
+    give nothing; new ids are derived from device, directory, seq and path."""
+    where, keys = ["device", "directory"], ["device", "directory", "seq", "op", "path", "to", "kind", "tags"]
+    e = events.select(*keys[:6]).join(F.broadcast(dirs.select(*where, "kind", "tags")), where)
+    e = e.where(~((F.col("op") == "move") & F.col("path").isNotNull() & F.col("to").isNotNull() & (F.col("kind") == "universal")))
+    known = placements.select(*where, F.col("physical_path").alias("path"), "file_id")
+    old = e.where("path is not null and op <> 'create'").join(known, [*where, "path"], "left")
+    hit = F.col("file_id").isNotNull()
+    change = F.when(hit & (F.col("op") == "modify"), "edit").when(hit & ((F.col("op") == "remove") | F.col("to").isNull()), "delete").when(hit, "move").when(F.col("op").isin("modify", "remove"), "rejected")
+    none = F.array().cast("array<string>")
+    single = old.where(F.col("op").isin("modify", "remove", "move")).select(*where, "seq", change.alias("change"), "file_id", F.coalesce("to", "path").alias("path"), none.alias("tags")).where("change is not null")
+    # every placed file under each directory above it, met by equal paths
+    below = known.select(*where, F.col("path").alias("inner"), F.col("file_id").alias("inner_id"), F.explode(_above(F.col("path"))).alias("path")).where("path is not null")
+    many = old.where("op = 'move' and file_id is null").join(below, [*where, "path"])
+    moved = F.concat("to", F.expr("substring(inner, length(path) + 1)"))
+    many = many.select(*where, "seq", F.when(F.col("to").isNull(), "delete").otherwise("move").alias("change"), F.col("inner_id").alias("file_id"), F.coalesce(moved, "inner").alias("path"), none.alias("tags"))
+    fresh = e.where("op = 'create' or (op = 'move' and path is null and to is not null)").select(*where, "seq", "kind", "tags", F.coalesce("to", "path").alias("path"), (F.col("op") == "move").alias("inside"))
+    if listing is not None:
+        files = listing.select(*where, F.col("path").alias("inner"), F.explode(_above(F.col("path"))).alias("path"), F.lit(True).alias("inside")).where("path is not null")
+        fresh = fresh.join(files, [*where, "path", "inside"], "left").withColumn("path", F.coalesce("inner", "path"))
+    tags = F.when(F.col("kind") == "universal", none).otherwise(F.coalesce("tags", none))
+    new = fresh.select(*where, "seq", F.lit("create").alias("change"), F.md5(F.concat_ws("\x1f", *where, F.col("seq").cast("string"), "path")).alias("file_id"), "path", tags.alias("tags"))
+    return single.unionByName(many).unionByName(new)
 
 
 def operations_state(events: DataFrame) -> DataFrame:
