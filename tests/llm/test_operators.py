@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.llm import decontamination, exact_dedup, gru, language_id, license_scan, line_dedup, lm_scoring, minhash, packing, repeats, toxicity
 from tagloom.llm.components import components
@@ -457,3 +458,21 @@ def test_pipeline_stages_judge_rows_by_their_own_text(spark):
     got = [(r.doc_id, r.text) for r in minhash.without_near_copies(docs, num=80).collect()]
     assert len(got) == 5 and {(2, c), (7, None), (8, "")} <= set(got) and sum(t == a or t == near for _, t in got) == 1
     assert minhash.without_near_copies(docs.limit(0)).count() == exact_dedup.without_copies(docs.limit(0)).count() == 0
+
+
+def test_bounds_of_the_distance_decide_like_the_distance(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeéilmnorstu") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    rows = [("", ""), ("a", ""), ("", "x" * 500)]
+    for n in (4, 40, 120, 700, 1300):
+        for share in (0.01, 0.15, 0.25, 0.4, 1):
+            a = [rng.choice(words) for _ in range(n)]
+            b = list(a)
+            for _ in range(max(1, int(share * n))):
+                k = rng.randrange(len(b))
+                b[k : k + 1] = rng.choice([[rng.choice(words)], [], [b[k], rng.choice(words)]]) if len(b) > 1 else [rng.choice(words)]
+            rows.append((" ".join(a), " ".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    whole = F.levenshtein("a", "b") <= F.floor(0.2 * F.greatest(F.length("a"), F.length("b")) + 1e-9)
+    got = df.select(line_dedup._similar("a", "b", 0.8).alias("s"), whole.alias("w")).collect()
+    assert all(r.s == r.w for r in got) and 0 < sum(r.w for r in got) < len(got)
