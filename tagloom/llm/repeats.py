@@ -10,10 +10,11 @@ narrowed down by content-defined anchors, so that only what may repeat is looked
 3. covers: consecutive windows of one core form a run; runs whose whole bytes are equal
    repeat as a whole and are settled by one key, a cryptographic digest of the bytes;
 4. windows: only where one core has different covers are single windows compared, one
-   set for each different cover.
+   set for each different cover, by a difference-cover sort of their suffixes.
 
-Equal windows have equal leaders and cores at equal offsets, so nothing is missed. Texts
-with a repeated leader are written once, bucketed by row; later joins read them in place.
+Equal windows have equal leaders and cores at equal offsets, so nothing is missed, and a
+chance collision of the hashes in 1 and 2 only leaves more to compare. Texts with a repeated
+leader are written once, bucketed by row; later joins read them in place.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import delete, discard, scratch, shared_dir, shuffles_given_up, stage, table
+from .suffix_sort import Reach, repeated, triples
 
 LENGTH = 200
 PRIMES = (2147483647, 2147483629)
@@ -215,18 +217,11 @@ def _remove_repeats(docs: DataFrame, length: int, name: str) -> DataFrame:
     discard(spark, "repeats-cores")
     apart = classes.join(mixed, "core", "left_semi").select("one.row", F.struct("one.a", "one.b", F.col("n").cast("int").alias("n")).alias("r")).groupBy("row").agg(F.collect_list("r").alias("ranges"))
 
-    def windows(text: bytes, ranges: list[dict]):
-        h = Hashes(text)
-        at = np.concatenate([np.arange(r["a"], r["b"] + 1) for r in ranges])
-        n = np.concatenate([np.full(r["b"] - r["a"] + 1, r["n"]) for r in ranges])
-        return h(at, at + length).view(np.int64), at, n
-
-    schema = _schema(w="long", at="int", n="int")
-    seen = stage(corpus.select("row", "text").join(apart, "row").mapInArrow(_rows(schema, windows), _ddl(schema)), "repeats-windows")
-    again = seen.groupBy("w").agg(F.count("*").alias("k")).where("k > 1").select("w")
-    single = seen.where("n = 1").join(again, "w", "left_semi").select("row", F.col("at").alias("a"), F.col("at").alias("b"))
-    lost = whole.union(stage(single, "repeats-single"))
-    discard(spark, "repeats-windows", "repeats-classes")
+    schema = _schema(at="int", n="int", edge="long", k0="long", k1="long", k2="long")
+    places = corpus.select("row", "text").join(apart, "row").mapInArrow(_rows(schema, triples(Reach(length))), _ddl(schema))
+    single = repeated(stage(places, "repeats-places"), length).select("row", F.col("at").alias("a"), F.col("at").alias("b"))
+    lost = whole.union(single)
+    discard(spark, "repeats-classes")
     gone = lost.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 

@@ -12,7 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.llm import decontamination, exact_dedup, gru, language_id, license_scan, line_dedup, lm_scoring, minhash, packing, repeats, toxicity
+from tagloom.llm import decontamination, exact_dedup, gru, language_id, license_scan, line_dedup, lm_scoring, minhash, packing, repeats, suffix_sort, toxicity
+from tagloom.llm.common import scratch
 from tagloom.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n int, a long, keep_id string"
@@ -93,6 +94,45 @@ def test_repeats(spark, texts):
     assert repeats.remove_repeats(table(spark, []), length).count() == 0
 
 
+@pytest.mark.parametrize("length", [5, 9, 26, 83, 200, 240])
+def test_suffix_sort_finds_equal_windows(spark, length):
+    """By brute force, over texts that share passages at all shifts modulo 3, with bytes
+    above 127 and runs of one letter; every second window is only looked at, not given out."""
+    rng = random.Random(length)
+    passages = [bytes(rng.choice(b"ab\xc3") for _ in range(length + k)) for k in (0, 1, 40)] + [b"z" * (length + 9)]
+    texts = [b"".join(bytes(rng.choice(b"xy") for _ in range(rng.randrange(7))) + rng.choice(passages) for _ in range(4)) for _ in range(12)]
+    ranges = [[{"a": a, "b": min(a + w, len(t) - length), "n": 1 + a % 2} for a in range(0, len(t) - length + 1, 2 * w)] for t, w in zip(texts, [1, 3, 50] * 4)]
+    made, reach, at_all = [], suffix_sort.Reach(length), []
+    for row, (t, r) in enumerate(zip(texts, ranges)):
+        r = [x for x in r if x["a"] <= x["b"]]
+        r = [x for k, x in enumerate(r) if not k or x["a"] > r[k - 1]["b"]]
+        cols = suffix_sort.triples(reach)(t, r)
+        made += [(row, *map(int, v)) for v in zip(*cols)]
+        at_all += [(row, p, x["n"]) for x in r for p in range(x["a"], x["b"] + 1)]
+    count = Counter(texts[row][p:p + length] for row, p, _ in at_all)
+    want = {(row, p) for row, p, n in at_all if n == 1 and count[texts[row][p:p + length]] > 1}
+    places = spark.createDataFrame(made, "row long, at int, n int, edge long, k0 long, k1 long, k2 long")
+    with scratch(spark):
+        got = {tuple(r) for r in suffix_sort.repeated(places, length).collect()}
+        assert got == want and want
+        assert suffix_sort.repeated(places.limit(0), length).count() == 0
+
+
+def test_repeats_of_200_bytes(spark, texts):
+    """The length that is used: passages of 199, 200 and more bytes in other surroundings."""
+    rng = random.Random(4)
+    p = "".join(rng.choice("abcdeé ") for _ in range(400)).encode()[:340].decode(errors="ignore")
+    data = [words(rng, 20) + p[k:k + n] + words(rng, 30) for k, n in ((0, 180), (0, 230), (10, 240), (60, 250), (3, 330), (90, 240))] + [p, p + "x", None]
+    raw = [(t or "").encode() for t in data]
+    count = Counter(b[i:i + 200] for b in raw for i in range(len(b) - 199))
+    got = {r.doc_id: r for r in repeats.remove_repeats(table(spark, data)).collect()}
+    for i, b in enumerate(raw):
+        off = {k for s in range(len(b) - 199) if count[b[s:s + 200]] > 1 for k in range(s, s + 200)}
+        assert got[i].n_removed == len(off)
+        assert got[i].kept_sha256 == hashlib.sha256(bytes(c for k, c in enumerate(b) if k not in off)).hexdigest()
+    assert any(r.n_removed for r in got.values())
+
+
 def test_myers():
     rng = random.Random(2)
     for _ in range(60):
