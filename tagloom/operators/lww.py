@@ -41,10 +41,13 @@ def replay_tags(changes: DataFrame) -> DataFrame:
 
     All four share one clock. What comes before the first add is ignored; a rename or
     recolour does not bring a removed tag back, an add does. value is the name (the colour
-    for recolor)."""
+    for recolor); an add sets the colour too if changes have a column color."""
     ok = _accepted_tags(changes).where("accepted")
     when = lambda *ops: F.when(F.col("op").isin(*ops), F.col("seq"))
-    out = ok.groupBy("id").agg(F.max_by("value", when("add", "rename")).alias("name"), F.max_by("value", when("recolor")).alias("color"), F.max("modified_at").alias("modified_at"), (F.max_by("op", when("add", "remove")) == "remove").alias("deleted"))
+    color = F.max_by("value", when("recolor"))
+    if "color" in changes.columns:
+        color = F.max_by(F.when(F.col("op") == "add", F.col("color")).otherwise(F.col("value")), when("add", "recolor"))
+    out = ok.groupBy("id").agg(F.max_by("value", when("add", "rename")).alias("name"), color.alias("color"), F.max("modified_at").alias("modified_at"), (F.max_by("op", when("add", "remove")) == "remove").alias("deleted"))
     return out
 
 
@@ -77,15 +80,19 @@ def replay_tombstones(changes: DataFrame) -> DataFrame:
     """State of each file after its changes (seq, file_id, op, at) in order; op edit, delete,
     restore. A delete of a dead file is skipped and one not newer than the last edit and
     restore does not count; the restore clock only goes forward and revives if newer than
-    the deletion; so does an edit. The fold runs on a file's own short list of changes."""
-    ordered = changes.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "at"))).alias("c"))
+    the deletion; so does an edit. A restore of what a live file holds already does nothing;
+    it is marked by a true column ``same``, if there is one. The fold runs on a file's own
+    short list of changes."""
+    same = F.coalesce("same", F.lit(False)) if "same" in changes.columns else F.lit(False)
+    ordered = changes.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "at", same.alias("same")))).alias("c"))
     zero = F.struct(F.lit(False).alias("deleted"), *[F.lit(0).cast("long").alias(k) for k in ("observed_at", "deleted_at", "restored_at")])
 
     def step(s, c):
         kills = (c.op == "delete") & ~s.deleted & (c["at"] > F.greatest(s.observed_at, s.restored_at))
         edited = F.when(c.op == "edit", c["at"]).otherwise(s.observed_at)
-        restored = F.when((c.op == "restore") & (c["at"] > s.restored_at), c["at"]).otherwise(s.restored_at)
-        revives = ((c.op == "edit") & (c["at"] > s.deleted_at)) | ((c.op == "restore") & (restored > s.deleted_at))
+        restores = (c.op == "restore") & (s.deleted | ~c.same)
+        restored = F.when(restores & (c["at"] > s.restored_at), c["at"]).otherwise(s.restored_at)
+        revives = ((c.op == "edit") & (c["at"] > s.deleted_at)) | (restores & (F.greatest(restored, s.observed_at) > s.deleted_at))
         return F.struct((kills | (s.deleted & ~revives)).alias("deleted"), edited.alias("observed_at"), F.when(kills, c["at"]).otherwise(s.deleted_at).alias("deleted_at"), restored.alias("restored_at"))
 
     return ordered.select("file_id", F.aggregate("c", zero, step).alias("s")).select("file_id", "s.*")
@@ -98,6 +105,40 @@ def replay(changes: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {"tags": replay_tags(changes["tags"]), "entries": replay_entries(changes["entries"]), "files": files}
 
 
+def replay_log(log: DataFrame) -> dict[str, DataFrame]:
+    """files, versions, tags and entries from one log of wire changes (sources.catalog,
+    read_wire_changes), in order of seq.
+
+    A file exists from its first FileMetadataAdded on, which also carries its tags; what
+    comes before it is ignored. FileMetadataAdded and FileMetadataChanged append a version,
+    observed on arrival, unless the file holds that content already; a restore appends none.
+    Changes of metadata are taken note of nowhere. Rows without their id are ignored."""
+    born = F.min(F.when(F.col("op") == "FileMetadataAdded", F.col("seq"))).over(Window.partitionBy("file_id"))
+    known = log.where(F.col("op").isin("FileMetadataAdded", "FileMetadataChanged", "FileMoved", "FileDeleted", "FileRestored") & F.col("file_id").isNotNull()).withColumn("born", born).where("seq >= born")
+    announces = F.col("op").isin("FileMetadataAdded", "FileMetadataChanged")
+    before = F.last(F.when(announces, F.col("content_hash")), ignorenulls=True).over(Window.partitionBy("file_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    known = known.withColumn("same", F.coalesce(F.col("content_hash") == before, F.lit(False)))
+    number = F.row_number().over(Window.partitionBy("file_id").orderBy("seq")).cast("long")
+    versions = known.where(announces & ~F.col("same")).select("file_id", "content_hash", F.col("at").alias("observed_at"), number.alias("version_number"), "origin", "size")
+
+    paths = known.where(F.col("op").isin("FileMetadataAdded", "FileMoved")).select("seq", "file_id", F.when(F.col("op") == "FileMoved", "move").otherwise("add").alias("op"), F.col("logical_path").alias("path"), F.coalesce("modified_at", "logical_path_modified_at").alias("modified_at"))
+    kind = F.when(announces & ~F.col("same"), "edit").when(F.col("op") == "FileDeleted", "delete").when(F.col("op") == "FileRestored", "restore")
+    when = F.when(announces, F.col("at")).otherwise(F.coalesce("deleted_at", "restored_at"))
+    clocks = known.select("seq", "file_id", kind.alias("op"), when.alias("at"), "same").where("op is not null")
+
+    tag_ops = {"TagAdded": "add", "TagRenamed": "rename", "TagRecolored": "recolor", "TagRemoved": "remove"}
+    ops = F.create_map(*[F.lit(x) for pair in tag_ops.items() for x in pair])
+    value = F.when(F.col("op") == "TagRecolored", F.col("color")).otherwise(F.col("tag_name"))
+    tags = log.where(F.col("op").isin(*tag_ops) & F.col("tag_id").isNotNull()).select("seq", F.col("tag_id").alias("id"), ops[F.col("op")].alias("op"), value.alias("value"), "color", "modified_at")
+
+    tagged = log.where(F.col("op").isin("FileTagged", "FileUntagged", "TagTagged", "TagUntagged"))
+    of_file = F.col("op").startswith("File")
+    edges = tagged.select("seq", "tag_id", F.when(of_file, F.col("file_id")).otherwise(F.col("taggee_id")).alias("target_id"), F.when(of_file, 0).otherwise(1).alias("type"), F.when(F.col("op").endswith("Untagged"), "untag").otherwise("tag").alias("op"), "modified_at")
+    carried = known.where("seq = born").select("seq", F.explode("tags").alias("tag_id"), F.col("file_id").alias("target_id"), F.lit(0).alias("type"), F.lit("tag").alias("op"), F.col("logical_path_modified_at").alias("modified_at"))
+    edges = edges.unionByName(carried).where("tag_id is not null and target_id is not null")
+    return {**replay({"tags": tags, "entries": edges, "paths": paths, "tombstones": clocks}), "versions": versions}
+
+
 def rejected_changes(changes: DataFrame) -> DataFrame:
     """Tag changes that the replay does not accept."""
     return _accepted_tags(changes).where("not accepted").drop("accepted")

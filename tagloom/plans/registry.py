@@ -428,6 +428,34 @@ def _(cat, spark):
     return G.replay({"tags": cat["tag_changes"], "entries": _edge_changes(cat), "paths": _path_changes(cat), "tombstones": c})["files"]
 
 
+def _wire(spark):
+    """A log of wire changes of all variants from the events, one in 50 cut off."""
+    k, kinds = F.col("event_id"), F.array(*[F.lit(v) for v in A.VARIANTS])
+    at = (k * 7919) % 9973
+    named = {"file_id": F.concat(F.lit("f"), (k % 13).cast("string")), "logical_path": F.concat(F.lit("p/"), (k % 7).cast("string")), "logical_path_modified_at": at, "content_hash": F.concat(F.lit("h"), (at % 3).cast("string")), "size": k % 1000, "modified_at": at, "deleted_at": at, "restored_at": at + 5, "tag_id": F.concat(F.lit("t"), (k % 11).cast("string")), "taggee_id": F.concat(F.lit("t"), (k % 5).cast("string")), "tag_name": F.concat(F.lit("n"), (k % 3).cast("string")), "color": F.lit("#000000")}
+    value = F.struct(*[v.alias(n) for n, v in named.items()], F.array(F.lit("t1"), F.lit("t2")).alias("tags"))
+    record = F.to_json(F.struct(k.alias("seq"), k.alias("at"), F.lit("peer1").alias("origin"), F.create_map(F.element_at(kinds, (F.pmod(at, F.lit(16)) + 1).cast("int")), value).alias("change")))
+    return spark.table("events").select(F.when(k % 50 == 3, F.substring(record, 1, 40)).otherwise(record).alias("value"))
+
+
+WIRE = "wi AS (SELECT event_id AS seq, (event_id * 7919) % 9973 AS c, concat('f', event_id % 13) AS file_id, event_id % 1000 AS size FROM events WHERE event_id % 50 <> 3), kn AS (SELECT * FROM (SELECT *, c % 16 AS op, concat('h', c % 3) AS h, min(seq) FILTER (c % 16 = 0) OVER (PARTITION BY file_id) AS born FROM wi WHERE c % 16 < 5) WHERE seq >= born)"
+
+
+@query("a3_read_wire_changes", f"WITH {WIRE} SELECT seq, concat('t', seq % 11) AS tag_id, list_extract([{', '.join(repr(v) for v in A.VARIANTS)}], (c % 16 + 1)::INT) AS op, c AS modified_at FROM wi")
+def _(cat, spark):
+    return A.read_wire_changes(_wire(spark))[0].select("seq", "tag_id", "op", "modified_at")
+
+
+@query("g8_replay_log_versions", f"WITH {WIRE}, p AS (SELECT *, lag(h) OVER (PARTITION BY file_id ORDER BY seq) AS b FROM kn WHERE op IN (0, 2)) SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY seq) AS version_number, h AS content_hash, seq AS observed_at, size FROM p WHERE h IS DISTINCT FROM b")
+def _(cat, spark):
+    return G.replay_log(A.read_wire_changes(_wire(spark))[0])["versions"].select("file_id", "version_number", "content_hash", "observed_at", "size")
+
+
+@query("g8_replay_log_paths", f"WITH {WIRE}, x AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY c DESC, seq) AS n FROM kn WHERE seq = born OR op = 1) SELECT file_id AS id, concat('p/', seq % 7) AS logical_path, c AS logical_path_modified_at FROM x WHERE n = 1")
+def _(cat, spark):
+    return G.replay_log(A.read_wire_changes(_wire(spark))[0])["files"].select("id", "logical_path", "logical_path_modified_at")
+
+
 @query("g9_rejected_changes", f"WITH {ACC} SELECT seq, id, op FROM acc WHERE NOT ok")
 def _(cat, spark):
     return G.rejected_changes(cat["tag_changes"]).select("seq", "id", "op")

@@ -16,6 +16,27 @@ CHANGE = "seq bigint, op string, id string, tag_id string, target_id string, typ
 # Kinds of change record.
 OPS = ["add", "edit", "move", "delete", "restore", "tag", "untag", "tag_add", "tag_rename", "tag_recolor", "tag_remove"]
 
+# Variants of a wire change record and the fields each of them must have.
+VARIANTS = {
+    "FileMetadataAdded": ["file_id", "logical_path", "logical_path_modified_at", "content_hash", "size", "tags"],
+    "FileMoved": ["file_id", "logical_path", "modified_at"],
+    "FileMetadataChanged": ["file_id", "content_hash", "size"],
+    "FileDeleted": ["file_id", "deleted_at"],
+    "FileRestored": ["file_id", "content_hash", "size", "restored_at"],
+    "TagAdded": ["tag_id", "tag_name", "color", "modified_at"],
+    "TagRenamed": ["tag_id", "tag_name", "modified_at"],
+    "TagRecolored": ["tag_id", "color", "modified_at"],
+    "TagChanged": ["tag_id", "modified_at"],
+    "TagRemoved": ["tag_id", "modified_at"],
+    "FileTagged": ["file_id", "tag_id", "modified_at"],
+    "FileTagChanged": ["file_id", "tag_id", "modified_at"],
+    "FileUntagged": ["file_id", "tag_id", "modified_at"],
+    "TagTagged": ["taggee_id", "tag_id", "modified_at"],
+    "TagTagChanged": ["taggee_id", "tag_id", "modified_at"],
+    "TagUntagged": ["taggee_id", "tag_id", "modified_at"],
+}
+FIELDS = "file_id string, logical_path string, logical_path_modified_at bigint, content_hash string, size bigint, tags array<string>, modified_at bigint, deleted_at bigint, restored_at bigint, tag_id string, taggee_id string, tag_name string, color string, metadata string"
+
 
 def upgrade_files(df: DataFrame) -> DataFrame:
     """A files table of the first version, which has no restored_at, with that clock at 0."""
@@ -50,6 +71,25 @@ def read_changes(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataF
     return parsed.where(ok).select("r.*").drop("_corrupt_record"), parsed.where(~ok).select("raw")
 
 
+def read_wire_changes(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(good, bad) of a column of JSON records {seq, at, origin, change}, batch or stream.
+    change is an object with one key, the variant, and its fields as value. good has seq, at
+    (the time of arrival), origin, op (the variant) and all fields, null where the variant
+    has none; metadata stays JSON text. A record that is no JSON, lacks seq or at, is of no
+    or several variants, or lacks a field of its variant is bad and keeps its text."""
+    schema = f"seq bigint, at bigint, origin string, change map<string, struct<{FIELDS.replace(' string', ': string').replace(' bigint', ': bigint').replace(' array', ': array')}>>, _corrupt_record string"
+    parsed = lines.select(F.col(col).alias("raw"), F.from_json(col, schema, {"mode": "PERMISSIVE"}).alias("r"))
+    flat = parsed.select("raw", "r.seq", "r.at", "r.origin", "r._corrupt_record", F.size("r.change").alias("variants"), F.try_element_at(F.map_keys("r.change"), F.lit(1)).alias("op"), F.try_element_at(F.map_values("r.change"), F.lit(1)).alias("f"))
+    complete = F.lit(False)
+    for op, need in VARIANTS.items():
+        all_there = F.lit(True)
+        for c in need:
+            all_there = all_there & F.col(f"f.{c}").isNotNull()
+        complete = complete | ((F.col("op") == op) & all_there)
+    ok = F.coalesce(F.col("_corrupt_record").isNull() & (F.col("variants") == 1) & F.col("seq").isNotNull() & F.col("at").isNotNull() & complete, F.lit(False))
+    return flat.where(ok).select("seq", "at", "origin", "op", "f.*"), flat.where(~ok).select("raw")
+
+
 def scan_listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, mtime, content_hash) of every file below root."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
