@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.staging import stage
 from .graph import tags_of_files
 from .reads import alive, latest_versions
 
@@ -45,26 +44,42 @@ def _numbered(path, n):
     return F.when(n == 0, path).otherwise(F.concat(head, stem, F.lit(" ("), n.cast("string"), F.lit(")"), ext))
 
 
+def _ranked(df: DataFrame, key: list[str], rank: str) -> DataFrame:
+    """df with the rank of each row within key by file_id, from 0. The rows of a key are
+    counted in parts by the start of file_id, so that no task sorts all rows of one key."""
+    parts = df.withColumn("_part", F.substring("file_id", 1, 2))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = parts.groupBy(*key, "_part").agg(F.count("*").alias("_n")).withColumn("_before", before)
+    within = F.row_number().over(Window.partitionBy(*key, "_part").orderBy("file_id"))
+    sizes = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in (*key, "_part")], "_before")
+    on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*key, "_part")]
+    return parts.withColumn(rank, within).join(sizes, on).select(*df.columns, (F.col(rank) - 1 + F.col("_before")).cast("long").alias(rank))
+
+
 def resolve_collisions(placed: DataFrame, candidates: DataFrame) -> DataFrame:
     """(device, directory, file_id, physical_path) for candidates (device, directory,
     file_id, path): each gets the lowest free number, in order of file_id; placed rows keep
-    their names. All candidates of one path take numbers that grow by rank; who meets a taken
-    name goes on to the next number, until nobody does."""
-    todo = candidates.select(*DIR, "file_id", "path", F.lit(0).alias("n"))
-    taken = placed.select(*DIR, "physical_path")
-    done = None
-    while True:
-        rank = F.row_number().over(Window.partitionBy(*DIR, "path", "n").orderBy("file_id"))
-        named = todo.withColumn("physical_path", _numbered(F.col("path"), F.col("n"))).withColumn("r", rank)
-        first = F.row_number().over(Window.partitionBy(*DIR, "physical_path").orderBy("n", "file_id"))
-        free = named.join(taken.withColumn("used", F.lit(True)).distinct(), [*DIR, "physical_path"], "left").withColumn("f", first)
-        turn = stage(free.select(*DIR, "file_id", "path", "n", "physical_path", (F.col("used").isNull() & (F.col("f") == 1)).alias("ok")), "names")
-        got = turn.where("ok").select(*DIR, "file_id", "physical_path")
-        done = got if done is None else done.union(got)
-        todo = turn.where("not ok").select(*DIR, "file_id", "path", (F.col("n") + 1).alias("n"))
-        if todo.isEmpty():
-            return done
-        taken = taken.union(got.select(*DIR, "physical_path"))
+    their names. A name is taken if a placed row has it, or if it is the own path of other
+    candidates; of one path's candidates the k-th takes the k-th number that is not taken.
+    Rows with a null path or file_id get no name; repeated rows each get one."""
+    key = [*DIR, "path"]
+    todo = candidates.select(*key, "file_id").where("path is not null and file_id is not null")
+    paths = todo.select(*key).distinct()
+    used = placed.select(*DIR, F.col("physical_path").alias("name"))
+    # which number of which path a taken name is: "a (3).b" is the third of "a.b"
+    number = F.regexp_extract("name", r"^(?:.*/)?[^/]* \(([1-9][0-9]{0,8})\)(?:\.[^./]*)?\z", 1)
+    base = F.regexp_replace("name", r" \([1-9][0-9]{0,8}\)((?:\.[^./]*)?)\z", "$1")
+    literal = used.select(*DIR, F.col("name").alias("path"), F.lit(0).alias("n"), "name")
+    names = used.unionByName(paths.select(*DIR, F.col("path").alias("name")))
+    spelt = names.where(number != "").select(*DIR, base.alias("path"), number.cast("int").alias("n"), "name")
+    taken = literal.unionByName(spelt).where(_numbered(F.col("path"), F.col("n")) == F.col("name")).select(*key, "n").distinct()
+    taken = taken.join(paths, key, "left_semi")
+    # so many numbers are free below a taken one; a candidate of rank r skips those with at most r
+    below = F.col("n") - F.row_number().over(Window.partitionBy(*key).orderBy("n")) + 1
+    marks = taken.select(*key, F.lit(None).cast("string").alias("file_id"), below.cast("long").alias("r"), F.lit(1).alias("skip"))
+    both = _ranked(todo, key, "r").withColumn("skip", F.lit(0)).unionByName(marks)
+    skipped = F.sum("skip").over(Window.partitionBy(*key).orderBy("r").rangeBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("n", F.col("r") + skipped).where("skip = 0").select(*DIR, "file_id", _numbered(F.col("path"), F.col("n")).alias("physical_path"))
 
 
 def placement_diff(cat: dict, dirs: DataFrame, placements: DataFrame) -> DataFrame:

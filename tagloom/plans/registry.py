@@ -644,10 +644,18 @@ def _(cat, spark):
     return want.join(cat["files"].select(F.col("id").alias("file_id"), "logical_path"), "file_id").select(*J.DIR, "file_id", J.physical_path(F.col("kind"), F.col("file_id"), F.col("logical_path")).alias("path"))
 
 
-@query("j4_resolve_collisions")
+NAMED = "cd AS (SELECT id AS file_id, concat('x/', substring(id, 1, 2), CASE WHEN id LIKE '%7' THEN '.tar (2).gz' ELSE '.tar.gz' END) AS path FROM files), pl AS (SELECT DISTINCT concat('x/', substring(id, 1, 2), '.tar', CASE WHEN id LIKE '%1' THEN '' ELSE concat(' (', CAST(ascii(substring(id, 3, 1)) % 9 + 1 AS VARCHAR), ')') END, '.gz') AS name FROM files WHERE id < '8')"
+FREE = "p AS (SELECT path, count(*) AS k FROM cd GROUP BY 1), f AS (SELECT path, n, CASE WHEN n = 0 THEN path ELSE concat(path[:-4], ' (', n, ').gz') END AS name FROM (SELECT path, unnest(range(k + 20)) AS n FROM p)), g AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n) AS r FROM f WHERE name NOT IN (SELECT name FROM pl) AND (n = 0 OR name NOT IN (SELECT path FROM p)))"
+
+
+@query("j4_resolve_collisions", f"WITH {NAMED}, {FREE}, c AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY file_id) AS r FROM cd) SELECT 'dev0' AS device, 'd0' AS directory, file_id, name AS physical_path FROM c JOIN g USING (path, r)")
 def _(cat, spark):
-    names = cat["files"].select(F.lit("dev0").alias("device"), F.lit("d0").alias("directory"), F.col("id").alias("file_id"), F.concat(F.lit("x/"), F.substring("id", 1, 2), F.lit(".tar.gz")).alias("path"))
-    return J.resolve_collisions(names.where("file_id like 'a%'").select(*J.DIR, "file_id", F.col("path").alias("physical_path")).dropDuplicates(["physical_path"]), names.where("file_id like 'a%' or file_id like 'b%'"))
+    place, fid = [F.lit("dev0").alias("device"), F.lit("d0").alias("directory")], F.col("id")
+    stem = F.concat(F.lit("x/"), F.substring("id", 1, 2))
+    names = cat["files"].select(*place, fid.alias("file_id"), F.concat(stem, F.when(fid.endswith("7"), F.lit(".tar (2).gz")).otherwise(F.lit(".tar.gz"))).alias("path"))
+    mark = F.when(fid.endswith("1"), F.lit("")).otherwise(F.concat(F.lit(" ("), (F.ascii(F.substring("id", 3, 1)) % 9 + 1).cast("string"), F.lit(")")))
+    placed = cat["files"].where("id < '8'").select(*place, F.concat(stem, F.lit(".tar"), mark, F.lit(".gz")).alias("physical_path")).distinct()
+    return J.resolve_collisions(placed, names)
 
 
 @query("j5_placement_diff", f"WITH {WANT}, w AS (SELECT wa.* FROM wa JOIN dr USING (device, directory) WHERE kind <> 'universal'), h AS (SELECT DISTINCT device, directory, file_id FROM placements JOIN dr USING (device, directory) WHERE kind <> 'universal') SELECT coalesce(w.device, h.device) AS device, coalesce(w.directory, h.directory) AS directory, coalesce(w.file_id, h.file_id) AS file_id, CASE WHEN w.file_id IS NULL THEN 'remove' WHEN h.file_id IS NOT NULL THEN 'keep' WHEN w.file_id NOT IN (SELECT file_id FROM placements) THEN 'fetch' ELSE 'add' END AS action FROM w FULL JOIN h ON w.device = h.device AND w.directory = h.directory AND w.file_id = h.file_id")

@@ -115,6 +115,28 @@ def test_collisions_take_the_lowest_free_number(spark):
     assert got == {"f1": "x.tar (1).gz", "f2": "x.tar (3).gz", "f3": ".env"}
 
 
+def test_collisions_take_the_lowest_free_number_in_turn(spark):
+    rng = random.Random(3)
+    options = ["a.b", "a (1).b", "a (2).b", "a (02).b", "q/a", "q/a (1)", "q/a (1) (1)", ".x", ".x (1)", " (3)", "é (1).b"]
+    for _ in range(2):
+        placed = sorted({rng.choice(options) for _ in range(4)})
+        rows = [(f"{rng.randrange(16):x}{rng.randrange(16):x}{k}", rng.choice(options)) for k in range(60)]
+        names, want = set(placed) | {p for _, p in rows}, {}
+        for path in {p for _, p in rows}:
+            n, taken = 0, names - {path} | ({path} & set(placed))
+            for f in sorted(f for f, p in rows if p == path):
+                head, _, last = path.rpartition("/")
+                stem, dot, ext = last.rpartition(".")
+                stem, ext = (stem, dot + ext) if stem else (last, "")
+                while (name := path if n == 0 else (head + "/" if head else "") + f"{stem} ({n}){ext}") in taken:
+                    n += 1
+                want[f], n = name, n + 1
+        old = spark.createDataFrame([("v", "d", p) for p in placed], "device string, directory string, physical_path string")
+        new = spark.createDataFrame([("v", "d", *r) for r in rows] + [("v", "d", None, "a.b"), ("v", "d", "00", None)], "device string, directory string, file_id string, path string")
+        assert {r.file_id: r.physical_path for r in placement.resolve_collisions(old, new).collect()} == want
+        assert len(set(want.values())) == len(want)
+
+
 @pytest.mark.parametrize(
     ("query", "want"),
     [
