@@ -95,13 +95,11 @@ def coalescing(log: DataFrame) -> DataFrame:
     return _epochs(log, key).groupBy(*key).agg(F.sum(F.size("links")).alias("requests"), F.count("*").alias("fetches"), F.max(F.size(F.array_distinct("links"))).alias("widest"))
 
 
-def miss_exhaustion(log: DataFrame) -> DataFrame:
-    """(file_id, content_hash, offset, exhausted): of the asked upstreams (msg ask) each has
-    missed or dropped, or the time is over without data."""
-    key = [*KEY, "offset"]
-    links = lambda *m: F.collect_set(F.when(F.col("msg").isin(*m), F.col("link")))
-    g = log.groupBy(*key).agg(links("ask").alias("asked"), links("miss", "drop").alias("out"), F.count_if(F.col("msg") == "data").alias("data"), (F.max("at") - F.min("at")).alias("span"))
-    return g.select(*key, ((F.col("data") == 0) & ((F.size(F.array_except("asked", "out")) == 0) | (F.col("span") >= TTL))).alias("exhausted"))
+def miss_exhaustion(requests: DataFrame) -> DataFrame:
+    """(file_id, content_hash, offset, opened_at, exhausted) of closed requests
+    (streaming.keyed, request_outcomes): whether one ended without data although somebody
+    still waited, as all asked upstreams missed or dropped, or as its time was over."""
+    return requests.select(*KEY, "offset", "opened_at", F.col("outcome").isin("missed", "expired").alias("exhausted"))
 
 
 def hash_memo(listing: DataFrame, memo: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from ..operators import shortid as D
 from ..sources import catalog as A
 from ..streaming import coalesce as Q
 from ..streaming import events as M
+from ..streaming import keyed as R
 from .fixtures import catalog, oracle
 
 QUERIES: dict = {}
@@ -861,9 +862,19 @@ def _(cat, spark):
     return L.coalescing(_requests(spark))
 
 
-@query("l7_miss_exhaustion", "WITH lg AS (SELECT event_id * 137 AS \"at\", concat('l', CAST(event_id % 5 AS STRING)) AS link, event_type AS t, md5(CAST(user_id AS STRING)) AS file_id, (user_id % 2) * 65536 AS \"offset\" FROM events) SELECT file_id, 'h' AS content_hash, \"offset\", count(*) FILTER (t = 'purchase') = 0 AND (len(list_filter(coalesce(list(DISTINCT link) FILTER (t = 'click'), []), lambda x: NOT list_contains(coalesce(list(DISTINCT link) FILTER (t NOT IN ('click', 'purchase', 'view')), []), x))) = 0 OR max(\"at\") - min(\"at\") >= 8000) AS exhausted FROM lg GROUP BY 1, 3")
+# The messages of each key one after the other, as a recursion over their numbers.
+REQ = """lg AS (SELECT md5(CAST(user_id AS VARCHAR)) AS file_id, (user_id % 2) * 65536 AS "offset", event_id * 137 AS "at", concat('l', event_id % 5) AS link, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END AS m FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY file_id, "offset" ORDER BY "at", m, link) AS i FROM lg),
+st AS (SELECT DISTINCT file_id, "offset", 0::BIGINT AS i, NULL::BIGINT AS opened, []::VARCHAR[] AS rest, 0 AS asked, NULL::BIGINT AS was, NULL::VARCHAR AS outcome FROM lg
+ UNION ALL SELECT file_id, "offset", i, CASE WHEN cur IS NULL THEN (CASE WHEN m = 0 THEN "at" END) WHEN fin IS NULL THEN cur END, CASE WHEN cur IS NULL THEN [] ELSE rest2 END, CASE WHEN cur IS NULL THEN 0 WHEN m = 1 THEN asked + 1 ELSE asked END, CASE WHEN ex OR (cur IS NOT NULL AND fin IS NOT NULL) THEN opened END, CASE WHEN ex THEN 'expired' WHEN cur IS NOT NULL THEN fin END
+ FROM (SELECT *, CASE WHEN m = 2 THEN 'data' WHEN m = 3 AND asked > 0 AND len(rest2) = 0 THEN 'missed' END AS fin
+  FROM (SELECT s.file_id, s."offset", o.i, o.m, o."at", s.opened, s.asked, coalesce(o."at" >= s.opened + 8000, false) AS ex, CASE WHEN o."at" < s.opened + 8000 THEN s.opened END AS cur, CASE o.m WHEN 1 THEN list_append(s.rest, o.link) WHEN 3 THEN list_filter(s.rest, lambda x: x <> o.link) ELSE s.rest END AS rest2
+   FROM st s JOIN o ON o.file_id = s.file_id AND o."offset" = s."offset" AND o.i = s.i + 1) a) b)"""
+
+
+@query("l7_miss_exhaustion", f"RECURSIVE {REQ} SELECT file_id, 'h' AS content_hash, \"offset\", was AS opened_at, outcome <> 'data' AS exhausted FROM st WHERE outcome IS NOT NULL UNION ALL SELECT file_id, 'h', \"offset\", arg_max(coalesce(opened, -1), i), true FROM st GROUP BY file_id, \"offset\" HAVING arg_max(coalesce(opened, -1), i) >= 0")
 def _(cat, spark):
-    return L.miss_exhaustion(_requests(spark))
+    return L.miss_exhaustion(R.request_outcomes(_requests(spark), NOW))
 
 
 @query("l8_hash_memo", "SELECT id AS path, logical_path_modified_at AS mtime, CASE WHEN id < '8' THEN md5(id) END AS content_hash FROM files")
