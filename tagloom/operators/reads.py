@@ -20,12 +20,13 @@ def latest_versions(versions: DataFrame) -> DataFrame:
     return versions.groupBy("file_id").agg(F.max_by(F.struct(*rest), "version_number").alias("v")).select("file_id", "v.*")
 
 
-def list_files(cat: dict, deleted: str = "exclude") -> DataFrame:
-    """Files with their latest version, first and latest observed_at and short-id length;
-    files without a version are left out."""
+def list_files(cat: dict, deleted: str = "exclude", short: bool = False) -> DataFrame:
+    """Files with their latest version and first and latest observed_at; files without a
+    version are left out. With ``short`` also short_len, which looks at the ids of all files."""
     v = cat["versions"].groupBy("file_id").agg(F.max_by(F.struct("content_hash", "observed_at", "version_number", "size"), "version_number").alias("v"), F.min_by("observed_at", "version_number").alias("created_at"))
     listed = cat["files"].join(v, F.col("id") == F.col("file_id")).select(cat["files"]["*"], "created_at", F.col("v.observed_at").alias("modified_at"), "v.content_hash", "v.version_number", "v.size")
-    return alive(listed.join(short_ids(cat["files"], "id"), "id"), deleted)
+    listed = alive(listed, deleted)
+    return listed.join(short_ids(cat["files"], "id"), "id") if short else listed
 
 
 def version_history(versions: DataFrame) -> DataFrame:

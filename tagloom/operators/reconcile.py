@@ -138,9 +138,12 @@ def merge_fleet(tags: list[DataFrame], entries: list[DataFrame]) -> tuple[DataFr
 def lag_report(merged: DataFrame, snapshots: DataFrame, key: list[str]) -> DataFrame:
     """(device, behind): rows of the merged table that a device's snapshot lacks or has with
     another clock."""
-    devices = F.broadcast(snapshots.select("device").distinct())  # one row a device
-    want = merged.select(*key, "modified_at").join(devices, F.lit(True))
-    return want.join(snapshots.select("device", *key, "modified_at"), ["device", *key, "modified_at"], "left_anti").groupBy("device").agg(F.count("*").alias("behind"))
+    have = snapshots.select("device", *key, "modified_at").distinct().join(merged.select(*key, "modified_at"), [*key, "modified_at"], "left_semi")
+    n = have.groupBy("device").agg(F.count("*").alias("have"))
+    # counted, not paired: no row is copied for every device
+    total = F.broadcast(merged.agg(F.count("*").alias("total")))
+    devices = snapshots.select("device").distinct().join(n, "device", "left").join(total, F.lit(True))
+    return devices.select("device", (F.col("total") - F.coalesce("have", F.lit(0))).alias("behind")).where("behind > 0")
 
 
 def fan_out(changes: DataFrame, peers: DataFrame) -> DataFrame:

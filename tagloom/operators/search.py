@@ -16,6 +16,8 @@ from .graph import files_of_tags, subtags
 from .reads import alive, list_files, list_tags
 from .shortid import resolve_tag_tokens
 
+TERMS = 500  # text patterns of a batch that are tried in one pass over the listing
+
 
 def _matches(col: str, term: dict):
     return matches_regex(col, term["text"]) if term.get("regex") else matches_substring(col, term["text"])
@@ -78,23 +80,22 @@ def search_batch(cat: dict, terms: DataFrame, include_subtags: bool = False, del
     Distinct terms are evaluated once: all text patterns in one pass over the listing that
     leaves an array of the terms each row meets, all tag terms by one walk of the graph. A
     row is a hit where it meets as many positive terms as the query has and no negated one.
-    The distinct terms are few and live in the plan; their number is checked."""
-    distinct = [r.asDict() for r in terms.select("kind", "regex", "text").distinct().orderBy("kind", "regex", "text").limit(2001).collect()]
-    if len(distinct) > 2000:
-        raise ValueError("more than 2000 distinct terms: run the searches in blocks")
+    The distinct terms live in the plan, text patterns in blocks of TERMS."""
+    distinct = [r.asDict() for r in terms.select("kind", "regex", "text").distinct().orderBy("kind", "regex", "text").collect()]
     pool = "exclude" if deleted == "exclude" else "include"
     rows = list_files(cat, pool)
     rows = rows.where("deleted") if deleted == "only" else rows
     texts = [(i, t) for i, t in enumerate(distinct) if t["kind"] != "tag"]
-    met = F.array_compact(F.array(*[F.when(_matches("logical_path", t), F.lit(i)) for i, t in texts])) if texts else F.array().cast("array<int>")
-    hits = rows.select("id", F.explode(met).alias("term"))
+    blocks = [texts[k : k + TERMS] for k in range(0, len(texts), TERMS)] or [[]]
+    met = lambda block: F.array_compact(F.array(*[F.when(_matches("logical_path", t), F.lit(i)) for i, t in block]).cast("array<int>"))
+    hits = reduce(DataFrame.union, [rows.select("id", F.explode(met(block)).alias("term")) for block in blocks])
     roots = [tag_set(cat, t, pool).withColumn("term", F.lit(i)) for i, t in enumerate(distinct) if t["kind"] in ("tag", "any")]
     if roots:
         roots = reduce(DataFrame.union, roots)
         tagged = files_of_tags(cat, roots.select("root"), include_subtags).join(roots, "root").select(F.col("file_id").alias("id"), "term")
         hits = hits.union(tagged.join(rows.select("id"), "id", "left_semi")).distinct()
-    index = F.create_map(*[x for i, t in enumerate(distinct) for x in (F.lit(_key(t)), F.lit(i))])
-    named = terms.withColumn("term", index[F.concat_ws("\x00", "kind", F.col("regex").cast("string"), "text")])
+    index = terms.sparkSession.createDataFrame([(_key(t), i) for i, t in enumerate(distinct)], "term_key string, term int")
+    named = terms.withColumn("term_key", F.concat_ws("\x00", "kind", F.col("regex").cast("string"), "text")).join(F.broadcast(index), "term_key", "left").drop("term_key")
     wanted = named.where("not negated").groupBy("query_id").agg(F.countDistinct("term").alias("need"))
     queries = F.broadcast(named.select("query_id").distinct().join(wanted, "query_id", "left").fillna(0, ["need"]))
     positive = hits.join(F.broadcast(named.where("not negated").select("query_id", "term").distinct()), "term").groupBy("query_id", "id").agg(F.count("*").alias("n"))

@@ -79,7 +79,7 @@ def _(cat, spark):
 
 @query("a5_export_results")
 def _(cat, spark):
-    return A.export_results(C.list_files(cat), C.list_tags(cat))
+    return A.export_results(C.list_files(cat, short=True), C.list_tags(cat))
 
 
 @query("b1_normalize_id", "SELECT id, CASE WHEN id LIKE 'a%' THEN NULL ELSE id END AS norm FROM files")
@@ -134,7 +134,7 @@ def _(cat, spark):
 
 @query("c1_list_files", f"WITH {LV}, {SHORT} SELECT f.id, logical_path, deleted, created_at, observed_at AS modified_at, content_hash, version_number, size, short_len FROM files f JOIN lv ON lv.file_id = f.id JOIN sh ON sh.id = f.id WHERE NOT deleted")
 def _(cat, spark):
-    return C.list_files(cat).select("id", "logical_path", "deleted", "created_at", "modified_at", "content_hash", "version_number", "size", "short_len")
+    return C.list_files(cat, short=True).select("id", "logical_path", "deleted", "created_at", "modified_at", "content_hash", "version_number", "size", "short_len")
 
 
 @query("c2_latest_versions", "SELECT file_id, max(version_number) AS version_number, max_by(content_hash, version_number) AS content_hash, max_by(size, version_number) AS size FROM versions GROUP BY 1")
