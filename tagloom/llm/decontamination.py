@@ -114,7 +114,8 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, share: float = ERROR_SHARE
 
     Texts are compared lower-cased with runs of white space as one space. Null or empty
     items match nothing, null or empty texts hold nothing; of repeated items each gives a
-    row. Other columns are not read. Documents are never shuffled."""
+    row, and so does each of repeated documents. Documents or items without an id give no
+    row (without_benchmark judges documents without an id too). Other columns are not read. Documents are never shuffled."""
     out = None
     for block in _blocks(items, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(block)

@@ -161,6 +161,44 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in decontamination.without_benchmark(table(spark, docs), bench).collect()) == [2, 3, 4, 5]
 
 
+def test_hits_against_a_distance_table(spark):
+    """All documents against all items by the plain edit distance to any substring."""
+    rng = random.Random(12)
+
+    def changed(text, n):
+        out = list(text)
+        for _ in range(n):
+            k = rng.randrange(len(out))
+            out[k:k + 1] = rng.choice([[], ["#"], [out[k], "é"]])
+        return "".join(out)
+
+    items = [words(rng, n) for n in (2, 4, 12, 25, 40)] + ["aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "ab" * 20]
+    docs = [words(rng, rng.randrange(9)) + " " + changed(rng.choice(items), rng.randrange(7)) + rng.choice(["", " \t"]) + words(rng, rng.randrange(9)) for _ in range(50)] + ["a" * 200, "AB" * 90, None, "", items[3], items[3]]
+
+    def best(item, text):
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(item):
+            now = [i + 1]
+            for j, d in enumerate(text):
+                now.append(min(row[j] + (c != d), row[j + 1] + 1, now[j] + 1))
+            row = now
+        return min(row)
+
+    want = set()
+    for d, text in enumerate(docs):
+        for i, item in enumerate(items):
+            n = best(item, decontamination.normal(text)) if text else len(item)
+            if n <= int(decontamination.ERROR_SHARE * len(item)):
+                want.add((d, i, n))
+    bench = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)] + [(None, items[0], "x")], "item_id long, text string, doc_id string")
+    rows = table(spark, docs).unionByName(table(spark, [items[4]]).withColumn("doc_id", F.lit(None).cast("long")))
+    got = [tuple(r) for r in decontamination.benchmark_hits(rows, bench).collect()]
+    assert sorted(got) == sorted(want) and {e for _, _, e in want} > {0, 1, 2}
+    assert decontamination.benchmark_hits(rows.limit(0), bench).count() == 0 == decontamination.benchmark_hits(rows, bench.limit(0)).count()
+    clean = decontamination.without_benchmark(rows, bench.where("item_id is not null"))
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(set(range(len(docs))) - {d for d, _, _ in want})
+
+
 def test_lines(spark):
     rng = random.Random(4)
     a = words(rng, 60)
