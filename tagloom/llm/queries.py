@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontamination, exact_dedup, language_id, license_scan, line_dedup, lm_scoring, minhash, packing, repeats, toxicity
+from . import decontamination, exact_dedup, filter_audit, language_id, license_scan, line_dedup, lm_scoring, minhash, packing, repeats, token_counts, toxicity
 
 QUERIES = {
     "op1_near_dedup": minhash.op1_near_dedup,
@@ -17,8 +17,10 @@ QUERIES = {
     "op8_lm_scoring": lm_scoring.op8_lm_scoring,
     "op9_language_id": language_id.op9_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_token_counts": token_counts.op11_token_counts,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {**minhash.ORACLE, **exact_dedup.ORACLE, **license_scan.ORACLE}
+ORACLES = {**minhash.ORACLE, **exact_dedup.ORACLE, **license_scan.ORACLE, **filter_audit.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
