@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontamination, exact_dedup, filter_audit, language_id, license_scan, line_dedup, lm_scoring, minhash, packing, repeats, token_counts, toxicity
+from . import decontamination, exact_dedup, filter_audit, hard_negatives, language_id, license_scan, line_dedup, lm_scoring, minhash, packing, repeats, token_counts, toxicity
 
 QUERIES = {
     "op1_near_dedup": minhash.op1_near_dedup,
@@ -19,8 +19,9 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_token_counts": token_counts.op11_token_counts,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {**minhash.ORACLE, **exact_dedup.ORACLE, **license_scan.ORACLE, **filter_audit.ORACLE}
+ORACLES = {**minhash.ORACLE, **exact_dedup.ORACLE, **license_scan.ORACLE, **filter_audit.ORACLE, **hard_negatives.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
