@@ -47,9 +47,12 @@ def _strings(items) -> Column:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, t, ws): the number of each row, its lower-cased text and its words. The
-    numbers are the same whenever a file scan is repeated."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", _lower(F.coalesce("text", F.lit(""))).alias("t"))
+    """(row, doc_id, t, ws): a key of each row, its lower-cased text and its words. The key is
+    made of the row's doc_id and text alone, so that every scan gives the same one; rows that
+    share it have the same result."""
+    text = F.coalesce("text", F.lit(""))
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.md5(text.cast("binary")).alias("text"))
+    rows = docs.select(key.alias("row"), "doc_id", _lower(text).alias("t"))
     return rows.select("row", "doc_id", "t", F.array_remove(F.split("t", NOT_WORD), "").alias("ws"))
 
 

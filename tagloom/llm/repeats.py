@@ -169,8 +169,9 @@ def _remove_repeats(docs: DataFrame, length: int, name: str) -> DataFrame:
     gram, core = max(4, length * 4 // 25), max(4, length // 25)  # 32 and 8 bytes of 200
     span = length // 2 + 4
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the numbers are the same whenever a file scan is repeated
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # numbered once and written: a repeated scan may split the files in another way
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = stage(numbered, "repeats-rows")
     digests = stage(rows.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("kept_sha256")), "repeats-digests")
 
     def leaders(text: bytes):
@@ -193,7 +194,7 @@ def _remove_repeats(docs: DataFrame, length: int, name: str) -> DataFrame:
     with shuffles_given_up(spark):
         found.write.bucketBy(buckets, "row").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     corpus = spark.table(name)
-    discard(spark, "repeats-leaders", "repeats-twice", "repeats-ranges")
+    discard(spark, "repeats-rows", "repeats-leaders", "repeats-twice", "repeats-ranges")
 
     def cores(text: bytes, ranges: list[dict]):
         h = Hashes(text)

@@ -554,3 +554,33 @@ def test_bounds_of_the_distance_decide_like_the_distance(spark):
     whole = F.levenshtein("a", "b") <= F.floor(0.2 * F.greatest(F.length("a"), F.length("b")) + 1e-9)
     got = df.select(line_dedup._similar("a", "b", 0.8).alias("s"), whole.alias("w")).collect()
     assert all(r.s == r.w for r in got) and 0 < sum(r.w for r in got) < len(got)
+
+
+@pytest.mark.parametrize("name", ["repeats", "license"])
+def test_rows_survive_another_split_of_the_files(spark, tmp_path, monkeypatch, name):
+    """Executors that come or go change how files are split between two scans."""
+    rng = random.Random(5)
+    shared = words(rng, 70)
+    texts = [f"{words(rng, 30)} {shared if i % 3 else ''} " + ("under the mit license" if i % 4 == 0 else "this work is licensed under the gnu general public license version 3" if i % 5 == 0 else "") for i in range(80)]
+    table(spark, texts).repartition(8, "doc_id").write.parquet(str(tmp_path / "docs"))
+    module, run = (repeats, repeats.remove_repeats) if name == "repeats" else (license_scan, license_scan.license_scan)
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    before = sorted(map(str, run(docs).collect()))
+    splits = iter([1, 32, 2, 16] * 20)
+
+    def moving(f):
+        def call(*args, **how):
+            out = f(*args, **how)
+            spark.conf.set("spark.sql.files.minPartitionNum", str(next(splits)))
+            return out
+        return call
+
+    for target, attr in ((module, "stage"), (module, "frequency_order")):
+        if hasattr(target, attr):
+            monkeypatch.setattr(target, attr, moving(getattr(target, attr)))
+    if name == "license":
+        monkeypatch.setattr("tagloom.llm.common.stage", moving(__import__("tagloom.llm.common", fromlist=["stage"]).stage))
+    try:
+        assert sorted(map(str, run(docs).collect())) == before and len(before) == 80
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
