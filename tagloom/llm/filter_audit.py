@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch, stage, table
 
 FILTERS = "ABCDE"
 MIN_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT = 200, 50, 3
 SEPARATORS, SYMBOLS = b"\x20\x09\x0a\x0b\x0c\x0d", b"#$%&*|"
-BATCH_BYTES = 4 << 20  # bytes that are read in one pass; longer texts go in pieces
+BATCH_BYTES = 1 << 20  # bytes that are read in one pass; longer texts go in pieces
 # classes of bytes, as bits: in a word, capital, start of a code point, symbol
 IN_WORD, CAPITAL, POINT, SYMBOL = 1, 2, 4, 8
 CLASS = np.array([(b not in SEPARATORS) * IN_WORD + (65 <= b <= 90) * CAPITAL + (b & 0xC0 != 0x80) * POINT + (b in SYMBOLS) * SYMBOL for b in range(256)], np.uint8)
@@ -171,7 +171,7 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     E nor makes another fail. The rows of a hot text meet as counts, never as rows."""
     fails = [F.col("words") < MIN_WORDS, 100 * F.col("distinct") < DISTINCT_PERCENT * F.col("words"), 100 * F.col("capitals") > CAPITAL_PERCENT * F.col("points"), F.col("symbols") > 0]
     mask = sum((F.when(f, 1 << k).otherwise(0) for k, f in enumerate(fails)), F.lit(0))
-    rows = measures(docs).select("doc_id", "part", mask.alias("mask"), "digest")
+    rows = stage(measures(docs).select("doc_id", "part", mask.alias("mask"), "digest"), "audit-masks")  # texts are read once
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
     one = rows.withColumn("n", F.lit(1).cast("long"))
     plain = one.where("doc_id is null").withColumns({"good": F.lit(False), "toxic": F.lit(False)})
@@ -208,7 +208,9 @@ def filter_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     gives an empty result. Beyond the texts' pass, rows of some 60 bytes are shuffled."""
     spark = docs.sparkSession
     orders = spark.createDataFrame(_orders(), "mask int, filter_order string, step int, kept int, removed int, redundant int, alone int, share int")
-    counts = failures(docs, labels).join(F.broadcast(orders), "mask")  # a fixed table of 19 200 rows
+    with scratch(spark) as keep:
+        masks = keep(failures(docs, labels), "audit-counts")
+    counts = masks.join(F.broadcast(orders), "mask")  # a fixed table of 19 200 rows
     total = lambda flag, n="n": F.sum(F.col(flag) * F.col(n)).cast("long")
     return counts.groupBy("part", "filter_order", "step").agg(
         total("kept").alias("kept"), total("removed").alias("removed"), total("redundant").alias("redundant"), total("alone").alias("unique_fails"),
