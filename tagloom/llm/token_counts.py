@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import scratch, stage, table
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 1024
-FREQUENT, FREQUENT_CHARS = 50_000, 32  # bound of the broadcast: about 3 MB
+FREQUENT, FREQUENT_CHARS = 200_000, 32  # bound of the broadcast: about 12 MB
 ROWS_A_BATCH, TEXT_PART = 256, 1 << 20
 # Fixed value: the pattern by which byte-level vocabularies of this kind cut a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
