@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize_id_prefix
-from .lww import EDGE, merge_entries, merge_tags
+from ..sources.staging import stage, steps
+from .lww import EDGE
 from .reads import version_history
 
 
@@ -31,9 +32,10 @@ def edge_manifest(cat: dict) -> DataFrame:
     return cat["entries"].select(*EDGE, "modified_at", "deleted")
 
 
-def _pair(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    side = lambda df, p: df.select("file_id", *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "file_id"])
-    return side(theirs, "t").join(side(ours, "o"), "file_id", "full_outer")
+def _pair(ours: DataFrame, theirs: DataFrame, by: tuple = ()) -> DataFrame:
+    keys = [*by, "file_id"]
+    side = lambda df, p: df.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in keys])
+    return side(theirs, "t").join(side(ours, "o"), keys, "full_outer")
 
 
 def _decision():
@@ -50,18 +52,20 @@ def _decision():
     )
 
 
-def content_decisions(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """(file_id, decision) of two manifests; of equal clocks ours stays."""
-    return _pair(ours, theirs).select("file_id", _decision().alias("decision"))
+def content_decisions(ours: DataFrame, theirs: DataFrame, by: tuple = ()) -> DataFrame:
+    """(file_id, decision) of two manifests; of equal clocks ours stays. ``by`` names columns
+    of both that tell several pairs of manifests apart; they lead the result."""
+    return _pair(ours, theirs, by).select(*by, "file_id", _decision().alias("decision"))
 
 
-def plan_file_sync(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+def plan_file_sync(ours: DataFrame, theirs: DataFrame, by: tuple = ()) -> DataFrame:
     """(file_id, action, content_hash, size, path): what we do about the peer's files.
 
     A newer tombstone comes first, then a newer restore, then move and content side by side.
-    One join serves all; clocks of a file that we do not know count as 0."""
+    One join serves all; clocks of a file that we do not know count as 0. ``by`` names
+    columns of both that tell several pairs of manifests apart; they lead the result."""
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    p = _pair(ours, theirs).where("t_latest_hash is not null").withColumn("decision", _decision())
+    p = _pair(ours, theirs, by).where("t_latest_hash is not null").withColumn("decision", _decision())
     dead = F.coalesce(F.col("o_deleted"), F.lit(False))
     p = p.withColumn("kill", F.col("t_deleted") & ~dead & (F.col("t_deleted_at") > F.greatest(z("o_latest_observed_at"), z("o_restored_at"))))
     p = p.withColumn("raise", ~F.col("t_deleted") & dead & (F.col("t_restored_at") > z("o_deleted_at")))
@@ -77,7 +81,7 @@ def plan_file_sync(ours: DataFrame, theirs: DataFrame) -> DataFrame:
         F.when(move, act(F.lit("move"), none, num, F.col("t_logical_path"))),
         F.when(pull, act(F.concat(F.lit("pull_"), placing), F.col("t_latest_hash"), F.col("t_latest_size"), none)),
     ))
-    return p.select("file_id", F.explode(actions).alias("a")).select("file_id", "a.*")
+    return p.select(*by, "file_id", F.explode(actions).alias("a")).select(*by, "file_id", "a.*")
 
 
 def _actions(ours, theirs, *names):
@@ -130,9 +134,84 @@ def sweep_files(announced: DataFrame, pulls: DataFrame) -> DataFrame:
     return announced.select("file_id").distinct().join(pulls.select("file_id"), "file_id", "left_anti")
 
 
+PAIR = ("ours", "theirs")
+
+
+def bucket_digests(manifests: DataFrame, buckets: int) -> DataFrame:
+    """(device, bucket, n, d1, d2): a digest of all that a device knows about the files of a
+    bucket, whatever their order, from sums of two hashes a row."""
+    row = [c for c in manifests.columns if c != "device"]
+    keyed = manifests.select("device", _bucket(buckets), F.xxhash64(*row).cast("decimal(38,0)").alias("a"), F.xxhash64(F.lit(1), *row).cast("decimal(38,0)").alias("b"))
+    return keyed.groupBy("device", "bucket").agg(F.count("*").alias("n"), F.sum("a").alias("d1"), F.sum("b").alias("d2"))
+
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("file_id"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def unequal_buckets(manifests: DataFrame, pairs: DataFrame, buckets: int) -> DataFrame:
+    """(ours, theirs, bucket) of the pairs(ours, theirs) of devices whose digests differ."""
+    d = bucket_digests(manifests, buckets)
+    both = None
+    for side, other in (PAIR, PAIR[::-1]):
+        one = pairs.select(*PAIR).distinct().join(d, F.col(side) == F.col("device")).select(*PAIR, "bucket", F.struct("n", "d1", "d2").alias("d"))
+        both = one if both is None else both.unionAll(one)
+    # a bucket that one device lacks has one digest, two equal devices' have two equal ones
+    return both.groupBy(*PAIR, "bucket").agg(F.count("*").alias("k"), F.min("d").alias("low"), F.max("d").alias("high")).where("k = 1 or low <> high").select(*PAIR, "bucket")
+
+
+def plan_fleet(manifests: DataFrame, pairs: DataFrame, buckets: int = 4096) -> DataFrame:
+    """(ours, theirs, file_id, action, content_hash, size, path): plan_file_sync for all
+    pairs(ours, theirs) of devices at once. ``manifests`` are those of all devices (device,
+    then the columns of file_manifest).
+
+    Buckets of files on which the two devices agree in all columns plan nothing and are not
+    joined: first the digests of buckets are compared, then only rows of unequal buckets are
+    given out to the pairs. A device paired with itself plans nothing."""
+    with steps(manifests.sparkSession) as keep:
+        apart = stage(unequal_buckets(manifests, pairs.where("ours <> theirs"), buckets), "apart")
+        keyed = manifests.withColumn("bucket", _bucket(buckets))
+        sides = [keyed.join(apart, (F.col("device") == F.col(side)) & (keyed["bucket"] == apart["bucket"])).drop("device", "bucket") for side in PAIR]
+        return keep(plan_file_sync(sides[0], sides[1], PAIR), "fleet-plan")
+
+
+def _newest(snapshots: list[DataFrame], key: list[str]) -> DataFrame:
+    """Rows of all snapshots by key with the newest modified_at, of equal ones that of the
+    first snapshot: one aggregation for any number of them."""
+    columns = snapshots[0].columns
+    every = reduce(DataFrame.unionAll, [s.select(columns).withColumn("_rank", F.lit(-k)) for k, s in enumerate(snapshots)])
+    rest = [c for c in columns if c not in key]
+    return every.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("modified_at", "_rank")).alias("v")).select(*key, "v.*").select(columns)
+
+
 def merge_fleet(tags: list[DataFrame], entries: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """The catalog on which devices with these snapshots converge."""
-    return reduce(merge_tags, tags), reduce(merge_entries, entries)
+    """The tags and edges on which devices with these snapshots converge."""
+    return _newest(tags, ["id"]), _newest(entries, EDGE)
+
+
+def merge_fleet_files(files: list[DataFrame], versions: list[DataFrame]) -> DataFrame:
+    """(id, logical_path, logical_path_modified_at, deleted, deleted_at, restored_at,
+    content_hash, size, observed_at): the files on which devices with these snapshots
+    converge, in one aggregation over all of them.
+
+    The path has one clock, content another (when its latest version was observed), deletion
+    and restoring one each; each part takes its newest value, of equal clocks that of the
+    first device. A file is deleted if that clock is set and not behind the other two. A file
+    that no device has a version of keeps null content."""
+    names = ["logical_path", "logical_path_modified_at", "deleted_at", "restored_at", "content_hash", "size", "observed_at"]
+    parts = []
+    for k, (f, v) in enumerate(zip(files, versions)):
+        last = v.groupBy(F.col("file_id").alias("id")).agg(F.max_by(F.struct("content_hash", "size", "observed_at"), "version_number").alias("v")).select("id", "v.*")
+        nothing = {c: F.lit(None).cast(kind) for c, kind in (("logical_path", "string"), ("logical_path_modified_at", "long"), ("deleted_at", "long"), ("restored_at", "long"), ("content_hash", "string"), ("size", "long"), ("observed_at", "long"))}
+        parts.append(f.select("id", *[(F.col(c) if c in f.columns else nothing[c]).alias(c) for c in names], F.lit(True).alias("listed"), F.lit(-k).alias("_rank")))
+        parts.append(last.select("id", *[(F.col(c) if c in last.columns else nothing[c]).alias(c) for c in names], F.lit(False).alias("listed"), F.lit(-k).alias("_rank")))
+    every = reduce(DataFrame.unionAll, parts)
+    path = F.max_by("logical_path", F.when(F.col("listed"), F.struct("logical_path_modified_at", "_rank")))
+    content = F.max_by(F.struct("content_hash", "size"), F.when(~F.col("listed"), F.struct("observed_at", "_rank")))
+    zero = lambda c: F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c)
+    m = every.groupBy("id").agg(path.alias("logical_path"), F.max("logical_path_modified_at").alias("logical_path_modified_at"), zero("deleted_at"), zero("restored_at"), content.alias("c"), F.max("observed_at").alias("observed_at"), F.max("listed").alias("listed")).where("listed")
+    dead = (F.col("deleted_at") > 0) & (F.col("deleted_at") >= F.greatest(F.coalesce("observed_at", F.lit(0)), F.col("restored_at")))
+    return m.select("id", "logical_path", "logical_path_modified_at", dead.alias("deleted"), "deleted_at", "restored_at", "c.content_hash", "c.size", "observed_at")
 
 
 def lag_report(merged: DataFrame, snapshots: DataFrame, key: list[str]) -> DataFrame:

@@ -10,13 +10,16 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from ..functions.scalars import java_pattern, matches_regex, matches_substring
+from ..functions.scalars import LOWER, UPPER, java_pattern, matches_regex, matches_substring
+from ..sources.staging import stage, steps
 from .graph import files_of_tags, subtags
 from .reads import alive, list_files, list_tags
 from .shortid import resolve_tag_tokens
+from .textindex import containing
 
-TERMS = 500  # text patterns of a batch that are tried in one pass over the listing
+PATTERNS = 500  # regex patterns of a batch that are tried in one pass over the listing
 
 
 def _matches(col: str, term: dict):
@@ -74,40 +77,91 @@ def search_tags(cat: dict, terms: list[dict], include_subtags: bool = False, del
     return out.where("deleted") if deleted == "only" else out
 
 
+KINDS = ("tag", "name", "logical", "any")
+
+
 def search_batch(cat: dict, terms: DataFrame, include_subtags: bool = False, deleted: str = "exclude") -> DataFrame:
     """(query_id, id) for a table of file searches (query_id, pos, kind, negated, regex, text).
 
-    Distinct terms are evaluated once: all text patterns in one pass over the listing that
-    leaves an array of the terms each row meets, all tag terms by one walk of the graph. A
-    row is a hit where it meets as many positive terms as the query has and no negated one.
-    The distinct terms live in the plan, text patterns in blocks of TERMS."""
-    distinct = [r.asDict() for r in terms.select("kind", "regex", "text").distinct().orderBy("kind", "regex", "text").collect()]
-    pool = "exclude" if deleted == "exclude" else "include"
-    rows = list_files(cat, pool)
-    rows = rows.where("deleted") if deleted == "only" else rows
-    texts = [(i, t) for i, t in enumerate(distinct) if t["kind"] != "tag"]
-    blocks = [texts[k : k + TERMS] for k in range(0, len(texts), TERMS)] or [[]]
-    met = lambda block: F.array_compact(F.array(*[F.when(_matches("logical_path", t), F.lit(i)) for i, t in block]).cast("array<int>"))
-    hits = reduce(DataFrame.union, [rows.select("id", F.explode(met(block)).alias("term")) for block in blocks])
-    roots = [tag_set(cat, t, pool).withColumn("term", F.lit(i)) for i, t in enumerate(distinct) if t["kind"] in ("tag", "any")]
-    if roots:
-        roots = reduce(DataFrame.union, roots)
-        tagged = files_of_tags(cat, roots.select("root"), include_subtags).join(roots, "root").select(F.col("file_id").alias("id"), "term")
-        hits = hits.union(tagged.join(rows.select("id"), "id", "left_semi")).distinct()
-    index = terms.sparkSession.createDataFrame([(_key(t), i) for i, t in enumerate(distinct)], "term_key string, term int")
-    named = terms.withColumn("term_key", F.concat_ws("\x00", "kind", F.col("regex").cast("string"), "text")).join(F.broadcast(index), "term_key", "left").drop("term_key")
-    wanted = named.where("not negated").groupBy("query_id").agg(F.countDistinct("term").alias("need"))
-    queries = F.broadcast(named.select("query_id").distinct().join(wanted, "query_id", "left").fillna(0, ["need"]))
-    positive = hits.join(F.broadcast(named.where("not negated").select("query_id", "term").distinct()), "term").groupBy("query_id", "id").agg(F.count("*").alias("n"))
-    some = positive.join(queries, "query_id").where("n = need").select("query_id", "id")
-    every = queries.where("need = 0").select("query_id").join(rows.select("id"), F.lit(True))  # a query without positive terms starts from all rows
-    out = some.union(every)
-    barred = hits.join(F.broadcast(named.where("negated").select("query_id", "term").distinct()), "term").select("query_id", "id")
-    return out.join(barred, ["query_id", "id"], "left_anti")
-
-
-def _key(t: dict) -> str:
-    return "\x00".join((t["kind"], "true" if t["regex"] else "false", t["text"]))
+    Distinct terms are evaluated once. Plain texts are a table and meet the paths and tag
+    names by the gram index; patterns, which no index serves, are tried in the plan in
+    blocks of PATTERNS. A row is a hit where it meets as many positive terms as the query has
+    and no negated one. A null flag counts as false, a null text as one that nothing meets.
+    A kind that is not in KINDS raises an error. A query whose only row has null in place
+    of a kind has no terms and gives every row."""
+    spark = terms.sparkSession
+    with steps(spark) as keep:
+        flat = terms.select("query_id", "kind", F.coalesce("negated", F.lit(False)).alias("negated"), F.coalesce("regex", F.lit(False)).alias("regex"), "text")
+        unknown = flat.where(F.col("kind").isNotNull() & ~F.col("kind").isin(*KINDS)).select("kind").first()
+        if unknown:
+            raise ValueError(f"unknown kind of term: {unknown.kind}")
+        pool = "exclude" if deleted == "exclude" else "include"
+        rows = list_files(cat, pool)
+        rows = stage((rows.where("deleted") if deleted == "only" else rows).select("id", F.col("logical_path").alias("text")), "listed")
+        asked = stage(flat.where("kind is not null").select("kind", "regex", "text").distinct(), "asked")
+        by_text = asked.where("kind <> 'tag'").select("regex", "text").distinct()
+        paths = _meeting(by_text, rows)
+        by_tag = asked.where("kind in ('tag', 'any')").select("regex", "text").distinct()
+        roots = stage(tags_named(alive(cat["tags"], pool), by_tag), "roots")
+        files = files_of_tags(cat, roots.select("root"), include_subtags).join(roots, "root").select("regex", "text", F.col("file_id").alias("id"))
+        tagged = files.join(rows.select("id"), "id", "left_semi").select("regex", "text", "id")
+        ways = {"tag": [tagged], "name": [paths], "logical": [paths], "any": [paths, tagged]}
+        hits = reduce(DataFrame.unionAll, [part.join(asked.where(F.col("kind") == kind), ["regex", "text"]).select("kind", "regex", "text", "id") for kind, parts in ways.items() for part in parts])
+        hits = stage(hits.distinct(), "hits")
+        term = ["kind", "regex", "text"]
+        need = flat.where("kind is not null and not negated").select("query_id", *term).distinct()
+        wanted = stage(flat.select("query_id").distinct().join(need.groupBy("query_id").agg(F.count("*").alias("need")), "query_id", "left").fillna(0, ["need"]), "wanted")
+        positive = hits.join(need, term).groupBy("query_id", "id").agg(F.count("*").alias("n"))
+        some = positive.join(wanted, "query_id").where("n = need").select("query_id", "id")
+        # a query without positive terms starts from all rows: that is its answer, less what is barred
+        free = [r.query_id for r in wanted.where("need = 0").select("query_id").toLocalIterator()]
+        ids = F.array(*[F.lit(q) for q in free]).cast(ArrayType(flat.schema["query_id"].dataType))
+        every = rows.select(F.explode(ids).alias("query_id"), "id") if free else some.limit(0)
+        bars = flat.where("kind is not null and negated").select("query_id", *term).distinct()
+        barred = hits.join(bars, term).select("query_id", "id")
+        return keep(some.unionAll(every.select("query_id", "id")).join(barred, ["query_id", "id"], "left_anti"), "search")
+
+
+def _meeting(terms: DataFrame, rows: DataFrame) -> DataFrame:
+    """(regex, text, id) for terms(regex, text) that rows(id, text) meet."""
+    plain = terms.where("not regex").select("text", F.lower("text").alias("term"))
+    found = containing(plain, rows.select("id", F.lower("text").alias("text"))).join(plain, "term").select(F.lit(False).alias("regex"), "text", "id")
+    patterns = [r.text for r in terms.where("regex and text is not null").select("text").distinct().orderBy("text").collect()]
+    for k in range(0, len(patterns), PATTERNS):
+        met = [F.when(matches_regex("text", p), F.lit(p)) for p in patterns[k : k + PATTERNS]]
+        found = found.unionAll(rows.select(F.lit(True).alias("regex"), F.explode(F.array_compact(F.array(*met))).alias("hit"), "id"))
+    return found
+
+
+def tags_named(tags: DataFrame, terms: DataFrame) -> DataFrame:
+    """(regex, text, root) for terms(regex, text): the tags that a token names, by part of
+    the name (case of ASCII letters aside) or prefix of the id; a regex by name only."""
+    fold = lambda c: F.translate(c, UPPER, LOWER)
+    plain = terms.where("not regex and text is not null").select("text", fold("text").alias("term"), F.lower(F.replace("text", F.lit("-"))).alias("prefix"))
+    named = containing(plain, tags.select("id", fold("name").alias("text"))).join(plain, "term").select(F.lit(False).alias("regex"), "text", F.col("id").alias("root"))
+    ids = plain.where(F.col("prefix").rlike("^[0-9a-f]{1,32}$")).select("text", "prefix").distinct()
+    lengths = [r[0] for r in ids.select(F.length("prefix")).distinct().collect()]  # 32 at most
+    starts = F.explode(F.array(*[F.substring("id", 1, n) for n in lengths]) if lengths else F.array().cast("array<string>"))
+    by_id = tags.select("id", starts.alias("prefix")).join(ids, "prefix").select(F.lit(False), "text", "id")
+    by_pattern = _meeting(terms.where("regex"), tags.select("id", F.col("name").alias("text")))
+    return named.unionAll(by_id).unionAll(by_pattern).distinct()
+
+
+def token_terms(tokens: DataFrame) -> DataFrame:
+    """(query_id, search, pos, kind, negated, regex, text) for tokens(search, tokens): the
+    search strings as a table of terms. Tokens that name a physical path are left out, as no
+    search looks there; a string without other tokens keeps one row without a kind."""
+    numbered = tokens.select(F.md5("search").alias("query_id"), "search", F.filter("tokens", lambda t: t.kind != "physical").alias("tokens"))
+    return numbered.select("query_id", "search", F.posexplode_outer("tokens").alias("pos", "t")).select("query_id", "search", F.coalesce("pos", F.lit(0)).alias("pos"), "t.kind", "t.negated", "t.regex", "t.text")
+
+
+def search_log(log: DataFrame, col: str, cat: dict, include_subtags: bool = False, deleted: str = "exclude") -> DataFrame:
+    """(search, id) for each distinct string of a search log: from strings to rows. A string
+    without a token asks for nothing and gives every row."""
+    with steps(log.sparkSession) as keep:
+        terms = stage(token_terms(tokenize_searches(log, col)), "terms")
+        hits = search_batch(cat, terms, include_subtags, deleted)
+        return keep(hits.join(terms.select("query_id", "search").distinct(), "query_id").select("search", "id"), "search-log")
 
 
 # The marks of a search string and what they ask for.
@@ -161,12 +215,11 @@ def tokenize_searches(df: DataFrame, col: str) -> DataFrame:
 
 def search_log_report(tokens: DataFrame, cat: dict) -> DataFrame:
     """(kind, negated, regex, n, unresolved, invalid_regex): use of each kind of token, how
-    many plain tag tokens name no live tag, and how many patterns are invalid. The live tags
-    are joined by part of their names, each distinct token once."""
+    many plain tag tokens name no live tag, and how many patterns are invalid. Each distinct
+    token meets the names and ids of live tags once, by the gram index."""
     flat = tokens.select(F.explode("tokens").alias("t")).select("t.*")
-    words = flat.where("kind = 'tag' and not regex").select("text").distinct()
-    names = alive(cat["tags"]).select(F.lower("name").alias("name")).distinct()
-    known = words.join(names, F.contains(F.col("name"), F.lower("text")), "left_semi").withColumn("known", F.lit(True))
+    words = flat.where("kind = 'tag' and not regex").select("regex", "text").distinct()
+    known = tags_named(alive(cat["tags"]), words).select("text").distinct().withColumn("known", F.lit(True))
 
     def invalid(batches):
         for b in batches:

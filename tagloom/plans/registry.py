@@ -348,13 +348,27 @@ def _(cat, spark):
     return X.search_batch(cat, _searches(spark))
 
 
+FLAGS = [(1, 0, "logical", None, None, "photos"), (1, 1, "logical", True, None, ".JPG"), (2, 0, "any", False, None, None), (3, 0, None, None, None, None), (4, 0, "tag", None, False, "B-Rand#1"), (5, 0, "tag", False, None, md5("n1")[:9].upper()), (6, 0, "logical", False, False, "Md"), (6, 1, "any", None, True, "^BRAND#1[12]$|^work"), (7, 0, "name", False, False, "")]
+
+
+@query("f9_search_batch_flags", f"WITH {LISTED}, a AS (SELECT * FROM li WHERE NOT deleted), el AS (SELECT target_id AS id, tag_id FROM entries WHERE type = 0 AND NOT deleted), tt AS (SELECT id, name FROM tags WHERE NOT deleted) SELECT 1 AS query_id, id FROM a WHERE contains(lower(logical_path), 'photos') AND NOT contains(lower(logical_path), '.jpg') UNION ALL SELECT 3, id FROM a UNION ALL SELECT 5, id FROM a WHERE id IN (SELECT id FROM el WHERE tag_id = md5('n1')) UNION ALL SELECT 6, id FROM a WHERE contains(lower(logical_path), 'md') AND (regexp_matches(logical_path, '(?i)^work') OR id IN (SELECT id FROM el WHERE tag_id IN (SELECT id FROM tt WHERE name IN ('Brand#11', 'Brand#12')))) UNION ALL SELECT 7, id FROM a")
+def _(cat, spark):
+    return X.search_batch(cat, spark.createDataFrame(FLAGS, "query_id int, pos int, kind string, negated boolean, regex boolean, text string"))
+
+
+@query("f10_search_log", f"WITH {LISTED}, {TG}, q AS (SELECT DISTINCT user_id % 2 = 0 AS a, user_id % 3 = 0 AS b FROM events) SELECT concat('/l photos', CASE WHEN a THEN ' ! .md' ELSE '' END, CASE WHEN b THEN ' /p z /t \"Brand#1\"' ELSE '' END) AS search, id FROM li, q WHERE NOT deleted AND contains(lower(logical_path), 'photos') AND NOT (a AND contains(lower(logical_path), '.md')) AND NOT (b AND id NOT IN (SELECT * FROM tg))")
+def _(cat, spark):
+    log = spark.table("events").select(F.concat_ws(" ", F.lit("/l photos"), F.when(F.col("user_id") % 2 == 0, F.lit("! .md")), F.when(F.col("user_id") % 3 == 0, F.lit('/p z /t "Brand#1"'))).alias("q"))
+    return X.search_log(log, "q", cat)
+
+
 @query("f10_tokenize_searches")
 def _(cat, spark):
     log = spark.table("events").select(F.concat_ws(" ", F.lit("/t"), "event_type", F.when(F.col("user_id") % 2 == 0, F.lit('! "a b"')), F.when(F.col("user_id") % 3 == 0, F.lit("%x$% /l y"))).alias("q"))
     return X.tokenize_searches(log, "q").select("search", F.to_json("tokens").alias("tokens"))
 
 
-@query("f11_search_log_report")
+@query("f11_search_log_report", "WITH q AS (SELECT DISTINCT event_type, user_id % 2 = 0 AS even FROM events), t AS (SELECT 'tag' AS kind, false AS regex, event_type AS text FROM q UNION ALL SELECT 'tag', false, 'asia' FROM q WHERE even UNION ALL SELECT 'any', true, '*x' FROM q WHERE even), n AS (SELECT string_agg(lower(name), ' ') AS names FROM tags WHERE NOT deleted) SELECT kind, false AS negated, regex, count(*) AS n, count(*) FILTER (kind = 'tag' AND NOT contains(names, lower(text))) AS unresolved, count(*) FILTER (regex) AS invalid_regex FROM t, n GROUP BY kind, regex")
 def _(cat, spark):
     log = spark.table("events").select(F.concat_ws(" ", F.lit("/t"), "event_type", F.when(F.col("user_id") % 2 == 0, F.lit("/t asia %*x%"))).alias("q"))
     return X.search_log_report(X.tokenize_searches(log, "q"), cat)
@@ -531,6 +545,25 @@ def _(cat, spark):
     return H.plan_file_sync(*_manifests(cat)).groupBy("action").agg(F.count("*").alias("n"))
 
 
+def _fleet(cat):
+    """Manifests of three devices: a and b as in the queries above, c with a's state."""
+    ours, theirs = _manifests(cat)
+    same = [c for c in ours.columns if c in theirs.columns]
+    return ours.select(F.lit("a").alias("device"), *same).unionByName(theirs.select(F.lit("b").alias("device"), *same)).unionByName(ours.select(F.lit("c").alias("device"), *same))
+
+
+@query("h8_plan_fleet", f"WITH {PLAN}, one AS (SELECT file_id, 'delete' AS action, NULL AS content_hash, NULL::BIGINT AS size, NULL AS path FROM p WHERE kill UNION ALL SELECT file_id, 'restore', content_hash, size, NULL FROM p WHERE up UNION ALL SELECT file_id, 'move', NULL, NULL, logical_path FROM p WHERE NOT td AND NOT kill AND NOT up AND known AND moved UNION ALL SELECT file_id, CASE WHEN decision = 'unknown' THEN 'pull_create' ELSE 'pull_change' END, content_hash, size, NULL FROM p WHERE NOT td AND NOT kill AND NOT up AND decision IN ('unknown', 'we_behind', 'divergent_theirs')) SELECT ours, 'b' AS theirs, one.* FROM one, (VALUES ('a'), ('c')) x(ours)")
+def _(cat, spark):
+    pairs = spark.createDataFrame([("a", "b"), ("c", "b"), ("a", "c"), ("c", "a")], "ours string, theirs string")
+    return H.plan_fleet(_fleet(cat), pairs, 64)
+
+
+@query("h14_fleet_files", "WITH l AS (SELECT file_id, max_by(content_hash, version_number) AS content_hash, max_by(size, version_number) AS size, max_by(observed_at, version_number) AS observed_at FROM our_versions GROUP BY 1), k AS (SELECT file_id, max_by(content_hash, version_number) AS content_hash, max_by(size, version_number) AS size, max_by(observed_at, version_number) AS observed_at FROM their_versions GROUP BY 1), m AS (SELECT f.id, f.logical_path, greatest(f.logical_path_modified_at, t.logical_path_modified_at) AS logical_path_modified_at, greatest(f.deleted_at, coalesce(t.deleted_at, 0)) AS deleted_at, greatest(f.restored_at, coalesce(t.restored_at, 0)) AS restored_at, CASE WHEN k.observed_at > l.observed_at OR l.observed_at IS NULL THEN k.content_hash ELSE l.content_hash END AS content_hash, CASE WHEN k.observed_at > l.observed_at OR l.observed_at IS NULL THEN k.size ELSE l.size END AS size, greatest(l.observed_at, k.observed_at) AS observed_at FROM files f LEFT JOIN theirs t ON t.id = f.id LEFT JOIN l ON l.file_id = f.id LEFT JOIN k ON k.file_id = f.id) SELECT *, deleted_at > 0 AND deleted_at >= greatest(coalesce(observed_at, 0), restored_at) AS deleted FROM m")
+def _(cat, spark):
+    old = cat["files"].where("id < 'c'").withColumn("logical_path", F.lit("older")).withColumn("logical_path_modified_at", F.col("logical_path_modified_at") - 1)
+    return H.merge_fleet_files([cat["files"], cat["theirs"], old], [cat["our_versions"], cat["their_versions"], cat["versions"].where("version_number = 1")])
+
+
 def _their_tags(cat):
     return cat["tags"].where("name not like 'Brand#4%'").withColumn("modified_at", F.col("modified_at") + F.when(F.col("id") < "8", 1).otherwise(0))
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .staging import stage, steps
+
+READ_BLOCK = 10_000  # paths that one reading job takes
+
 SCHEMAS = {
     "files": "id string, logical_path string, logical_path_modified_at bigint, deleted boolean, deleted_at bigint, restored_at bigint",
     "versions": "file_id string, content_hash string, observed_at bigint, version_number bigint, origin string, size bigint",
@@ -90,10 +97,53 @@ def read_wire_changes(lines: DataFrame, col: str = "value") -> tuple[DataFrame,
     return flat.where(ok).select("seq", "at", "origin", "op", "f.*"), flat.where(~ok).select("raw")
 
 
-def scan_listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, mtime, content_hash) of every file below root."""
+def list_metadata(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, mtime) of every file below root; no file is opened. Spark's file sources
+    leave out files of no bytes, and so does this."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select("path", "length", F.unix_millis("modificationTime").alias("mtime"), F.sha2("content", 256).alias("content_hash"))
+    return files.select("path", "length", F.unix_millis("modificationTime").alias("mtime"))
+
+
+def _literal(path: str) -> str:
+    """A path that stands for itself where a pattern may stand."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def hash_files(spark: SparkSession, paths: DataFrame, block: int = READ_BLOCK) -> DataFrame:
+    """(path, content_hash) of the files in paths(path), which are opened, and no others. The
+    paths pass the driver in blocks; each block is one job whose tasks read the contents."""
+    out, some, it = [], [], paths.select("path").distinct().toLocalIterator(prefetchPartitions=True)
+    with steps(spark) as keep:
+        for row in it:
+            some.append(_literal(row.path))
+            if len(some) == block:
+                out.append(_hashed(spark, some))
+                some = []
+        if some:
+            out.append(_hashed(spark, some))
+        if not out:
+            return spark.createDataFrame([], "path string, content_hash string")
+        return keep(reduce(DataFrame.union, out), "hashes")
+
+
+def _hashed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    files = spark.read.format("binaryFile").load(paths)
+    return stage(files.select("path", F.sha2("content", 256).alias("content_hash")), "hashes")
+
+
+def scan_listing(spark: SparkSession, root: str, memo: DataFrame | None = None, block: int = READ_BLOCK) -> DataFrame:
+    """(path, length, mtime, content_hash) of every file below root. With a memo (path, mtime,
+    size, content_hash) of an earlier scan, files that agree with it in all three keep its
+    hash unread. A file that goes between listing and reading has no hash."""
+    with steps(spark) as keep:
+        listed = stage(list_metadata(spark, root), "listing")
+        known = listed.withColumn("content_hash", F.lit(None).cast("string"))
+        if memo is not None:
+            once = memo.where("content_hash is not null").groupBy(F.col("path"), F.col("mtime"), F.col("size").alias("length")).agg(F.max("content_hash").alias("content_hash"))
+            known = listed.join(once, ["path", "length", "mtime"], "left")
+        known = stage(known, "listing")
+        fresh = hash_files(spark, known.where("content_hash is null"), block).withColumnRenamed("content_hash", "fresh")
+        return keep(known.join(fresh, "path", "left").select("path", "length", "mtime", F.coalesce("content_hash", "fresh").alias("content_hash")), "scan")
 
 
 def export_results(files: DataFrame, tags: DataFrame) -> DataFrame:

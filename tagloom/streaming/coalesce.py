@@ -5,7 +5,6 @@ events of the same path may take it up. A device has one queue for all its direc
 
 from __future__ import annotations
 
-import json
 from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
 
@@ -13,7 +12,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from .stateful import frame, plain, with_state
 
 # Fixed value: an event is final so many ms after its own time.
 QUIET = 500
@@ -154,27 +155,46 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], COLUMNS)
 
 
-def _fold_events(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    queue, done = _Queue(json.loads(state.get[0]) if state.exists else ()), []
-    if not state.hasTimedOut:
-        rows = pd.concat(list(batches)).sort_values(["at", "seq"], na_position="first")
-        rows = rows[COLUMNS[1:]].astype(object)
-        for event in rows.where(rows.notna(), None).itertuples(index=False, name=None):
+class _Waiting(StatefulProcessor):
+    """What waits in a device's queue, as a list of events. A device's clock is the time of
+    its own events; a timer gives out what is left when nothing comes from it any more."""
+
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", EVENT.partition(", ")[2])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        queue, done = _Queue([tuple(e) for e in self.waiting.get()]), []
+        for event in sorted(plain(rows, COLUMNS[1:]), key=lambda e: (e[2], e[1] is not None, e[1])):
             done += queue.final(event[2])
             queue.add(event)
-    done += queue.final(state.getCurrentWatermarkMs())
-    if queue.waiting:
-        state.update((json.dumps(list(queue.waiting.values())),))
-        state.setTimeoutTimestamp(int(next(iter(queue.waiting.values()))[2]) + QUIET + 1)
-    elif state.exists:
-        state.remove()
-    if done:
-        yield pd.DataFrame([(*key, *e) for e in done], columns=COLUMNS).astype({"seq": "Int64"})
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if queue.waiting:
+            self.waiting.put(list(queue.waiting.values()))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+        else:
+            self.waiting.clear()
+        if done:
+            yield frame([(*key, *e) for e in done], EVENT)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        done = [(*key, *e) for e in self.waiting.get()]
+        self.waiting.clear()
+        if done:
+            yield frame(done, EVENT)
+
+    def close(self) -> None:
+        pass
 
 
-def stream_coalesce(events: DataFrame, late: str = "0 seconds") -> DataFrame:
+def stream_coalesce(events: DataFrame, idle: int = 10 * QUIET) -> DataFrame:
     """coalesce_events of a stream, with what waits as a device's state. An event is given
-    out when the watermark, or a later event of its device, is past its quiet time. Agrees
-    with the batch form as long as at grows from batch to batch within a device."""
-    timed = _usable(events).withColumn("ts", F.timestamp_millis("at")).withWatermark("ts", late)
-    return timed.groupBy("device").applyInPandasWithState(_fold_events, EVENT, "queue string", "append", GroupStateTimeout.EventTimeTimeout)
+    out when a later event of its own device is past its quiet time, or when nothing has come
+    from the device for ``idle`` ms of processing time, which should be longer than a batch
+    takes. There is no watermark: devices may lag behind each other by any time. Agrees with
+    the batch form as long as at grows from batch to batch within a device."""
+    return with_state(_usable(events), ["device"], _Waiting(idle), EVENT, "Append", clock=True)

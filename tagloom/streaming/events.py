@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from .stateful import frame, plain, with_state
 
 WRITE = "device string, directory string, seq long, op string, path string, to string, content_hash string"
 FIELDS = [c.split()[0] for c in WRITE.split(", ")]
@@ -38,34 +39,45 @@ def suppress_self_writes(events: DataFrame, writes: DataFrame) -> DataFrame:
     return events.select(*FIELDS).join(gone, ["device", "directory", "seq"], "left_anti").select(*FIELDS)
 
 
-def _fold_writes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pending: dict = json.loads(state.get[0]) if state.exists else {}
-    rows, out = pd.concat(list(batches)).sort_values(["seq", "own"], ascending=[True, False]), []
-    own = rows.pop("own").tolist()
-    rows = rows[FIELDS].astype(object)
-    for mine, event in zip(own, rows.where(rows.notna(), None).itertuples(index=False, name=None)):
-        _, _, _, op, path, to, digest = event
-        if mine:
-            pending[path] = digest
-            continue
-        asks = [] if op == "move" and to is None else [p for p in (path, to) if p in pending]
-        used = [p for p in asks if op != "modify" or None in (digest, pending[p]) or digest == pending[p]]
-        for p in set(used):
-            del pending[p]
-        if not used:
-            out.append(event)
-    state.update((json.dumps(pending),))
-    if out:
-        yield pd.DataFrame(out, columns=FIELDS).astype({"seq": "Int64"})
-
-
-def stream_suppress(log: DataFrame) -> DataFrame:
+class _Writes(StatefulProcessor):
+    """The pending own writes of a directory as a map from path to hash: an event reads and
+    changes the entries of its own paths and no others."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.pending = handle.getMapState("pending", "path string", "content_hash string", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out = []
+        for own, *event in sorted(plain(rows, ["own", *FIELDS]), key=lambda r: (r[3], not r[0])):
+            _, _, _, op, path, to, digest = event
+            if own:
+                self.pending.updateValue((path,), (digest,))
+                continue
+            asks = [] if op == "move" and to is None else [p for p in dict.fromkeys((path, to)) if p is not None and self.pending.containsKey((p,))]
+            used = [p for p in asks if op != "modify" or digest is None or (self.pending.getValue((p,))[0] or digest) == digest]
+            for p in used:
+                self.pending.removeKey((p,))
+            if not used:
+                out.append(tuple(event))
+        if out:
+            yield frame(out, WRITE)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_suppress(log: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """suppress_self_writes of one stream of events and own writes, told apart by a boolean
-    column ``own``. The pending records of a directory are its state. Agrees with the batch
-    form as long as seq grows from batch to batch; rows without device, directory, seq or own
-    and writes without a path are dropped."""
+    column ``own``. The pending records of a directory are its state, one entry a path; with
+    ``keep_ms`` a record that no event has used up goes after so much processing time. Agrees
+    with the batch form as long as seq grows from batch to batch; rows without device,
+    directory, seq or own and writes without a path are dropped."""
     known = log.where("device is not null and directory is not null and seq is not null and own is not null and (not own or path is not null)")
-    return known.select(*FIELDS, "own").groupBy("device", "directory").applyInPandasWithState(_fold_writes, WRITE, "pending string", "append", GroupStateTimeout.NoTimeout)
+    processor = _Writes(keep_ms)
+    return with_state(known.select(*FIELDS, "own"), ["device", "directory"], processor, WRITE, "Append", clock=keep_ms is not None)
 
 
 def _above(path: Column) -> Column:

@@ -9,19 +9,18 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.chunks import KEY, TTL
+from .stateful import fold_by_key, frame, plain, with_state
 
 FILE_STATE = "born boolean, path string, path_at long, version long, hash string, observed_at long, deleted boolean, deleted_at long, restored_at long"
 FILE_OUT = "file_id string, logical_path string, logical_path_modified_at long, version_number long, content_hash string, observed_at long, deleted boolean, deleted_at long, restored_at long"
 
 
-def _fold_files(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    born, path, path_at, version, digest, observed, deleted, deleted_at, restored_at = state.get if state.exists else (False, None, None, 0, None, 0, False, 0, 0)
-    rows = pd.concat(list(batches)).sort_values("seq")
-    for op, to, content, at in zip(rows.op, rows.path, rows.content_hash, rows["at"]):
-        at = int(at)
+def _fold_files(now: tuple | None, key: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+    born, path, path_at, version, digest, observed, deleted, deleted_at, restored_at = now or (False, None, None, 0, None, 0, False, 0, 0)
+    for _, op, to, content, at in sorted(rows, key=lambda r: r[0]):
         if op == "add" and not born or op == "move" and born and at > path_at:
             born, path, path_at = True, to, at
         elif op == "edit" and (content is None or content != digest):
@@ -33,9 +32,8 @@ def _fold_files(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
         elif op == "restore":
             restored_at = max(restored_at, at)
             deleted = deleted and restored_at <= deleted_at
-    state.update((born, path, path_at, version, digest, observed, deleted, deleted_at, restored_at))
-    if born:
-        yield pd.DataFrame([(key[0], path, path_at, version, digest, observed, deleted, deleted_at, restored_at)], columns=[c.split()[0] for c in FILE_OUT.split(", ")])
+    out = [(*key, path, path_at, version, digest, observed, deleted, deleted_at, restored_at)] if born else []
+    return (born, path, path_at, version, digest, observed, deleted, deleted_at, restored_at), out
 
 
 def stream_files(changes: DataFrame) -> DataFrame:
@@ -47,7 +45,7 @@ def stream_files(changes: DataFrame) -> DataFrame:
     version. A file is given out from its first add on. Rows without file_id, seq or at are
     ignored."""
     known = changes.where("file_id is not null and seq is not null and at is not null")
-    return known.groupBy("file_id").applyInPandasWithState(_fold_files, FILE_OUT, FILE_STATE, "update", GroupStateTimeout.NoTimeout)
+    return fold_by_key(known, ["file_id"], _fold_files, ["seq", "op", "path", "content_hash", "at"], FILE_STATE, FILE_OUT)
 
 
 # Statuses that end an operation.
@@ -55,18 +53,12 @@ ENDS = ("completed", "failed", "aborted", "dropped")
 OPERATION_OUT = "op_id string, kind string, status string, done long, total long, started_at long, at long, finished boolean"
 
 
-def _fold_operations(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = state.get if state.exists else None
-    rows = pd.concat(list(batches))
-    rows = rows.assign(end=rows.status.isin(ENDS)).sort_values(["at", "end", "done"], na_position="first")
-    whole = lambda x: None if pd.isna(x) else int(x)
-    for kind, status, done, total, at, end in zip(rows.kind, rows.status, rows.done, rows.total, rows["at"], rows.end):
+def _fold_operations(now: tuple | None, key: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+    for at, end, done, kind, status, total in sorted(((at, status in ENDS, done, kind, status, total) for at, status, done, total, kind in rows), key=lambda r: (r[0], r[1], r[2] is not None, r[2])):
         if now is not None and now[6]:
             break
-        started = int(at) if now is None else now[4]
-        now = (kind, "aborted" if status == "dropped" else status, whole(done), whole(total), started, int(at), bool(end))
-    state.update(now)
-    yield pd.DataFrame([(*key, *now)], columns=[c.split()[0] for c in OPERATION_OUT.split(", ")]).astype({"done": "Int64", "total": "Int64"})
+        now = (kind, "aborted" if status == "dropped" else status, done, total, at if now is None else now[4], at, end)
+    return now, [(*key, *now)]
 
 
 def stream_operations(events: DataFrame) -> DataFrame:
@@ -74,7 +66,7 @@ def stream_operations(events: DataFrame) -> DataFrame:
     what comes after its end is ignored. Agrees with operations_state as long as at grows
     from batch to batch. Rows without op_id, status or at are ignored."""
     known = events.where("op_id is not null and status is not null and at is not null")
-    return known.groupBy("op_id").applyInPandasWithState(_fold_operations, OPERATION_OUT, OPERATION_OUT.partition(", ")[2], "update", GroupStateTimeout.NoTimeout)
+    return fold_by_key(known, ["op_id"], _fold_operations, ["at", "status", "done", "total", "kind"], OPERATION_OUT.partition(", ")[2], OPERATION_OUT)
 
 
 REQUEST_KEY = [*KEY, "offset"]
@@ -84,15 +76,14 @@ REQUEST_OUT = "file_id string, content_hash string, offset long, opened_at long,
 RANK = {"request": 0, "ask": 1, "data": 2, "miss": 3, "drop": 4}
 
 
-def _correlate(entry: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, list[tuple]]:
-    """The open request of one key after the messages, and the requests that they closed as
-    (opened_at, closed_at, outcome, waiting, asked)."""
+def _correlate(entry: tuple | None, messages: list[tuple], ttl: int = TTL) -> tuple[tuple | None, list[tuple]]:
+    """The open request of one key after messages (at, msg, link), and the requests that they
+    closed as (opened_at, closed_at, outcome, waiting, asked)."""
     closed: list[tuple] = []
-    rows = rows.assign(rank=rows.msg.map(RANK)).sort_values(["at", "rank", "link"])
-    for at, msg, link in zip(rows["at"], rows.msg, rows.link):
-        at, outcome = int(at), None
-        if entry and at >= entry[0] + TTL:
-            closed.append((entry[0], entry[0] + TTL, "expired", len(entry[1]), entry[3]))
+    for at, msg, link in sorted(messages, key=lambda m: (m[0], RANK[m[1]], m[2])):
+        outcome = None
+        if entry and at >= entry[0] + ttl:
+            closed.append(_expired(entry, ttl))
             entry = None
         if entry is None:
             if msg == "request":
@@ -120,17 +111,22 @@ def _correlate(entry: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, l
     return entry, closed
 
 
+def _expired(entry: tuple, ttl: int) -> tuple:
+    return entry[0], entry[0] + ttl, "expired", len(entry[1]), entry[3]
+
+
 def _answers(key: tuple, closed: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame([(*key, *c) for c in closed], columns=[c.split()[0] for c in REQUEST_OUT.split(", ")])
+    return frame([(*key, *c) for c in closed], REQUEST_OUT)
 
 
 def _messages(log: DataFrame) -> DataFrame:
     return log.where(F.col("msg").isin(*RANK) & F.col("at").isNotNull()).select(*REQUEST_KEY, "at", "msg", F.coalesce("link", F.lit("")).alias("link"))
 
 
-def request_outcomes(log: DataFrame, now: int) -> DataFrame:
+def request_outcomes(log: DataFrame, now: int | None = None, ttl: int = TTL) -> DataFrame:
     """Closed requests of a log (file_id, content_hash, offset, at, msg, link) up to ``now``:
-    opened_at, closed_at, outcome, how many waited and how many upstreams were asked.
+    opened_at, closed_at, outcome, how many waited and how many upstreams were asked. Without
+    ``now`` the clock of a key is the time of its last message.
 
     The first request opens, later ones within the time to live join without extending it.
     Data closes it for all; a miss or a dropped link takes an upstream away, and it is missed
@@ -138,35 +134,58 @@ def request_outcomes(log: DataFrame, now: int) -> DataFrame:
     Replies to no open request are ignored, as are other messages and rows without a time."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        entry, closed = _correlate(None, group)
-        if entry and entry[0] + TTL <= now:
-            closed.append((entry[0], entry[0] + TTL, "expired", len(entry[1]), entry[3]))
+        entry, closed = _correlate(None, plain([group], ["at", "msg", "link"]), ttl)
+        if entry and now is not None and entry[0] + ttl <= now:
+            closed.append(_expired(entry, ttl))
         return _answers(key, closed)
 
-    return _messages(log).where(F.col("at") <= now).groupBy(*REQUEST_KEY).applyInPandas(run, REQUEST_OUT)
-
-
-def _fold_requests(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    entry = state.get if state.exists else None
-    if state.hasTimedOut:
-        closed = [(entry[0], entry[0] + TTL, "expired", len(entry[1]), entry[3])]
-        entry = None
-    else:
-        entry, closed = _correlate(entry, pd.concat(list(batches)))
-        if entry and entry[0] + TTL <= state.getCurrentWatermarkMs():
-            closed.append((entry[0], entry[0] + TTL, "expired", len(entry[1]), entry[3]))
-            entry = None
-    if entry:
-        state.update(entry)
-        state.setTimeoutTimestamp(entry[0] + TTL)
-    elif state.exists:
-        state.remove()
-    if closed:
-        yield _answers(key, closed)
-
-
-def stream_requests(log: DataFrame, late: str = "0 seconds") -> DataFrame:
-    """request_outcomes of a stream; messages may come ``late`` by so much. A request expires
-    when the watermark passes its time, which joining requests do not extend."""
-    timed = _messages(log).withColumn("ts", F.timestamp_millis("at")).withWatermark("ts", late)
-    return timed.groupBy(*REQUEST_KEY).applyInPandasWithState(_fold_requests, REQUEST_OUT, REQUEST_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    known = _messages(log)
+    return (known if now is None else known.where(F.col("at") <= now)).groupBy(*REQUEST_KEY).applyInPandas(run, REQUEST_OUT)
+
+
+class _Requests(StatefulProcessor):
+    """The open request of a key, and a timer that runs for its time to live from when it was
+    first seen; requests that join do not start it anew."""
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entry = handle.getValueState("entry", f"{REQUEST_STATE}, timer long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        old = tuple(self.entry.get()) if self.entry.exists() else None
+        before = (old[0], list(old[1]), list(old[2]), old[3]) if old else None
+        entry, closed = _correlate(before, plain(rows, ["at", "msg", "link"]), self.ttl)
+        timer = old[4] if old else None
+        if old and (closed or entry is None):
+            self.handle.deleteTimer(timer)
+            timer = None
+        if entry:
+            if timer is None:
+                timer = timerValues.getCurrentProcessingTimeInMs() + self.ttl
+                self.handle.registerTimer(timer)
+            self.entry.update((*entry, timer))
+        elif old:
+            self.entry.clear()
+        if closed:
+            yield _answers(tuple(key), closed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.entry.exists():
+            closed = _expired(tuple(self.entry.get()), self.ttl)
+            self.entry.clear()
+            yield _answers(tuple(key), [closed])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_requests(log: DataFrame, ttl: int = TTL) -> DataFrame:
+    """request_outcomes of a stream. There is no watermark: a message counts whenever it
+    comes. A request expires by the time of a later message of its own key, or when ``ttl``
+    ms have gone by on the processing clock since it was first seen, which joining requests
+    do not extend. Agrees with the batch form as long as at grows from batch to batch within
+    a key and batches come faster than ``ttl``."""
+    return with_state(_messages(log), REQUEST_KEY, _Requests(ttl), REQUEST_OUT, "Append", clock=True)

@@ -150,16 +150,6 @@ def test_tokens(query, want):
     assert [shown(t) for t in search._tokens(query)] == want
 
 
-def test_repeated_batch_gives_the_same_snapshot(spark, tmp_path):
-    schema = "id string, name string, color string, modified_at long, deleted boolean"
-    make = lambda *ids: spark.createDataFrame([(i, i, "c", 1, False) for i in ids], schema)
-    batch = jobs.snapshot_batch(f"file://{tmp_path}/tags", lww.merge_tags)
-    batch(make("a", "b"), 0)
-    for _ in range(3):
-        batch(make("c"), 1)
-        assert {r.id for r in spark.read.parquet(jobs.newest_snapshot(spark, f"file://{tmp_path}/tags")[1]).collect()} == {"a", "b", "c"}
-
-
 def test_kinds_of_content(spark):
     cases = [
         (b"RIFF0000WEBPVP8 ", "x", "image"), (b"RIFF0000AVI LIST", "x", "video"), (b"RIFF0000WAVEfmt ", "x.txt", "text"), (b"\0\0\0\x18ftypmp42", "x", "video"), (b"\0\0\0\x18ftypheic", "x", "image"), (b"II*\0abc", "x", "image"),

@@ -2,7 +2,7 @@
 
 import random
 
-from test_keyed_streams import run
+from test_keyed_streams import run, two_partitions  # noqa: F401
 
 from tagloom.streaming import coalesce, events
 
@@ -98,9 +98,9 @@ def test_coalescing_rules(spark):
 def test_coalescing_stream_agrees_with_batch(spark, tmp_path):
     log = random_log(8, 300)
     end = max(e[3] for e in log) + 9000
-    ticks = [("z", "d", 5000, end, "modify", "t", None), ("z", "d", 5001, end + 9000, "modify", "u", None)]
-    got = run(spark, tmp_path, spark.createDataFrame(log + ticks, EVENT), coalesce.stream_coalesce, "coalesced", "append", parts=4, order="at")
-    assert sorted((tuple(r) for r in got.where("device <> 'z'").collect()), key=str) == plain(log)
+    ticks = [(d, "tick", 5000 + k, end, "modify", "t", None) for k, d in enumerate(sorted({e[0] for e in log}))]  # each device's own clock goes on
+    got = run(spark, tmp_path, spark.createDataFrame(log + ticks, EVENT), lambda s: coalesce.stream_coalesce(s, idle=600_000), "coalesced", "append", parts=4, order="at")
+    assert sorted((tuple(r) for r in got.where("directory <> 'tick'").collect()), key=str) == plain(log)
 
 
 def plain_suppress(log, writes):
@@ -145,6 +145,15 @@ def test_own_writes_agree_with_the_plain_fold(spark, tmp_path):
     assert events.suppress_self_writes(e, w.limit(0)).count() == len(log)
 
 
+def test_many_pending_writes_of_one_directory(spark, tmp_path):
+    """The state is one entry a path: a later batch touches the entries of its events alone."""
+    n = 20_000
+    writes = spark.range(n).selectExpr("'v' AS device", "'d' AS directory", "id AS seq", "CAST(NULL AS string) AS op", "concat('p', id) AS path", "CAST(NULL AS string) AS to", "'A' AS content_hash", "true AS own")
+    hits = spark.createDataFrame([("v", "d", n + k, "modify", f"p{k * 7}", None, "A" if k % 2 else "B", False) for k in range(10)], events.WRITE + ", own boolean")
+    got = run(spark, tmp_path, writes.union(hits), events.stream_suppress, "many_pending", "append", parts=2).collect()
+    assert sorted(r.seq - n for r in got) == [0, 2, 4, 6, 8]
+
+
 def test_changes_of_events(spark):
     dirs = spark.createDataFrame([("v", "u", "universal", ["x"]), ("v", "t", "tag", ["x", "y"])], "device string, directory string, kind string, tags array<string>")
     placed = spark.createDataFrame([("v", d, p, f"{d}:{p}") for d in "ut" for p in ("a", "s/b", "s/c/d", "sx")], "device string, directory string, physical_path string, file_id string")

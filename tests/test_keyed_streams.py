@@ -1,12 +1,24 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from tagloom.operators import lww
-from tagloom.streaming import events, keyed
+from tagloom.streaming import coalesce, events, jobs, keyed
+
 
+@pytest.fixture(autouse=True)
+def two_partitions(spark):
+    """Each batch starts a worker for each partition that has rows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
-def run(spark, tmp_path, df, job, name, mode, parts=3, order="seq"):
+
+def run(spark, tmp_path, df, job, name, mode, parts=2, order="seq"):
     """All rows that job gives for df, which arrives in some files one after the other."""
     rows = df.orderBy(order).collect()
     step = -(-len(rows) // parts)
@@ -19,6 +31,19 @@ def run(spark, tmp_path, df, job, name, mode, parts=3, order="seq"):
     return spark.table(name)
 
 
+def phases(spark, tmp_path, schema, job, batches):
+    """Rows of a job over batches (rows, seconds to wait before them), each in a run of its own
+    that starts from the state of the last one."""
+    for rows, wait in batches:
+        time.sleep(wait)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = job(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        assert q.exception() is None
+    return sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()), key=str)
+
+
 def test_files_agree_with_replay(spark, tmp_path):
     rng = random.Random(3)
     made = [(i, f"f{rng.randrange(9)}", rng.choice(["add", "move", "edit", "edit", "delete", "restore"]), f"p{i}", f"h{i}", rng.randrange(1, 60)) for i in range(240)]
@@ -69,9 +94,41 @@ def test_request_outcomes(spark):
 
 def test_requests_agree_with_batch(spark, tmp_path):
     rng = random.Random(11)
-    made = [("f", "h", rng.randrange(5) * 65536, i * 400 + rng.randrange(400), rng.choice(["request", "request", "ask", "miss", "data", "drop"]), rng.choice("abcd")) for i in range(200)]
-    df = spark.createDataFrame(made + [("end", "h", 0, 10_000_000, "data", None)], LOG)
-    got = run(spark, tmp_path, df, keyed.stream_requests, "requests_out", "append", order="at")
-    want = keyed.request_outcomes(df, 10_000_000)
+    made = [("f", "h", rng.randrange(5) * 65536, i * 40_000 + rng.randrange(40_000), rng.choice(["request", "request", "ask", "miss", "data", "drop"]), rng.choice("abcd")) for i in range(120)]
+    df = spark.createDataFrame(made, LOG)
+    got = run(spark, tmp_path, df, lambda s: keyed.stream_requests(s, ttl=800_000), "requests_out", "append", order="at")
+    want = keyed.request_outcomes(df, ttl=800_000)
     assert got.count() and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert {r[0] for r in want.select(F.col("outcome")).distinct().collect()} >= {"data", "expired"}
+
+
+def test_requests_of_a_lagging_peer_are_not_lost(spark, tmp_path):
+    row = lambda f, at, msg: (f, "h", 0, at, msg, "a")
+    batches = [
+        ([row("fast", 1_000_000, "request"), row("slow", 1_000, "request")], 0),
+        ([row("slow", 1_500, "data"), row("slow", 1_600, "request"), row("fast", 1_000_900, "request")], 0),
+        ([row("other", 5, "data")], 2.5),  # by then the processing clock has passed both open requests
+    ]
+    got = phases(spark, tmp_path, LOG, lambda s: keyed.stream_requests(s, ttl=2000), batches)
+    assert got == sorted([("fast", "h", 0, 1_000_000, 1_002_000, "expired", 2, 0), ("slow", "h", 0, 1_000, 1_500, "data", 1, 0), ("slow", "h", 0, 1_600, 3_600, "expired", 1, 0)], key=str)
+
+
+def test_events_of_a_lagging_device_are_not_lost(spark, tmp_path):
+    row = lambda device, seq, at: (device, "d", seq, at, "create", f"p{seq}", None)
+    batches = [([row("fast", 1, 100_000), row("slow", 2, 1_000)], 0), ([row("slow", 3, 2_000), row("fast", 4, 101_000)], 0), ([row("other", 5, 1)], 2.5)]
+    got = phases(spark, tmp_path, coalesce.EVENT, lambda s: coalesce.stream_coalesce(s, idle=2000), batches)
+    assert [r[:4] for r in sorted(got, key=lambda r: r[2])] == [("fast", "d", 1, 100_000), ("slow", "d", 2, 1_000), ("slow", "d", 3, 2_000), ("fast", "d", 4, 101_000)]
+
+
+def test_tags_and_entries_agree_with_replay(spark, tmp_path):
+    rng = random.Random(4)
+    made = [(i, f"t{rng.randrange(7)}", rng.choice(["add", "rename", "recolor", "remove"]), f"v{i}", rng.randrange(1, 50)) for i in range(150)]
+    df = spark.createDataFrame(made, "seq long, id string, op string, value string, modified_at long")
+    (tmp_path / "t").mkdir()
+    last = {r.id: tuple(r) for r in run(spark, tmp_path / "t", df, jobs.stream_tags, "tags_out", "update").collect()}
+    assert last == {r.id: tuple(r[c] for c in ("id", "name", "color", "modified_at", "deleted")) for r in lww.replay_tags(df).collect()}
+    made = [(i, f"t{rng.randrange(3)}", f"f{rng.randrange(4)}", rng.randrange(2), rng.choice(["tag", "untag"]), rng.randrange(1, 40)) for i in range(150)]
+    df = spark.createDataFrame(made, "seq long, tag_id string, target_id string, type int, op string, modified_at long")
+    (tmp_path / "e").mkdir()
+    last = {tuple(r)[:3]: tuple(r) for r in run(spark, tmp_path / "e", df, jobs.stream_entries, "entries_out", "update").collect()}
+    assert last == {tuple(r[c] for c in ("tag_id", "target_id", "type")): tuple(r[c] for c in ("tag_id", "target_id", "type", "modified_at", "deleted")) for r in lww.replay_entries(df).collect()}
