@@ -144,6 +144,19 @@ def pieces(vocab: DataFrame, spec: str) -> DataFrame:
     return vocab.select("token", "n").mapInArrow(run, "token string, n long, pieces long")
 
 
+def _commonest(vocab: DataFrame, frequent: int) -> DataFrame:
+    """(token, pieces) of at most ``frequent`` short tokens that the most documents hold: all
+    of at least so many documents, by a histogram of 8 classes for each power of two."""
+    short = vocab.where((F.length("token") <= FREQUENT_CHARS) & (F.col("n") > 1)).withColumn("class", F.floor(8 * F.log2(F.col("n"))))
+    least, total = None, 0
+    for r in sorted(short.groupBy("class").agg(F.count("*").alias("k")).collect(), reverse=True):
+        total += r.k
+        if total > frequent:
+            break
+        least = r["class"]
+    return short.where(F.lit(False) if least is None else F.col("class") >= least).select("token", "pieces")
+
+
 def token_counts(docs: DataFrame, spec: str, limit: int = LIMIT, frequent: int = FREQUENT) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
@@ -157,8 +170,7 @@ def token_counts(docs: DataFrame, spec: str, limit: int = LIMIT, frequent: int =
         counts = stage(frequencies(docs, spec).withColumn("row", F.monotonically_increasing_id()), "tokens-freqs")  # the numbers are data from here on
         pairs = counts.select("row", F.explode("tokens").alias("t")).select("row", "t.token", "t.freq")
         vocab = stage(pieces(pairs.groupBy("token").agg(F.count("*").alias("n")), spec), "tokens-vocab")
-        short = vocab.where((F.length("token") <= FREQUENT_CHARS) & (F.col("n") > 1)).orderBy(F.desc("n"), "token").limit(frequent)
-        common = stage(short.select("token", "pieces"), "tokens-common")
+        common = stage(_commonest(vocab, frequent), "tokens-common")
         known = pairs.join(F.broadcast(common), "token")
         rare = pairs.join(F.broadcast(common), "token", "left_anti").join(vocab.join(common, "token", "left_anti"), "token")
         nothing = [F.lit(None).cast("long").alias(c) for c in ("doc_id", "n_bytes")]
