@@ -83,9 +83,14 @@ def replay_tombstones(changes: DataFrame) -> DataFrame:
     the deletion; so does an edit. A restore of what a live file holds already does nothing;
     it is marked by a true column ``same``, if there is one. The fold runs on a file's own
     short list of changes."""
+    return _fold_tombstones(changes).select("file_id", "s.deleted", "s.observed_at", "s.deleted_at", "s.restored_at")
+
+
+def _fold_tombstones(changes: DataFrame) -> DataFrame:
+    """(file_id, s): the state, and under ``rejected`` the seq of deletes that did nothing."""
     same = F.coalesce("same", F.lit(False)) if "same" in changes.columns else F.lit(False)
     ordered = changes.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "at", same.alias("same")))).alias("c"))
-    zero = F.struct(F.lit(False).alias("deleted"), *[F.lit(0).cast("long").alias(k) for k in ("observed_at", "deleted_at", "restored_at")])
+    zero = F.struct(F.lit(False).alias("deleted"), *[F.lit(0).cast("long").alias(k) for k in ("observed_at", "deleted_at", "restored_at")], F.array().cast("array<bigint>").alias("rejected"))
 
     def step(s, c):
         kills = (c.op == "delete") & ~s.deleted & (c["at"] > F.greatest(s.observed_at, s.restored_at))
@@ -93,9 +98,9 @@ def replay_tombstones(changes: DataFrame) -> DataFrame:
         restores = (c.op == "restore") & (s.deleted | ~c.same)
         restored = F.when(restores & (c["at"] > s.restored_at), c["at"]).otherwise(s.restored_at)
         revives = ((c.op == "edit") & (c["at"] > s.deleted_at)) | (restores & (F.greatest(restored, s.observed_at) > s.deleted_at))
-        return F.struct((kills | (s.deleted & ~revives)).alias("deleted"), edited.alias("observed_at"), F.when(kills, c["at"]).otherwise(s.deleted_at).alias("deleted_at"), restored.alias("restored_at"))
+        return F.struct((kills | (s.deleted & ~revives)).alias("deleted"), edited.alias("observed_at"), F.when(kills, c["at"]).otherwise(s.deleted_at).alias("deleted_at"), restored.alias("restored_at"), F.when((c.op == "delete") & ~kills, F.concat(s.rejected, F.array(c.seq.cast("bigint")))).otherwise(s.rejected).alias("rejected"))
 
-    return ordered.select("file_id", F.aggregate("c", zero, step).alias("s")).select("file_id", "s.*")
+    return ordered.select("file_id", F.aggregate("c", zero, step).alias("s"))
 
 
 def replay(changes: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -144,6 +149,35 @@ def rejected_changes(changes: DataFrame) -> DataFrame:
     return _accepted_tags(changes).where("not accepted").drop("accepted")
 
 
+def _not_newest(changes: DataFrame, key: list[str], first: str, later: list[str]) -> DataFrame:
+    """Changes before the first one of op ``first`` of their key; after it those of ``later``
+    that are not strictly newer than all accepted so far; and any of another op."""
+    past = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    born = F.min(F.when(F.col("op") == first, F.col("seq"))).over(Window.partitionBy(*key))
+    counts = (F.col("seq") == F.col("born")) | (F.col("seq") > F.col("born")) & F.col("op").isin(later)
+    top = F.max(F.when(counts, F.col("modified_at"))).over(past)  # what is not newer does not raise it
+    ok = F.coalesce(counts & (top.isNull() | (F.col("modified_at") > top)), F.lit(False))
+    return changes.withColumn("born", born).withColumn("ok", ok).where("not ok").drop("born", "ok")
+
+
+def rejected_entries(changes: DataFrame) -> DataFrame:
+    """Edge changes (seq, tag_id, target_id, type, op, modified_at) that replay_entries does
+    not accept: an untag before the first tag, and what is no newer than the edge."""
+    return _not_newest(changes, EDGE, "tag", ["tag", "untag"])
+
+
+def rejected_paths(changes: DataFrame) -> DataFrame:
+    """Path changes (seq, file_id, op, path, modified_at) that replay_paths does not accept:
+    all before the first add, later adds, and moves that are no newer than the path."""
+    return _not_newest(changes, ["file_id"], "add", ["move"])
+
+
+def rejected_tombstones(changes: DataFrame) -> DataFrame:
+    """(file_id, seq) of deletes that replay_tombstones does not accept: no newer than the
+    last edit or restore before them, or of a file that is deleted already."""
+    return _fold_tombstones(changes).select("file_id", F.explode("s.rejected").alias("seq"))
+
+
 def apply_declared_tags(tags: DataFrame, declared: DataFrame) -> DataFrame:
     """Declared tags that no row has, under the lowest clock, beside all rows of tags."""
     good, _ = validate_tags(declared)

@@ -11,6 +11,7 @@ from .graph import tags_of_files
 from .reads import alive, latest_versions
 
 DIR = ["device", "directory"]
+CHUNK = 16_384  # ranks of one path that a task takes
 
 
 def wanted(files: DataFrame, files_tags: DataFrame, dirs: DataFrame) -> DataFrame:
@@ -56,6 +57,19 @@ def _ranked(df: DataFrame, key: list[str], rank: str) -> DataFrame:
     return parts.withColumn(rank, within).join(sizes, on).select(*df.columns, (F.col(rank) - 1 + F.col("_before")).cast("long").alias(rank))
 
 
+def _running(df: DataFrame, key: list[str], order: str, weight: str, name: str) -> DataFrame:
+    """df with the sum of weight over the rows of a key up to an order, itself included. Sums
+    of stretches of CHUNK orders are added up first, then the rows within each stretch, so
+    that the rows of one key are dealt to many tasks."""
+    parts = df.withColumn("_chunk", F.floor(F.col(order) / CHUNK))
+    before = F.coalesce(F.sum("_s").over(Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = parts.groupBy(*key, "_chunk").agg(F.sum(weight).alias("_s")).withColumn("_before", before)
+    sums = sums.select(*[F.col(c).alias(f"_of_{c}") for c in (*key, "_chunk")], "_before")
+    within = F.sum(weight).over(Window.partitionBy(*key, "_chunk").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*key, "_chunk")]
+    return parts.withColumn(name, within).join(sums, on).select(*df.columns, (F.col(name) + F.col("_before")).cast("long").alias(name))
+
+
 def resolve_collisions(placed: DataFrame, candidates: DataFrame) -> DataFrame:
     """(device, directory, file_id, physical_path) for candidates (device, directory,
     file_id, path): each gets the lowest free number, in order of file_id; placed rows keep
@@ -75,11 +89,11 @@ def resolve_collisions(placed: DataFrame, candidates: DataFrame) -> DataFrame:
     taken = literal.unionByName(spelt).where(_numbered(F.col("path"), F.col("n")) == F.col("name")).select(*key, "n").distinct()
     taken = taken.join(paths, key, "left_semi")
     # so many numbers are free below a taken one; a candidate of rank r skips those with at most r
-    below = F.col("n") - F.row_number().over(Window.partitionBy(*key).orderBy("n")) + 1
-    marks = taken.select(*key, F.lit(None).cast("string").alias("file_id"), below.cast("long").alias("r"), F.lit(1).alias("skip"))
-    both = _ranked(todo, key, "r").withColumn("skip", F.lit(0)).unionByName(marks)
-    skipped = F.sum("skip").over(Window.partitionBy(*key).orderBy("r").rangeBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("n", F.col("r") + skipped).where("skip = 0").select(*DIR, "file_id", _numbered(F.col("path"), F.col("n")).alias("physical_path"))
+    ranks = _running(taken.withColumn("one", F.lit(1)), key, "n", "one", "rank")
+    marks = ranks.groupBy(*key, (F.col("n") - F.col("rank") + 1).cast("long").alias("r")).agg(F.count("*").alias("skip"))
+    both = _ranked(todo, key, "r").withColumn("skip", F.lit(0).cast("long")).unionByName(marks.withColumn("file_id", F.lit(None).cast("string")))
+    out = _running(both, key, "r", "skip", "skipped").where("file_id is not null")
+    return out.select(*DIR, "file_id", _numbered(F.col("path"), F.col("r") + F.col("skipped")).alias("physical_path"))
 
 
 def placement_diff(cat: dict, dirs: DataFrame, placements: DataFrame) -> DataFrame:

@@ -476,6 +476,22 @@ def _(cat, spark):
     return G.rejected_changes(cat["tag_changes"]).select("seq", "id", "op")
 
 
+@query("g9_rejected_entries", f"WITH {EDGES}, b AS (SELECT *, min(CASE WHEN op = 'tag' THEN seq END) OVER (PARTITION BY tag_id, target_id, type) AS born FROM ec), w AS (SELECT *, max(CASE WHEN seq >= born THEN modified_at END) OVER (PARTITION BY tag_id, target_id, type ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM b) SELECT seq, tag_id, target_id, op FROM w WHERE NOT coalesce(seq >= born AND (top IS NULL OR modified_at > top), false)")
+def _(cat, spark):
+    return G.rejected_entries(_edge_changes(cat)).select("seq", "tag_id", "target_id", "op")
+
+
+@query("g9_rejected_paths", "WITH b AS (SELECT *, min(CASE WHEN op = 'add' THEN seq END) OVER (PARTITION BY id) AS born FROM tag_changes), w AS (SELECT *, max(CASE WHEN seq = born OR (seq > born AND op <> 'add') THEN modified_at END) OVER (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM b) SELECT seq, id AS file_id FROM w WHERE NOT coalesce((seq = born OR (seq > born AND op <> 'add')) AND (top IS NULL OR modified_at > top), false)")
+def _(cat, spark):
+    return G.rejected_paths(_path_changes(cat)).select("seq", "file_id")
+
+
+@query("g9_rejected_tombstones", "RECURSIVE o AS (SELECT id, seq, CASE op WHEN 'remove' THEN 'delete' WHEN 'add' THEN 'restore' ELSE 'edit' END AS op, modified_at AS t, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM tag_changes), f AS (SELECT id, 0::BIGINT AS k, 0::BIGINT AS seq, false AS dead, 0::BIGINT AS obs, 0::BIGINT AS del, 0::BIGINT AS res, false AS lost FROM o WHERE k = 1 UNION ALL SELECT id, k, seq, kills OR (dead AND NOT ((op = 'edit' AND t > del) OR (op = 'restore' AND greatest(res2, obs) > del))), CASE WHEN op = 'edit' THEN t ELSE obs END, CASE WHEN kills THEN t ELSE del END, res2, op = 'delete' AND NOT kills FROM (SELECT f.id, o.k, o.seq, o.op, o.t, f.dead, f.obs, f.del, f.res, o.op = 'delete' AND NOT f.dead AND o.t > greatest(f.obs, f.res) AS kills, CASE WHEN o.op = 'restore' THEN greatest(f.res, o.t) ELSE f.res END AS res2 FROM f JOIN o ON o.id = f.id AND o.k = f.k + 1) x) SELECT id AS file_id, seq FROM f WHERE lost")
+def _(cat, spark):
+    op = F.when(F.col("op") == "remove", "delete").when(F.col("op") == "add", "restore").otherwise("edit")
+    return G.rejected_tombstones(cat["tag_changes"].select("seq", F.col("id").alias("file_id"), op.alias("op"), F.col("modified_at").alias("at")))
+
+
 @query("g10_declared_tags", "SELECT id, name, modified_at FROM tags WHERE id >= '8' UNION ALL SELECT id, concat('d-', name), (-9223372036854775808)::BIGINT FROM tags WHERE id < '8'")
 def _(cat, spark):
     return G.apply_declared_tags(cat["tags"].where("id >= '8'"), cat["tags"].select("id", F.concat(F.lit("d-"), "name").alias("name"), F.lit("").alias("color"))).select("id", "name", "modified_at")

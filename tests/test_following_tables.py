@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tagloom.operators import lww, search
+from tagloom.operators import lww, placement, search
 from tagloom.sources import catalog
 from tagloom.streaming import jobs, snapshots
 
@@ -150,3 +150,33 @@ def test_merges_of_edges_follow_too(spark, tmp_path):
     for n, (at, dead) in enumerate([(5, False), (4, True), (6, True)]):
         table.add(e(at, dead), n)
     assert [tuple(r) for r in table.read().collect()] == [("t", "f", 0, 6, True)] and lww.EDGE == table.keys
+
+
+def test_rejected_changes_by_a_fold(spark):
+    rng = random.Random(8)
+    made = [(i, f"f{rng.randrange(5)}", rng.choice(["add", "move"]), f"p{i}", rng.randrange(30)) for i in range(120)]
+    at, lost = {}, []
+    for seq, f, op, _, t in made:
+        if op == "add" and f not in at or op == "move" and f in at and t > at[f]:
+            at[f] = t
+        else:
+            lost.append(seq)
+    got = lww.rejected_paths(spark.createDataFrame(made, "seq long, file_id string, op string, path string, modified_at long")).collect()
+    assert sorted(r.seq for r in got) == lost
+
+
+def test_collisions_in_stretches(spark, monkeypatch):
+    rng = random.Random(2)
+    key = ("dev", "d")
+    placed = [(*key, f"p{n}", f"a ({n}).b") for n in rng.sample(range(1, 60), 30)] + [(*key, "p0", "a.b")]
+    cands = [(*key, f"{i:04d}", "a.b") for i in range(80)]
+    p, c = spark.createDataFrame(placed, "device string, directory string, file_id string, physical_path string"), spark.createDataFrame(cands, "device string, directory string, file_id string, path string")
+    monkeypatch.setattr(placement, "CHUNK", 7)
+    taken, want = {r[3] for r in placed}, []
+    for *_, f, _path in cands:
+        n = 1
+        while f"a ({n}).b" in taken:
+            n += 1
+        taken.add(f"a ({n}).b")
+        want.append((f, f"a ({n}).b"))
+    assert sorted((r.file_id, r.physical_path) for r in placement.resolve_collisions(p, c).collect()) == want
