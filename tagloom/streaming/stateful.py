@@ -60,7 +60,9 @@ class Fold(StatefulProcessor):
 
 def with_state(df: DataFrame, keys: list[str], processor: StatefulProcessor, out: str, mode: str, clock: bool = False) -> DataFrame:
     """Runs a processor over the rows of each key. It needs the RocksDB state store, which the
-    session is set to."""
+    session is set to. With a ``clock`` Spark always makes another batch, so that timers fire
+    without new rows; a run with the trigger AvailableNow ends only where
+    spark.sql.streaming.noDataMicroBatches.enabled is off, and fires them with later rows."""
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return df.groupBy(*keys).transformWithStateInPandas(processor, out, mode, "ProcessingTime" if clock else "None")
 

@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     top = tempfile.mkdtemp(prefix="spark-tests-")
     s = (
-        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", f"{top}/warehouse").config("spark.checkpoint.dir", f"file://{top}/shared").config("spark.local.dir", f"{top}/local").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

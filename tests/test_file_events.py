@@ -2,7 +2,7 @@
 
 import random
 
-from test_keyed_streams import run, two_partitions  # noqa: F401
+from test_keyed_streams import run, one_partition  # noqa: F401
 
 from tagloom.streaming import coalesce, events
 
