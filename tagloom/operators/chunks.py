@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_sorted
+
 # Chunk length in bytes, time a request lives and a receiver waits in ms.
 CHUNK, TTL = 65536, 8000
 KEY = ["file_id", "content_hash"]
@@ -72,27 +74,26 @@ def receive_outcomes(coverage: DataFrame, got: DataFrame, verified: DataFrame, m
     return j.select("receiver", *KEY, out.alias("outcome"))
 
 
-def _epochs(log: DataFrame, key: list[str]) -> DataFrame:
-    """Requests folded into windows that a first request opens for the TTL; later requests
-    within it join and do not extend it."""
-    asked = log.where("msg = 'request'").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "link"))).alias("r"))
-    zero = F.array().cast("array<struct<start:bigint,links:array<string>>>")
-
-    def step(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = last.isNotNull() & (x["at"] < last.start + TTL)
-        new = F.struct(x["at"].cast("long").alias("start"), F.array(x.link).alias("links"))
-        more = F.struct(last.start.alias("start"), F.concat(last.links, F.array(x.link)).alias("links"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(acc, F.array(new)))
-
-    return asked.select(*key, F.explode(F.aggregate("r", zero, step)).alias("e")).select(*key, "e.start", "e.links")
+def _fold_requests(key: tuple, rows) -> list[tuple]:
+    requests = fetches = widest = 0
+    until, links = None, set()
+    for at, link in rows:
+        if until is None or at >= until:
+            until, links, fetches = at + TTL, set(), fetches + 1
+        links.add(link)
+        requests, widest = requests + 1, max(widest, len(links))
+    return [(*key, requests, fetches, widest)]
 
 
 def coalescing(log: DataFrame) -> DataFrame:
-    """(file_id, content_hash, offset, requests, fetches, widest): how many requests came and
-    how many fetches they took."""
+    """(file_id, content_hash, offset, requests, fetches, widest): how many requests came, how
+    many fetches they took, and how many links the widest one served. A first request opens
+    a fetch for the time to live; later ones within it join and do not extend it. The
+    requests of a key pass in order of time; one fetch's links are all that is kept.
+    Requests without a time are ignored."""
     key = [*KEY, "offset"]
-    return _epochs(log, key).groupBy(*key).agg(F.sum(F.size("links")).alias("requests"), F.count("*").alias("fetches"), F.max(F.size(F.array_distinct("links"))).alias("widest"))
+    asked = log.where("msg = 'request' and at is not null").select(*key, F.col("at").cast("long").alias("at"), "link")
+    return fold_sorted(asked, key, ["at", "link"], _fold_requests, "file_id string, content_hash string, offset long, requests long, fetches long, widest int")
 
 
 def miss_exhaustion(requests: DataFrame) -> DataFrame:

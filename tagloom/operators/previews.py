@@ -9,6 +9,9 @@ from ..functions.scalars import kind_by_extension, looks_like_text, text_snippet
 from .reads import alive, latest_versions
 
 KEY = ["file_id", "content_hash"]
+HEAD = 512  # first bytes in which the start of a document in markup is looked for
+# What documents in markup start with, after white space and in any case.
+MARKUP = r"(?is)\A[\t\n\f\r ]*(<\?xml|<(!DOCTYPE HTML|HTML|HEAD|SCRIPT|IFRAME|H1|DIV|FONT|TABLE|A|STYLE|TITLE|B|BODY|BR|P)[ >])"
 # Bytes of known formats, by place. "other" are formats without a preview.
 MAGIC = [
     ("image", {0: "89504E470D0A1A0A"}), ("image", {0: "FFD8FF"}), ("image", {0: "47494638"}), ("image", {0: "424D"}), ("image", {0: "52494646", 8: "57454250"}), ("image", {0: "49492A00"}), ("image", {0: "4D4D002A"}), ("image", {0: "00000100"}),
@@ -16,6 +19,7 @@ MAGIC = [
     ("video", {0: "1A45DFA3"}), ("video", {4: "66747970"}), ("video", {0: "52494646", 8: "41564920"}), ("video", {0: "464C5601"}), ("video", {0: "000001BA"}), ("video", {0: "000001B3"}), ("video", {0: "3026B2758E66CF11"}),
     ("pdf", {0: "25504446"}),
     ("other", {0: "504B0304"}), ("other", {0: "1F8B08"}), ("other", {0: "377ABCAF271C"}), ("other", {0: "526172211A07"}), ("other", {0: "FD377A585A00"}), ("other", {0: "425A68"}), ("other", {0: "28B52FFD"}), ("other", {0: "7F454C46"}), ("other", {0: "494433"}), ("other", {0: "4F676753"}), ("other", {0: "664C6143"}),
+    ("other", {0: "52494646", 8: "57415645"}), ("other", {0: "4D546864"}), ("other", {0: "464F524D", 8: "41494646"}), ("other", {0: "2321414D520A"}), ("other", {0: "FFFB"}), ("other", {0: "FFF1"}), ("other", {0: "FFF9"}), ("other", {0: "2321"}),
 ]
 
 
@@ -49,15 +53,17 @@ def preview_backlog(cat: dict, previews: DataFrame) -> DataFrame:
 
 def classify(df: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
     """df with ``kind``: by first bytes, else by extension, else text if it looks like it. A
-    format that is known and has no preview is null, whatever its extension."""
+    format that is known and has no preview (archives, sound, scripts with an interpreter line,
+    documents in XML or HTML) is null, whatever its extension; so is a null content."""
     raw, out = F.col(content), F.lit(None).cast("string")
     for kind, marks in reversed(MAGIC):
         hit = F.lit(True)
         for at, magic in marks.items():
             hit = hit & (F.substr(raw, F.lit(at + 1), F.lit(len(magic) // 2)) == F.lit(bytes.fromhex(magic)))
         out = F.when(hit, kind).otherwise(out)
-    known = df.withColumn("kind", out)
-    return known.withColumn("kind", F.when(F.col("kind").isNotNull(), F.nullif(F.col("kind"), F.lit("other"))).otherwise(F.coalesce(kind_by_extension(path), F.when(looks_like_text(content), "text"))))
+    markup = F.regexp_like(F.decode(F.substr(raw, F.lit(1), F.lit(HEAD)), "iso-8859-1"), F.lit(MARKUP))
+    known = df.withColumn("kind", F.coalesce(out, F.when(markup, "other")))
+    return known.withColumn("kind", F.when(raw.isNull(), F.lit(None)).when(F.col("kind").isNotNull(), F.nullif(F.col("kind"), F.lit("other"))).otherwise(F.coalesce(kind_by_extension(path), F.when(looks_like_text(content), "text"))))
 
 
 def text_previews(df: DataFrame) -> DataFrame:

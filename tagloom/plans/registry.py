@@ -77,7 +77,7 @@ def _(cat, spark):
     return A.read_changes(c)[0].select("seq", "op", "id", "modified_at")
 
 
-@query("a5_export_results")
+@query("a5_export_results", f"WITH {LV}, {SHORT} SELECT 'file' AS kind, to_json(x)::VARCHAR AS json FROM (SELECT f.id, logical_path, logical_path_modified_at, deleted, deleted_at, restored_at, created_at, observed_at AS modified_at, content_hash, version_number, size, short_len FROM files f JOIN lv ON lv.file_id = f.id JOIN sh ON sh.id = f.id WHERE NOT deleted) x UNION ALL SELECT 'tag', to_json(t)::VARCHAR FROM (SELECT id, name, color, modified_at, deleted FROM tags WHERE NOT deleted) t")
 def _(cat, spark):
     return A.export_results(C.list_files(cat, short=True), C.list_tags(cat))
 
@@ -112,10 +112,10 @@ WINDOW = "substring(text, 1, list_max(list_filter(range(0, {0} + 1), lambda i: s
 IS_TEXT = f"(text = '' OR (NOT contains({WINDOW.format(1024)}, chr(0)) AND (length({WINDOW.format(1024)}) - length(regexp_replace({WINDOW.format(1024)}, '{CONTROL}', '', 'g'))) * 20 < length({WINDOW.format(1024)})))"
 
 
-@query("b10_b11_text_heads", f"SELECT doc_id, regexp_replace({WINDOW.format(256)}, '{CONTROL}', '', 'g') AS head, {IS_TEXT} AS is_text FROM documents WHERE text IS NOT NULL")
+@query("b10_b11_text_heads", f"SELECT doc_id, regexp_replace({WINDOW.format(256)}, '{CONTROL}', '', 'g') AS head, coalesce({IS_TEXT}, false) AS is_text FROM documents")
 def _(cat, spark):
     raw = F.encode(F.col("text"), "utf-8")
-    return spark.table("documents").where("text is not null").select("doc_id", S.text_snippet(raw).alias("head"), S.looks_like_text(raw).alias("is_text"))
+    return spark.table("documents").select("doc_id", S.text_snippet(raw).alias("head"), S.looks_like_text(raw).alias("is_text"))
 
 
 @query("b12_format_size", "SELECT file_id, version_number, CASE WHEN size < 1024 THEN concat(size::VARCHAR, ' B') WHEN size < 1048576 THEN printf('%.1f KiB', floor(size / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.1f MiB', floor(size / 1048576.0 * 10 + 0.5) / 10) END AS s FROM versions")
@@ -147,10 +147,10 @@ def _(cat, spark):
     return C.version_history(cat["versions"]).select("file_id", F.array_join(F.transform("history", lambda v: F.concat_ws(":", v.version_number.cast("string"), v.content_hash, v["size"].cast("string"))), ",").alias("h"))
 
 
-@query("c4_record_versions", "SELECT file_id, max(version_number) AS top, count(*) AS n FROM (SELECT file_id, version_number FROM versions UNION ALL SELECT file_id, version_number + (SELECT max(version_number) FROM versions w WHERE w.file_id = v.file_id) FROM versions v WHERE version_number <= 2) GROUP BY 1")
+@query("c4_record_versions", "SELECT file_id, version_number, content_hash, observed_at, origin, size FROM versions UNION ALL SELECT file_id, version_number + max(version_number) OVER (PARTITION BY file_id), content_hash, observed_at, origin, size FROM versions QUALIFY version_number <= 2")
 def _(cat, spark):
     new = cat["versions"].where("version_number <= 2").withColumnRenamed("version_number", "arrival")
-    return C.record_versions(cat["versions"], new).groupBy("file_id").agg(F.max("version_number").alias("top"), F.count("*").alias("n"))
+    return C.record_versions(cat["versions"], new).select("file_id", "version_number", "content_hash", "observed_at", "origin", "size")
 
 
 @query("c5_reverts", "SELECT file_id, version_number, content_hash FROM (SELECT *, lag(content_hash) OVER (PARTITION BY file_id ORDER BY version_number) AS p, min(version_number) OVER (PARTITION BY file_id, content_hash) AS f FROM versions) WHERE f < version_number AND p <> content_hash")
@@ -431,7 +431,14 @@ def _(cat, spark):
     return G.resolve_tombstones(c.select(F.col("id").alias("file_id"), at("rename", "recolor").alias("observed_at"), at("remove").alias("deleted_at"), at("add").alias("restored_at")))
 
 
-@query("g7_replay_tombstones")
+# The changes of each file one after the other, as a recursion over their numbers.
+FOLDED = """o AS (SELECT id, modified_at AS "at", CASE op WHEN 'remove' THEN 'delete' WHEN 'add' THEN 'restore' ELSE 'edit' END AS op, row_number() OVER (PARTITION BY id ORDER BY seq) AS i FROM tag_changes),
+st AS (SELECT DISTINCT id, 0::BIGINT AS i, false AS dead, 0::BIGINT AS edited, 0::BIGINT AS killed, 0::BIGINT AS raised FROM o
+ UNION ALL SELECT id, i, kills OR (dead AND NOT ((op = 'edit' AND "at" > killed) OR (op = 'restore' AND greatest(up, edited) > killed))), CASE WHEN op = 'edit' THEN "at" ELSE edited END, CASE WHEN kills THEN "at" ELSE killed END, up
+ FROM (SELECT st.id, o.i, o.op, o."at", st.dead, st.edited, st.killed, o.op = 'delete' AND NOT st.dead AND o."at" > greatest(st.edited, st.raised) AS kills, CASE WHEN o.op = 'restore' THEN greatest(o."at", st.raised) ELSE st.raised END AS up FROM st JOIN o ON o.id = st.id AND o.i = st.i + 1) x)"""
+
+
+@query("g7_replay_tombstones", f"RECURSIVE {FOLDED} SELECT id AS file_id, arg_max(dead, i) AS deleted, arg_max(edited, i) AS observed_at, arg_max(killed, i) AS deleted_at, arg_max(raised, i) AS restored_at FROM st GROUP BY 1")
 def _(cat, spark):
     c = cat["tag_changes"].select("seq", F.col("id").alias("file_id"), F.when(F.col("op") == "remove", "delete").when(F.col("op") == "add", "restore").otherwise("edit").alias("op"), F.col("modified_at").alias("at"))
     return G.replay_tombstones(c)
@@ -556,9 +563,9 @@ def _(cat, spark):
     return H.plan_moves(*_manifests(cat))
 
 
-@query("h8_plan_file_sync", f"WITH {PLAN} SELECT action, count(*) AS n FROM (SELECT 'delete' AS action FROM p WHERE kill UNION ALL SELECT 'restore' FROM p WHERE up UNION ALL SELECT 'move' FROM p WHERE NOT td AND NOT up AND known AND moved UNION ALL SELECT CASE WHEN decision = 'unknown' THEN 'pull_create' ELSE 'pull_change' END FROM p WHERE NOT td AND NOT up AND decision IN ('unknown', 'we_behind', 'divergent_theirs')) GROUP BY 1")
+@query("h8_plan_file_sync", f"WITH {PLAN}, r AS (SELECT file_id, 'delete' AS action, NULL AS content_hash, NULL AS size, NULL AS path FROM p WHERE kill UNION ALL SELECT file_id, 'restore', content_hash, size, NULL FROM p WHERE up UNION ALL SELECT file_id, 'move', NULL, NULL, logical_path FROM p WHERE NOT td AND NOT up AND known AND moved UNION ALL SELECT file_id, CASE WHEN decision = 'unknown' THEN 'pull_create' ELSE 'pull_change' END, content_hash, size, NULL FROM p WHERE NOT td AND NOT up AND decision IN ('unknown', 'we_behind', 'divergent_theirs')) SELECT file_id, action, content_hash, coalesce(size, -1)::BIGINT AS size, path FROM r")
 def _(cat, spark):
-    return H.plan_file_sync(*_manifests(cat)).groupBy("action").agg(F.count("*").alias("n"))
+    return H.plan_file_sync(*_manifests(cat)).select("file_id", "action", "content_hash", F.coalesce("size", F.lit(-1)).cast("long").alias("size"), "path")
 
 
 def _fleet(cat):
@@ -629,17 +636,20 @@ def _(cat, spark):
 
 MATCH = [r"regexp_matches(logical_path, '\.md$')", "regexp_matches(logical_path, '^photos/')", None, r"regexp_matches(logical_path, '(^work/|\.tmp$)')", "regexp_matches(logical_path, '^nothing')"]
 RT = "rt AS (" + " UNION ".join(f"SELECT id AS file_id, '{t}' AS tag_id FROM files WHERE NOT deleted AND {m}" for (_, _, tags), m in zip(RULES, MATCH) if m for t in tags) + ")"
+# The tags that rules give each file, at their first place in the order of declaration.
+GIVEN = " UNION ALL ".join(f"SELECT id AS file_id, '{t}' AS tag_id, {100 * o + k} AS pos FROM files WHERE {m}" for (o, _, tags), m in zip(RULES, MATCH) if m for k, t in enumerate(tags))
+RULED = f"ru AS (SELECT file_id, tag_id, min(pos) AS pos FROM ({GIVEN}) GROUP BY 1, 2)"
 
 
-@query("i1_apply_rules", f"WITH {RT} SELECT file_id, count(*) AS n FROM rt GROUP BY 1")
+@query("i1_apply_rules", f"WITH {RULED} SELECT file_id, string_agg(tag_id, ',' ORDER BY pos) AS tags FROM ru JOIN files ON id = file_id WHERE NOT deleted GROUP BY 1")
 def _(cat, spark):
-    return I.apply_rules(C.alive(cat["files"]), RULES).where("size(tags) > 0").select(F.col("id").alias("file_id"), F.size("tags").cast("long").alias("n"))
+    return I.apply_rules(C.alive(cat["files"]), RULES).where("size(tags) > 0").select(F.col("id").alias("file_id"), F.array_join("tags", ",").alias("tags"))
 
 
-@query("i2_tag_new_files", f"WITH {RT} SELECT id AS file_id, (SELECT count(*) FROM rt WHERE rt.file_id = files.id AND id < '8') + 1 AS n FROM files WHERE NOT deleted")
+@query("i2_tag_new_files", f"WITH {RULED} SELECT id AS file_id, concat_ws(',', 'own', string_agg(tag_id, ',' ORDER BY pos)) AS tags FROM files LEFT JOIN ru ON file_id = id AND id < '8' WHERE NOT deleted GROUP BY 1")
 def _(cat, spark):
     new = C.alive(cat["files"]).select(F.col("id").alias("file_id"), F.when(F.col("id") < "8", "local").otherwise("peer1").alias("origin"), F.col("logical_path").alias("path"), F.array(F.lit("own")).alias("tags"))
-    return I.tag_new_files(new, RULES).select("file_id", F.size("tags").cast("long").alias("n"))
+    return I.tag_new_files(new, RULES).select("file_id", F.array_join("tags", ",").alias("tags"))
 
 
 @query("i3_retag_plan", f"WITH {RT}, {FT} SELECT * FROM rt EXCEPT SELECT * FROM ft")
@@ -652,7 +662,11 @@ def _(cat, spark):
     return I.retag_summary(cat, RULES)
 
 
-@query("i5_rule_report", f"SELECT * FROM (VALUES (0, true, ''), (1, true, '{md5('zz')}'), (2, false, ''), (3, true, ''), (4, true, '')) x(ordinal, active, unknown) WHERE (SELECT count(*) FROM tags) > 0")
+# Whether a pattern is valid is the one thing that SQL is told.
+RULE_TAGS = "x AS (SELECT * FROM (VALUES " + ", ".join(f"({o}, {str(p != '*.md').lower()}, '{t}')" for o, p, tags in RULES for t in tags) + ") v(ordinal, active, tag_id))"
+
+
+@query("i5_rule_report", f"WITH {RULE_TAGS} SELECT ordinal, active, coalesce(string_agg(DISTINCT tag_id, ',' ORDER BY tag_id) FILTER (tag_id NOT IN (SELECT id FROM tags)), '') AS unknown FROM x GROUP BY 1, 2")
 def _(cat, spark):
     return I.rule_report(RULES, cat["tags"]).select("ordinal", "active", F.array_join("unknown_tags", ",").alias("unknown"))
 
@@ -681,7 +695,7 @@ def _(cat, spark):
     return J.wanted(C.alive(cat["files"]), E.tags_of_files(cat), _dirs(spark))
 
 
-@query("j2_effective_tags")
+@query("j2_effective_tags", f"WITH {RULED}, {FT}, al AS (SELECT * FROM ru UNION ALL SELECT file_id, tag_id, 1000 FROM ft), f AS (SELECT file_id, tag_id, min(pos) AS pos FROM al GROUP BY 1, 2), n AS (SELECT id AS file_id FROM files UNION SELECT file_id FROM ft) SELECT n.file_id, coalesce(string_agg(tag_id, ',' ORDER BY pos, tag_id), '') AS tags FROM n LEFT JOIN f USING (file_id) GROUP BY 1")
 def _(cat, spark):
     stored = E.tags_of_files(cat).groupBy("file_id").agg(F.array_sort(F.collect_list("tag_id")).alias("tags"))
     carried = I.apply_rules(cat["files"], RULES).select(F.col("id").alias("file_id"), "tags")
@@ -770,9 +784,9 @@ def _(cat, spark):
     return J.directory_drift(_listing(cat), cat["placements"], cat["versions"]).select("device", "directory", "physical_path", "drift")
 
 
-@query("j12_drift_changes", f"WITH {DV}, dd AS ({DRIFT}) SELECT device, directory, physical_path AS path, CASE drift WHEN 'added' THEN 'create' WHEN 'changed' THEN 'modify' ELSE 'remove' END AS op, CASE WHEN drift = 'added' AND kind <> 'universal' THEN len(tags) ELSE 0 END::INT AS n_tags FROM dd JOIN dr USING (device, directory) WHERE drift <> 'unchanged'")
+@query("j12_drift_changes", f"WITH {DV}, dd AS ({DRIFT}) SELECT device, directory, physical_path AS path, CASE drift WHEN 'added' THEN 'create' WHEN 'changed' THEN 'modify' ELSE 'remove' END AS op, CASE WHEN drift = 'added' AND kind <> 'universal' THEN array_to_string(tags, ',') ELSE '' END AS tags FROM dd JOIN dr USING (device, directory) WHERE drift <> 'unchanged'")
 def _(cat, spark):
-    return J.drift_changes(J.directory_drift(_listing(cat), cat["placements"], cat["versions"]), _dirs(spark)).select("device", "directory", "path", "op", F.size("tags").alias("n_tags"))
+    return J.drift_changes(J.directory_drift(_listing(cat), cat["placements"], cat["versions"]), _dirs(spark)).select("device", "directory", "path", "op", F.array_join("tags", ",").alias("tags"))
 
 
 @query("j13_rename_tree", "SELECT device, directory, file_id, physical_path, concat('new/e', substring(physical_path, 3)) AS new_path FROM placements WHERE physical_path LIKE 'd7/%'")
@@ -824,18 +838,25 @@ def _(cat, spark):
     return K.preview_backlog(cat, _previews(cat))
 
 
+HEADS = {0: "89504E470D0A1A0A", 1: "0000FF", 3: "23212F62696E2F73680A", 4: "5249464630303030574156456674", 5: "203C3F786D6C20", 6: "0A3C48746D6C3E"}
+
+
 def _contents(spark):
-    d = spark.table("documents").where("text is not null")
-    head = F.when(F.col("doc_id") % 10 == 0, F.unhex(F.lit("89504E470D0A1A0A"))).when(F.col("doc_id") % 10 == 1, F.unhex(F.lit("0000FF"))).otherwise(F.lit(b""))
-    return d.select(F.md5(F.col("doc_id").cast("string")).alias("file_id"), F.md5("text").alias("content_hash"), F.concat(F.lit("a/b"), F.when(F.col("doc_id") % 10 == 2, F.lit(".mp4")).otherwise(F.lit(""))).alias("path"), F.concat(head, F.encode("text", "utf-8")).alias("content"), "doc_id", "text")
+    d, head = spark.table("documents"), F.lit(b"")
+    for k, marks in HEADS.items():
+        head = F.when(F.col("doc_id") % 10 == k, F.unhex(F.lit(marks))).otherwise(head)
+    return d.select(F.md5(F.col("doc_id").cast("string")).alias("file_id"), F.md5("text").alias("content_hash"), F.concat(F.lit("a/b"), F.when(F.col("doc_id") % 10 == 2, F.lit(".mp4")).when(F.col("doc_id") % 10 == 3, F.lit(".txt")).otherwise(F.lit(""))).alias("path"), F.concat(head, F.encode("text", "utf-8")).alias("content"), "doc_id", "text")
+
+
+KINDS = f"CASE WHEN text IS NULL THEN NULL WHEN doc_id % 10 = 0 THEN 'image' WHEN doc_id % 10 = 2 THEN 'video' WHEN doc_id % 10 IN (1, 3, 4, 5, 6) THEN NULL WHEN {IS_TEXT} THEN 'text' END"
 
 
-@query("k5_classify", f"SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'image' WHEN 1 THEN NULL WHEN 2 THEN 'video' ELSE CASE WHEN {IS_TEXT} THEN 'text' END END AS kind FROM documents WHERE text IS NOT NULL")
+@query("k5_classify", f"SELECT doc_id, {KINDS} AS kind FROM documents")
 def _(cat, spark):
     return K.classify(_contents(spark)).select("doc_id", "kind")
 
 
-@query("k6_text_previews")
+@query("k6_text_previews", f"SELECT md5(doc_id::VARCHAR) AS file_id, md5(text) AS content_hash, CASE WHEN kind = 'text' THEN 'text' END AS kind, CASE WHEN kind = 'text' THEN head END AS data FROM (SELECT doc_id, text, {KINDS} AS kind, regexp_replace({WINDOW.format(256)}, '{CONTROL}', '', 'g') AS head FROM documents)")
 def _(cat, spark):
     return K.text_previews(_contents(spark))
 
@@ -891,9 +912,10 @@ def _(cat, spark):
     return L.verify_chunks(parts).select("file_id", "state")
 
 
-@query("l5_receive_outcomes", f"WITH {CL}, m AS (SELECT file_id, content_hash, count(*) FILTER ((\"offset\" // 65536) % 3 = 2) AS missing FROM cp GROUP BY 1, 2) SELECT file_id, content_hash, CASE WHEN missing = 0 THEN CASE WHEN file_id < '4' THEN 'hash_mismatch' ELSE 'complete' END WHEN file_id LIKE 'e%' THEN 'unavailable' ELSE 'stalled' END AS outcome FROM m")
+@query("l5_receive_outcomes", f"WITH {CL}, g AS (SELECT *, \"at\" * CASE WHEN file_id LIKE 'a%' THEN 1000 ELSE 1 END AS w FROM cl), d AS (SELECT *, w - lag(w) OVER (PARTITION BY file_id, content_hash ORDER BY w) AS gap FROM g), q AS (SELECT file_id, content_hash, max(gap) AS gap, max(w) AS last, count(DISTINCT \"offset\") AS n FROM d GROUP BY 1, 2), m AS (SELECT file_id, content_hash, count(DISTINCT \"offset\") AS n FROM cp GROUP BY 1, 2) SELECT file_id, content_hash, CASE WHEN q.gap > 8000 OR (q.n < m.n AND {NOW} - last > 8000 AND file_id NOT LIKE 'e%') THEN 'stalled' WHEN q.n = m.n AND file_id < '4' THEN 'hash_mismatch' WHEN q.n = m.n THEN 'complete' WHEN file_id LIKE 'e%' THEN 'unavailable' ELSE 'running' END AS outcome FROM q JOIN m USING (file_id, content_hash)")
 def _(cat, spark):
-    got = L.clean_chunks(_chunk_log(cat), cat["versions"])
+    slow = F.when(F.col("file_id").startswith("a"), 1000).otherwise(1)
+    got = L.clean_chunks(_chunk_log(cat).withColumn("at", F.col("at") * slow), cat["versions"])
     cover = L.chunk_coverage(L.chunk_plan(cat["versions"]), got)
     keys = cat["versions"].select("file_id", "content_hash").distinct()
     verified = keys.withColumn("state", F.when(F.col("file_id") < "4", "mismatch").otherwise("ok"))
@@ -906,7 +928,14 @@ def _requests(spark):
     return spark.table("events").select((F.col("event_id") * 137).alias("at"), F.concat(F.lit("l"), (F.col("event_id") % 5).cast("string")).alias("link"), F.when(F.col("event_type") == "view", "request").when(F.col("event_type") == "click", "ask").when(F.col("event_type") == "purchase", "data").otherwise("miss").alias("msg"), F.md5(u.cast("string")).alias("file_id"), F.lit("h").alias("content_hash"), (u % 2 * L.CHUNK).alias("offset"))
 
 
-@query("l6_coalescing")
+# The requests of each key one after the other: a fetch lasts 8000 ms from its first request.
+ASKED = """r AS (SELECT md5(CAST(user_id AS VARCHAR)) AS file_id, (user_id % 2) * 65536 AS "offset", event_id * 137 AS "at", concat('l', event_id % 5) AS link, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_type = 'view'),
+st AS (SELECT file_id, "offset", i, "at" AS opened, link FROM r WHERE i = 1
+ UNION ALL SELECT r.file_id, r."offset", r.i, CASE WHEN r."at" < st.opened + 8000 THEN st.opened ELSE r."at" END, r.link FROM st JOIN r ON r.file_id = st.file_id AND r.i = st.i + 1),
+e AS (SELECT file_id, "offset", opened, count(*) AS n, count(DISTINCT link) AS links FROM st GROUP BY 1, 2, 3)"""
+
+
+@query("l6_coalescing", f"RECURSIVE {ASKED} SELECT file_id, 'h' AS content_hash, \"offset\", sum(n)::BIGINT AS requests, count(*) AS fetches, max(links)::INT AS widest FROM e GROUP BY 1, 3")
 def _(cat, spark):
     return L.coalescing(_requests(spark))
 

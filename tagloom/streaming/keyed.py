@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.chunks import KEY, TTL
+from ..operators.folds import fold_sorted
 from .stateful import fold_by_key, frame, plain, with_state
 
 FILE_STATE = "born boolean, path string, path_at long, version long, hash string, observed_at long, deleted boolean, deleted_at long, restored_at long"
@@ -131,16 +132,21 @@ def request_outcomes(log: DataFrame, now: int | None = None, ttl: int = TTL) ->
     The first request opens, later ones within the time to live join without extending it.
     Data closes it for all; a miss or a dropped link takes an upstream away, and it is missed
     when none is left; it is abandoned when nobody waits any more, expired after its time.
-    Replies to no open request are ignored, as are other messages and rows without a time."""
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        entry, closed = _correlate(None, plain([group], ["at", "msg", "link"]), ttl)
+    Replies to no open request are ignored, as are other messages and rows without a time.
+    The messages of a key pass in order; only its open request is kept."""
+
+    def run(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        entry = None
+        for row in rows:
+            entry, closed = _correlate(entry, [row[:3]], ttl)
+            yield from ((*key, *c) for c in closed)
         if entry and now is not None and entry[0] + ttl <= now:
-            closed.append(_expired(entry, ttl))
-        return _answers(key, closed)
+            yield (*key, *_expired(entry, ttl))
 
-    known = _messages(log)
-    return (known if now is None else known.where(F.col("at") <= now)).groupBy(*REQUEST_KEY).applyInPandas(run, REQUEST_OUT)
+    known = _messages(log).withColumn("at", F.col("at").cast("long"))
+    rank = F.coalesce(*[F.when(F.col("msg") == m, F.lit(k)) for m, k in RANK.items()])
+    known = (known if now is None else known.where(F.col("at") <= now)).select(*REQUEST_KEY, "at", "msg", "link", rank.alias("rank"))
+    return fold_sorted(known, REQUEST_KEY, ["at", "rank", "link"], run, REQUEST_OUT)
 
 
 class _Requests(StatefulProcessor):

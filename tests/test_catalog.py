@@ -13,7 +13,7 @@ from tagloom.sources import catalog
 from tagloom.streaming import jobs
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["b10_b11_text_heads", "b12_format_size", "c11_audit_deleted_flag", "k5_classify", "l4_verify_chunks", "c1_list_files", "c5_reverts", "d1_short_ids", "d2_resolve_prefixes", "e2_subtags_transitive", "e7_tag_cycles", "f5_search_any", "f9_search_batch", "g2_replay_tags", "g4_replay_entries", "h3_content_decisions", "h8_plan_file_sync", "i6_rule_coverage", "j1_wanted", "j11_directory_drift", "k1_preview_lookup", "l3_chunk_coverage", "m7_operations_state"]
+SOME = ["b10_b11_text_heads", "b12_format_size", "c11_audit_deleted_flag", "k5_classify", "l4_verify_chunks", "c1_list_files", "c5_reverts", "d1_short_ids", "d2_resolve_prefixes", "e2_subtags_transitive", "e7_tag_cycles", "f5_search_any", "f9_search_batch", "g2_replay_tags", "g4_replay_entries", "h3_content_decisions", "h8_plan_file_sync", "i6_rule_coverage", "j1_wanted", "j11_directory_drift", "k1_preview_lookup", "l3_chunk_coverage", "m7_operations_state", "a5_export_results", "c4_record_versions", "g7_replay_tombstones", "i1_apply_rules", "i2_tag_new_files", "i5_rule_report", "j2_effective_tags", "j12_drift_changes", "k6_text_previews", "l5_receive_outcomes", "l6_coalescing", "l7_miss_exhaustion"]
 
 
 def rows(df):
@@ -152,7 +152,7 @@ def test_tokens(query, want):
 
 def test_kinds_of_content(spark):
     cases = [
-        (b"RIFF0000WEBPVP8 ", "x", "image"), (b"RIFF0000AVI LIST", "x", "video"), (b"RIFF0000WAVEfmt ", "x.txt", "text"), (b"\0\0\0\x18ftypmp42", "x", "video"), (b"\0\0\0\x18ftypheic", "x", "image"), (b"II*\0abc", "x", "image"),
+        (b"RIFF0000WEBPVP8 ", "x", "image"), (b"RIFF0000AVI LIST", "x", "video"), (b"RIFF0000WAVEfmt ", "x.txt", None), (b"#!/bin/sh\necho", "x.sh", None), (b" <?xml version", "x.xml", None), (b"\n<Html lang=en>", "x.html", None), (b"<p", "x.html", "text"), (b"<article>", "x", "text"), (b"<b>x", "x.md", None), (b"\0\0\0\x18ftypmp42", "x", "video"), (b"\0\0\0\x18ftypheic", "x", "image"), (b"II*\0abc", "x", "image"),
         (b"PK\3\4abc", "x.md", None), (b"\x1f\x8b\x08aa", "x.csv", None), (b"%PDF-1.7", "x", "pdf"), (b"hello", "a.tsv", "text"), (b"\0\0", "a.wmv", "video"), (b"plain text \xff more plain text", "x", "text"), (b"\xff\xfe", "x", None), (b"a\0b", "x", None), (b"", "x", "text"), (b"\1\2\3ab", "x", None),
     ]
     df = spark.createDataFrame([(k, bytearray(c), p) for k, (c, p, _) in enumerate(cases)], "k int, content binary, path string")
