@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,8 @@ def shuffles_given_up(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-_scratch: list[list[str]] = []  # paths written within each open scratch block
+#: Paths written within each open scratch block, from outer to inner; threads do not share it.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -51,8 +53,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     write once it has ended, so they are given up then."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scratch:
-        _scratch[-1].append(path)
+    if open_ := _scratch.get():
+        open_[-1].append(path)
     with shuffles_given_up(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -65,26 +67,33 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def discard(spark: SparkSession, *names: str) -> None:
     """Delete tables of these names that the innermost scratch block has staged so far."""
-    for path in [p for p in _scratch[-1] if p.rpartition("/")[2].rpartition("-")[0] in names]:
-        _scratch[-1].remove(path)
+    mine = _scratch.get()[-1]
+    for path in [p for p in mine if p.rpartition("/")[2].rpartition("-")[0] in names]:
+        mine.remove(path)
         delete(spark, path)
 
 
 @contextmanager
 def scratch(spark: SparkSession):
     """Tables staged within this block are deleted at its end. It gives a function that
-    stages a result outside of the block's account, so that it stays."""
-    _scratch.append([])
+    stages a result, which stays until the block around this one ends, if there is one.
+    Blocks of several threads do not see each other."""
+    outer, mine = _scratch.get(), []
+    _scratch.set((*outer, mine))
 
     def keep(df: DataFrame, name: str) -> DataFrame:
-        out = stage(df, name)
-        _scratch[-1].pop()
-        return out
+        inner = _scratch.get()
+        _scratch.set(outer)
+        try:
+            return stage(df, name)
+        finally:
+            _scratch.set(inner)
 
     try:
         yield keep
     finally:
-        for path in _scratch.pop():
+        _scratch.set(outer)
+        for path in mine:
             delete(spark, path)
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch, stage, table
 
 CAPACITY, SHARD_ROWS = 2048, 2048
 TOKEN = r"[^\x20\x09-\x0D]+"
@@ -58,10 +58,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     A text of more tokens than a bin holds is cut into full pieces and a rest. An empty or
     null text gives one row without a bin. A null source or cluster conflicts with
     nothing. The cluster is the hash of the text unless a column is named. Repeated rows
-    are copies of one cluster and go to different bins. Other columns are not read."""
+    are copies of one cluster, are dealt to all shards and go to different bins. Other
+    columns are not read; an empty table gives an empty result."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_pack(docs, capacity, shard_rows, cluster), "packed")
+
+
+def _pack(docs: DataFrame, capacity: int, shard_rows: int, cluster: str | None) -> DataFrame:
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long").alias("n"), (F.col(cluster).cast("string") if cluster else F.md5(F.col("text").cast("binary"))).alias("cluster"))
-    shards = 1 + docs.count() // shard_rows
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("long"))
+    # written once, so that the salt of a row stays what it is; repeated rows get salts of their own
+    rows = stage(rows.withColumn("salt", F.rand(1)), "packing-rows")
+    shards = 1 + rows.count() // shard_rows
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "salt"), F.lit(shards)).cast("long")).drop("salt")
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["n", "doc_id"], ascending=[False, True], kind="stable")
