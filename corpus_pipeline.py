@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm.common import stage, table
+from tagloom.llm.common import scratch, stage, table
 from tagloom.llm.decontamination import without_benchmark
 from tagloom.llm.exact_dedup import without_copies
 from tagloom.llm.minhash import without_near_copies
@@ -50,7 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, f in STAGES[:-1]:
-        docs = stage(f(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The rows of the last stage. Each stage is written and read again; all but the result
+    is deleted at the end. Rows without text or id, repeated rows and an empty table pass
+    all stages (each stage says in its operator what they give); other columns of documents
+    are carried along to the last stage."""
+    with scratch(spark) as keep:
+        docs = table(spark, sf_dir, "documents")
+        for name, f in STAGES[:-1]:
+            docs = stage(f(spark, docs, sf_dir), f"pipeline-{name}")
+        name, f = STAGES[-1]
+        return keep(f(spark, docs, sf_dir), f"pipeline-{name}")
