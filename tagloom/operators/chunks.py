@@ -22,19 +22,35 @@ def chunk_plan(versions: DataFrame) -> DataFrame:
     return v.select(*KEY, "size", at.alias("offset")).select(*KEY, "offset", F.least(F.col("size") - F.col("offset"), F.lit(CHUNK)).alias("length"))
 
 
+def _beside(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of both tables, told apart by ``is_row``; a column that one lacks is null there.
+    Rows without a key are left out, as in a join.
+
+    Tables meet by unions and aggregations within a key, not by joins: input that lies by
+    file_id already is not shuffled again, and any other input once, by its key."""
+    some = lambda df, flag: df.where("file_id is not null and content_hash is not null").withColumn("is_row", F.lit(flag))
+    return some(rows, True).unionByName(some(known, False), allowMissingColumns=True)
+
+
 def clean_chunks(log: DataFrame, versions: DataFrame) -> DataFrame:
     """First data reply per receiver, key and offset (link, at, ...), without misaligned or
     past-end offsets."""
-    sizes = versions.select(*KEY, "size").distinct()
-    ok = log.where("msg = 'data'").join(sizes, KEY).where(f"offset % {CHUNK} = 0 and offset >= 0 and (offset < size or (size = 0 and offset = 0))")
+    data = log.where(f"msg = 'data' and offset % {CHUNK} = 0 and offset >= 0").select("receiver", *KEY, "offset", "at", "length")
+    largest = F.max("size").over(Window.partitionBy(*KEY))
+    both = _beside(data, versions.select(*KEY, F.col("size").cast("long").alias("size"))).withColumn("size", largest)
+    ok = both.where("is_row and size >= 0 and offset < greatest(size, 1)")
     return ok.groupBy("receiver", *KEY, "offset").agg(F.min("at").alias("at"), F.min_by("length", F.struct("at", "length")).alias("length"))
 
 
 def chunk_coverage(plan: DataFrame, got: DataFrame) -> DataFrame:
     """Per receiver and key: bytes from the start without a gap, missing chunks, complete."""
-    who = got.select("receiver", *KEY).distinct()
-    j = who.join(plan, KEY).join(got.select("receiver", *KEY, "offset", F.lit(True).alias("have")), ["receiver", *KEY, "offset"], "left")
-    g = j.groupBy("receiver", *KEY).agg(F.min(F.when(F.col("have").isNull(), F.col("offset"))).alias("gap"), F.sum("length").alias("size"), F.count_if(F.col("have").isNull()).alias("missing"))
+    both = _beside(got.select("receiver", *KEY, "offset"), plan.select(*KEY, "offset", "length"))
+    # receivers as structs, as a collected null would vanish
+    receiver = F.when(F.col("is_row"), F.struct("receiver"))
+    both = both.withColumn("who", F.collect_set(receiver).over(Window.partitionBy(*KEY)))
+    offsets = both.groupBy(*KEY, "offset").agg(F.sum("length").alias("length"), F.count_if(~F.col("is_row")).alias("n"), F.collect_set("receiver").alias("have"), F.any_value("who").alias("who")).where("n > 0")
+    each = offsets.select("*", F.explode("who").alias("w")).select(F.col("w.receiver").alias("receiver"), *KEY, "offset", "length", "n", F.coalesce(F.array_contains("have", F.col("w.receiver")), F.lit(False)).alias("has"))
+    g = each.groupBy("receiver", *KEY).agg(F.min(F.when(~F.col("has"), F.col("offset"))).alias("gap"), F.sum("length").alias("size"), F.sum(F.when(F.col("has"), 0).otherwise(F.col("n"))).alias("missing"))
     return g.select("receiver", *KEY, F.coalesce("gap", "size").alias("contiguous"), "missing", (F.col("missing") == 0).alias("complete"))
 
 
@@ -67,9 +83,12 @@ def receive_outcomes(coverage: DataFrame, got: DataFrame, verified: DataFrame, m
     """Per receiver and key: complete, hash_mismatch, unavailable, stalled (no write for the
     time a receiver waits) or running."""
     w = Window.partitionBy("receiver", *KEY).orderBy("at")
-    quiet = got.withColumn("gap", F.col("at") - F.lag("at").over(w)).groupBy("receiver", *KEY).agg(F.max("gap").alias("gap"), F.max("at").alias("last"))
+    quiet = got.withColumn("gap", F.col("at") - F.lag("at").over(w)).groupBy("receiver", *KEY).agg(F.max("gap").alias("gap"), F.max("at").alias("last"), F.lit(True).alias("timed"))
     lost = misses.select("receiver", *KEY).distinct().withColumn("lost", F.lit(True))
-    j = coverage.join(quiet, ["receiver", *KEY]).join(verified, KEY, "left").join(lost, ["receiver", *KEY], "left")
+    parts = coverage.select("receiver", *KEY, "complete").unionByName(quiet, allowMissingColumns=True).unionByName(lost, allowMissingColumns=True)
+    one = parts.where("receiver is not null").groupBy("receiver", *KEY).agg(*[F.max(c).alias(c) for c in ("complete", "gap", "last", "timed", "lost")])
+    state = F.min("state").over(Window.partitionBy(*KEY))
+    j = _beside(one.where("complete is not null and timed"), verified.select(*KEY, "state")).withColumn("state", state).where("is_row")
     out = F.when((F.col("gap") > TTL) | (~F.col("complete") & (F.lit(now) - F.col("last") > TTL) & F.col("lost").isNull()), "stalled").when(F.col("complete") & (F.col("state") == "mismatch"), "hash_mismatch").when(F.col("complete"), "complete").when(F.col("lost"), "unavailable").otherwise("running")
     return j.select("receiver", *KEY, out.alias("outcome"))
 
