@@ -4,7 +4,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shortid import short_ids
@@ -29,8 +29,9 @@ def list_files(cat: dict, deleted: str = "exclude", short: bool = False) -> Data
     return listed.join(short_ids(cat["files"], "id"), "id") if short else listed
 
 
-def version_history(versions: DataFrame) -> DataFrame:
-    return versions.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("version_number", "content_hash", "size"))).alias("history"))
+def version_history(versions: DataFrame, *more: Column) -> DataFrame:
+    """(file_id, history) with the versions in order; ``more`` are further aggregates."""
+    return versions.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("version_number", "content_hash", "size"))).alias("history"), *more)
 
 
 def record_versions(versions: DataFrame, new: DataFrame) -> DataFrame:

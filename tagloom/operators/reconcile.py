@@ -14,9 +14,10 @@ from .reads import version_history
 
 
 def file_manifest(files: DataFrame, versions: DataFrame) -> DataFrame:
-    """Every file with a version, tombstones too, with its history in order."""
-    last = versions.groupBy("file_id").agg(F.max_by("observed_at", "version_number").alias("latest_observed_at"), F.max_by("content_hash", "version_number").alias("latest_hash"), F.max_by("size", "version_number").alias("latest_size"))
-    return files.withColumnRenamed("id", "file_id").join(version_history(versions), "file_id").join(last, "file_id")
+    """Every file with a version, tombstones too, with its history in order. One aggregation
+    gives both the history and the latest version."""
+    latest = [F.max_by(c, "version_number").alias(name) for c, name in (("observed_at", "latest_observed_at"), ("content_hash", "latest_hash"), ("size", "latest_size"))]
+    return files.withColumnRenamed("id", "file_id").join(version_history(versions, *latest), "file_id")
 
 
 def unlisted_files(files: DataFrame, versions: DataFrame) -> DataFrame:
