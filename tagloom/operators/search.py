@@ -219,7 +219,8 @@ def search_log_report(tokens: DataFrame, cat: dict) -> DataFrame:
     token meets the names and ids of live tags once, by the gram index."""
     flat = tokens.select(F.explode("tokens").alias("t")).select("t.*")
     words = flat.where("kind = 'tag' and not regex").select("regex", "text").distinct()
-    known = tags_named(alive(cat["tags"]), words).select("text").distinct().withColumn("known", F.lit(True))
+    with steps(tokens.sparkSession) as keep:
+        known = keep(tags_named(alive(cat["tags"]), words).select("text").distinct().withColumn("known", F.lit(True)), "known-words")
 
     def invalid(batches):
         for b in batches:

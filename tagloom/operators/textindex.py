@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import stage
+
 GRAM = 3
 
 
@@ -36,8 +38,12 @@ def containing(terms: DataFrame, texts: DataFrame) -> DataFrame:
     if not sizes:
         return everything
     index = postings(texts.select("id", "text"), sizes)
+    # written, so that Spark knows how small the tables of terms are and does not shuffle the
+    # postings of all texts to meet them; many terms are joined by shuffle
     wanted = real.select("term", F.explode(F.array_distinct(F.when(F.col("size") == 1, _grams(F.col("term"), 1)).when(F.col("size") == 2, _grams(F.col("term"), 2)).otherwise(_grams(F.col("term"), GRAM)))).alias("gram"))
-    held = index.groupBy("gram").agg(F.count("*").alias("n"))
+    wanted = stage(wanted, "wanted-grams")
+    held = index.select("gram").join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     rarest = wanted.join(held, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    rarest = stage(rarest, "rarest-grams")
     found = index.join(rarest, "gram").where(F.contains("text", "term")).select("term", "id")
     return found.unionAll(everything)

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import chunks as L
+from tagloom.operators.textindex import containing
 from tagloom.plans import fixtures, registry
+from tagloom.sources.staging import steps
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +44,12 @@ def test_clean_chunks_of_empty_and_unknown_files(spark):
     versions = spark.createDataFrame([("e", "h", 0), ("f", "h", 70000), ("n", "h", None)], "file_id string, content_hash string, size long")
     log = spark.createDataFrame([(k, "h", "r", at, o, 1, "data") for k, at, o in (("e", 1, 0), ("e", 1, 65536), ("f", 3, 65536), ("f", 2, 65536), ("f", 2, 131072), ("f", 2, 7), ("n", 1, 0), ("u", 1, 0))], "file_id string, content_hash string, receiver string, at long, offset long, length long, msg string")
     assert {(r.file_id, r.offset, r["at"]) for r in L.clean_chunks(log, versions).collect()} == {("e", 0, 1), ("f", 65536, 2)}
+
+
+def test_postings_of_texts_are_not_shuffled_for_few_terms(spark):
+    terms = spark.createDataFrame([("notes",), ("ab",), ("zz9",)], "term string")
+    texts = spark.range(500).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("abc/notes/"), F.col("id")).alias("text"))
+    with steps(spark):
+        found = containing(terms, texts)
+        assert "Exchange hashpartitioning(gram" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 1000
