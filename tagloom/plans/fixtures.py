@@ -1,6 +1,7 @@
 """Catalog tables derived from the star-schema tables. One SQL text serves Spark and the
-SQL check; {ms:col} stands for milliseconds since the epoch (session time zone UTC). Only
-versions has a plan of its own in Spark, which lays its rows out once."""
+SQL check; {ms:col} stands for milliseconds since the epoch (session time zone UTC).
+Tables made of orders or lineitem have plans of their own in Spark, which lay their rows
+out once."""
 
 from __future__ import annotations
 
@@ -46,6 +47,7 @@ TABLES = {
     "our_versions": """SELECT * FROM versions
  UNION ALL SELECT file_id, max(version_number) + 1, md5(concat('own', file_id)), max(observed_at) + 6, 'local', CAST(8 AS BIGINT) FROM versions WHERE file_id LIKE '8%' GROUP BY file_id""",
 }
+LAST = "(SELECT file_id, max_by(observed_at,version_number) AS o FROM versions GROUP BY file_id)"
 COLUMNS = {"our_versions": "file_id, version_number, content_hash, observed_at, origin, size"}
 
 
@@ -54,29 +56,63 @@ def _for(engine: str, sql: str) -> str:
     return re.sub(r"\{ms:(\w+)\}", to, sql)
 
 
+def _dealt(table: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Columns of a given table, dealt by the file id that is made of ``key``. Only they are
+    shuffled, and the ids and texts that are made of them come after it.
+
+    The number of partitions is fixed, as exploded chunks are many times what is shuffled."""
+    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table.select(key, *columns).repartition(n, _file_id(key))
+
+
+def _file_id(key: str):
+    return F.expr(f"md5(concat('f',CAST({key} AS STRING)))")
+
+
 def _versions(lineitem: DataFrame) -> DataFrame:
-    """The table versions of the SQL text, dealt by file_id with the narrow columns of the
-    given table. The numbering, aggregations and joins by file_id (or by more columns) all
-    find the rows where they need them, so the table is shuffled once in a query."""
-    order = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    """The table versions of the SQL text. The numbering, aggregations and joins by file_id
+    (or by more columns) all find the rows where they need them, so the table is shuffled
+    once in a query. Rows that are alike in the columns of ``order`` give the same version
+    apart from its number, so the price, discount and tax that the SQL text goes on to sort
+    by stay behind."""
+    order = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
     columns = re.match(r"SELECT (.*) AS file_id,.*AS version_number,(.*) AS content_hash,(.*) FROM lineitem", _for("spark", TABLES["versions"]), re.S)
-    file_id, content_hash, rest = F.expr(columns[1]), F.expr(columns[2]), columns[3].split(",\n")
+    content_hash, rest = F.expr(columns[2]), columns[3].split(",\n")
     # no name of the given table stays above the window, and none gets a qualifier: a union
     # keeps a layout that it finds under one and the same name in all its branches
-    # with a number of partitions, as exploded chunks are many times what is shuffled
-    n = int(lineitem.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = lineitem.select("l_orderkey", *order).repartition(n, file_id).select(file_id.alias("file_id"), content_hash.alias("content_hash"), *order)
+    laid = _dealt(lineitem, "l_orderkey", *order).select(_file_id("l_orderkey").alias("file_id"), content_hash.alias("content_hash"), *order)
     numbered = laid.withColumn("version_number", F.row_number().over(Window.partitionBy("file_id").orderBy(*order)))
     return numbered.selectExpr("file_id", "version_number", "content_hash", *rest)
 
 
+def _files(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """The table files of the SQL text. Versions are numbered by l_shipdate first, so the
+    latest one of a file was observed at its newest date: two columns of lineitem do."""
+    at = _for("spark", "{ms:l_shipdate} AS at")
+    seen = _dealt(lineitem, "l_orderkey", "l_shipdate").select(_file_id("l_orderkey").alias("file_id"), F.expr(at)).groupBy("file_id").agg(F.max("at").alias("o"))
+    laid = _dealt(orders, "o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+    text = _for("spark", TABLES["files"]).replace("FROM orders)", "FROM {laid})").replace(LAST, "{seen}")
+    return orders.sparkSession.sql(text, laid=laid, seen=seen)
+
+
+def _their_versions(versions: DataFrame) -> DataFrame:
+    """The table their_versions of the SQL text, in a form whose union keeps the layout."""
+    old = versions.where("not (file_id like '6%' and version_number > 1)").withColumn("observed_at", F.col("observed_at") + 1)
+    last = versions.where("file_id like '7%' or file_id like '8%'").groupBy("file_id").agg(F.max("version_number").alias("n"), F.max("observed_at").alias("at"))
+    new = last.selectExpr("file_id", "n + 1 AS version_number", "md5(concat('new', file_id)) AS content_hash", "at + 5 AS observed_at", "'peer9' AS origin", "CAST(7 AS BIGINT) AS size")
+    columns = ["file_id", "version_number", "content_hash", "observed_at", "origin", "size"]
+    return old.select(columns).unionAll(new.select(columns))
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All derived tables by name; each is lazy and prunes to the columns a query uses."""
     for name in BASE:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    lineitem, orders = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("lineitem", "orders"))
+    own = {"versions": lambda: _versions(lineitem), "files": lambda: _files(orders, lineitem), "their_versions": lambda: _their_versions(out["versions"])}
     out = {}
     for name, sql in TABLES.items():
-        out[name] = _versions(spark.read.parquet(f"{sf_dir}/lineitem.parquet")) if name == "versions" else spark.sql(_for("spark", sql))
+        out[name] = own[name]() if name in own else spark.sql(_for("spark", sql))
         out[name].createOrReplaceTempView(name)
     return out
 

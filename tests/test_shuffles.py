@@ -1,5 +1,7 @@
 """What queries shuffle: tables that lie by file_id are not shuffled again."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +55,32 @@ def test_postings_of_texts_are_not_shuffled_for_few_terms(spark):
         found = containing(terms, texts)
         assert "Exchange hashpartitioning(gram" not in found._jdf.queryExecution().executedPlan().toString()
         assert found.count() == 1000
+
+
+@pytest.mark.parametrize("name", ["h3_content_decisions", "h4_plan_pulls", "h5_plan_deletions", "h7_plan_moves", "h8_plan_file_sync"])
+def test_manifests_and_previews_meet_where_they_lie(spark, name):
+    assert _moved(spark, name) == 0
+
+
+@pytest.mark.parametrize("name", ["files", "their_versions", "our_versions"])
+def test_laid_tables_are_those_of_the_sql_text(spark, name):
+    laid = fixtures.catalog(spark, SF)[name]
+    text = spark.sql(fixtures._for("spark", fixtures.TABLES[name]))
+    assert laid.dtypes == text.dtypes
+    assert laid.exceptAll(text).isEmpty() and text.exceptAll(laid).isEmpty()
+
+
+def test_laid_tables_of_ties_and_nulls(spark, tmp_path):
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate timestamp"
+    rows = [(k, p, s, 1, q, float(x), 0.0, 0.0, None if d is None else datetime(2000, 1, d)) for k in (1, 7, None) for p in (3, 23, None) for s in (2, None) for q in (-0.0, 0.0, 4.5, None) for x in (1, 2) for d in (None, 1, 2)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate timestamp"
+    spark.createDataFrame([(1, 5, "1-URGENT", None), (7, None, None, None), (15, 2, "2-HIGH", datetime(1990, 1, 1)), (None, 1, "x", None)], orders).write.parquet(f"{tmp_path}/orders.parquet")
+    for name in fixtures.BASE:
+        if name not in ("lineitem", "orders"):
+            (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    cat = fixtures.catalog(spark, str(tmp_path))
+    for name in ("versions", "files", "their_versions", "our_versions"):
+        text = spark.sql(fixtures._for("spark", fixtures.TABLES[name]))
+        assert cat[name].exceptAll(text).isEmpty() and text.exceptAll(cat[name]).isEmpty(), name
+        text.createOrReplaceTempView(name)
