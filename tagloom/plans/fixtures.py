@@ -95,6 +95,15 @@ def _files(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     return orders.sparkSession.sql(text, laid=laid, seen=seen)
 
 
+def _placements(lineitem: DataFrame) -> DataFrame:
+    """The table placements of the SQL text."""
+    columns = re.match(r"SELECT (.* AS device),(.* AS directory),.* AS file_id,\s*min\((.*)\) AS physical_path FROM lineitem WHERE (.*) GROUP BY", TABLES["placements"], re.S)
+    device, directory, path, where = columns.groups()
+    laid = _dealt(lineitem.where(where), "l_orderkey", "l_partkey", "l_suppkey")
+    named = laid.select(F.expr(device), F.expr(directory), _file_id("l_orderkey").alias("file_id"), F.expr(path).alias("path"))
+    return named.groupBy("device", "directory", "file_id").agg(F.min("path").alias("physical_path"))
+
+
 def _their_versions(versions: DataFrame) -> DataFrame:
     """The table their_versions of the SQL text, in a form whose union keeps the layout."""
     old = versions.where("not (file_id like '6%' and version_number > 1)").withColumn("observed_at", F.col("observed_at") + 1)
@@ -109,7 +118,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     for name in BASE:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     lineitem, orders = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("lineitem", "orders"))
-    own = {"versions": lambda: _versions(lineitem), "files": lambda: _files(orders, lineitem), "their_versions": lambda: _their_versions(out["versions"])}
+    own = {"versions": lambda: _versions(lineitem), "files": lambda: _files(orders, lineitem), "placements": lambda: _placements(lineitem), "their_versions": lambda: _their_versions(out["versions"])}
     out = {}
     for name, sql in TABLES.items():
         out[name] = own[name]() if name in own else spark.sql(_for("spark", sql))

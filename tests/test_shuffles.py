@@ -62,7 +62,12 @@ def test_manifests_and_previews_meet_where_they_lie(spark, name):
     assert _moved(spark, name) == 0
 
 
-@pytest.mark.parametrize("name", ["files", "their_versions", "our_versions"])
+@pytest.mark.parametrize("name", ["j11_directory_drift", "j12_drift_changes"])
+def test_drift_shuffles_only_by_place(spark, name):
+    assert _moved(spark, name) == 2
+
+
+@pytest.mark.parametrize("name", ["files", "placements", "their_versions", "our_versions"])
 def test_laid_tables_are_those_of_the_sql_text(spark, name):
     laid = fixtures.catalog(spark, SF)[name]
     text = spark.sql(fixtures._for("spark", fixtures.TABLES[name]))
@@ -80,7 +85,7 @@ def test_laid_tables_of_ties_and_nulls(spark, tmp_path):
         if name not in ("lineitem", "orders"):
             (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
     cat = fixtures.catalog(spark, str(tmp_path))
-    for name in ("versions", "files", "their_versions", "our_versions"):
+    for name in ("versions", "files", "placements", "their_versions", "our_versions"):
         text = spark.sql(fixtures._for("spark", fixtures.TABLES[name]))
         assert cat[name].exceptAll(text).isEmpty() and text.exceptAll(cat[name]).isEmpty(), name
         text.createOrReplaceTempView(name)
