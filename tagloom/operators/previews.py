@@ -28,10 +28,18 @@ def _now(cat: dict) -> DataFrame:
     return latest_versions(cat["versions"].select("file_id", "version_number", "content_hash")).join(live, "file_id", "left_semi").select(*KEY)
 
 
+def _beside(cat: dict, previews: DataFrame) -> DataFrame:
+    """The content of each live file (file_id, content_hash, row, kind), where row says that
+    it has a preview. Both sides meet in one aggregation, which takes rows that lie by
+    file_id as they lie; a join by both columns would shuffle them."""
+    now = _now(cat).select(*KEY, F.lit(True).alias("now"), F.lit(False).alias("row"), F.lit(None).cast("string").alias("kind"))
+    known = previews.where("file_id is not null and content_hash is not null").select(*KEY, F.lit(False).alias("now"), F.lit(True).alias("row"), F.col("kind").cast("string").alias("kind"))
+    return now.unionAll(known).groupBy(*KEY).agg(F.max("now").alias("now"), F.max("row").alias("row"), F.max("kind").alias("kind")).where("now")
+
+
 def preview_lookup(cat: dict, previews: DataFrame) -> DataFrame:
     """(file_id, content_hash, state): hit, negative (known to have none) or miss."""
-    j = _now(cat).join(previews.select(*KEY, "kind", F.lit(True).alias("row")), KEY, "left")
-    return j.select(*KEY, F.when(F.col("row").isNull(), "miss").when(F.col("kind").isNull(), "negative").otherwise("hit").alias("state"))
+    return _beside(cat, previews).select(*KEY, F.when(~F.col("row"), "miss").when(F.col("kind").isNull(), "negative").otherwise("hit").alias("state"))
 
 
 def merge_previews(base: DataFrame, new: DataFrame) -> DataFrame:
@@ -48,7 +56,7 @@ def invalidate_previews(previews: DataFrame, changed: DataFrame) -> tuple[DataFr
 
 
 def preview_backlog(cat: dict, previews: DataFrame) -> DataFrame:
-    return _now(cat).join(previews.select(*KEY), KEY, "left_anti")
+    return _beside(cat, previews.select(*KEY, F.lit(None).cast("string").alias("kind"))).where(~F.col("row")).select(*KEY)
 
 
 def classify(df: DataFrame, content: str = "content", path: str = "path") -> DataFrame:

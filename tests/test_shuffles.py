@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import chunks as L
+from tagloom.operators import previews as K
 from tagloom.operators.textindex import containing
 from tagloom.plans import fixtures, registry
 from tagloom.sources.staging import steps
@@ -57,7 +58,7 @@ def test_postings_of_texts_are_not_shuffled_for_few_terms(spark):
         assert found.count() == 1000
 
 
-@pytest.mark.parametrize("name", ["h3_content_decisions", "h4_plan_pulls", "h5_plan_deletions", "h7_plan_moves", "h8_plan_file_sync"])
+@pytest.mark.parametrize("name", ["h3_content_decisions", "h4_plan_pulls", "h5_plan_deletions", "h7_plan_moves", "h8_plan_file_sync", "k1_preview_lookup", "k4_preview_backlog"])
 def test_manifests_and_previews_meet_where_they_lie(spark, name):
     assert _moved(spark, name) == 0
 
@@ -89,3 +90,12 @@ def test_laid_tables_of_ties_and_nulls(spark, tmp_path):
         text = spark.sql(fixtures._for("spark", fixtures.TABLES[name]))
         assert cat[name].exceptAll(text).isEmpty() and text.exceptAll(cat[name]).isEmpty(), name
         text.createOrReplaceTempView(name)
+
+
+def test_preview_states_of_null_and_other_keys(spark):
+    files = spark.createDataFrame([(k, False) for k in "abcd"] + [("e", True)], "id string, deleted boolean")
+    versions = spark.createDataFrame([(k, n, h) for k, n, h in (("a", 1, "x"), ("a", 2, "y"), ("b", 1, "x"), ("c", 1, None), ("d", 1, "z"), ("e", 1, "x"))], "file_id string, version_number int, content_hash string")
+    previews = spark.createDataFrame([("a", "x", "text"), ("b", "x", None), ("c", None, "text"), ("d", "z", "text"), ("e", "x", "text"), (None, "x", "text")], "file_id string, content_hash string, kind string")
+    cat = {"files": files, "versions": versions}
+    assert {tuple(r) for r in K.preview_lookup(cat, previews).collect()} == {("a", "y", "miss"), ("b", "x", "negative"), ("c", None, "miss"), ("d", "z", "hit")}
+    assert {tuple(r) for r in K.preview_backlog(cat, previews).collect()} == {("a", "y"), ("c", None)}
