@@ -1,20 +1,22 @@
 """Removal of byte strings that repeat anywhere in the corpus.
 
-A window of 200 bytes repeats if the same bytes start at another place too. Windows are
-narrowed down by content-defined anchors, so that only what may repeat is looked at:
+A window of 200 bytes repeats if the same bytes start at another place too. Ranges of
+windows that share a key are narrowed down, so that only what may repeat is looked at:
 
 1. leaders: each window has one leading 32-byte gram (the smallest hash in it); a window
    can only repeat if its leader occurs twice;
-2. cores: of those, each window's bytes from its first to its last anchor (smallest hashes
-   of its first and last part) must occur twice;
-3. covers: consecutive windows of one core form a run; runs whose whole bytes are equal
-   repeat as a whole and are settled by one key, a cryptographic digest of the bytes;
-4. windows: only where one core has different covers are single windows compared, one
-   set for each different cover, by a difference-cover sort of their suffixes.
-
-Equal windows have equal leaders and cores at equal offsets, so nothing is missed, and a
-chance collision of the hashes in 1 and 2 only leaves more to compare. Texts with a repeated
-leader are written once, bucketed by row; later joins read them in place.
+2. cores: each window's bytes from its first to its last anchor (smallest hashes of its
+   first and last part) must occur twice;
+3. blocks: windows of one core are cut at the same distances from the core, into blocks of
+   16 and then of 2 windows; the bytes that all windows of a block hold must occur twice;
+4. windows: what is left is compared by a difference-cover sort of the windows' suffixes.
+
+At each step ranges whose whole bytes (the cover) are equal repeat as a whole and are
+settled by one key, a cryptographic digest of the bytes; one of them goes on to be compared
+with the others of its key, if that has different covers. Ranges that are alone with their
+key end there. Equal windows have equal leaders, cores at equal offsets and equal blocks, so
+nothing is missed, and a chance collision of a key only leaves more to compare. Texts with a
+repeated leader are written once, bucketed by row; later joins read them in place.
 """
 
 from __future__ import annotations
@@ -32,27 +34,18 @@ from .common import delete, discard, scratch, shared_dir, shuffles_given_up, sta
 from .suffix_sort import Reach, repeated, triples
 
 LENGTH = 200
-PRIMES = (2147483647, 2147483629)
-BASES = (48271, 69621)
-_TABLES: dict = {}
-
-
-def _tables(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Powers and inverse powers of the bases up to n, kept for the next text."""
-    size = 1 << max(16, int(n - 1).bit_length())
-    if size not in _TABLES:
-        made = []
-        for base, p in zip(BASES, PRIMES):
-            both = []
-            for b in (base, pow(base, -1, p)):
-                out = np.ones(1, np.int64)
-                while len(out) < size + 1:
-                    out = np.concatenate([out, out * pow(b, len(out), p) % p])
-                both.append(out[: size + 1])
-            made.append(tuple(both))
-        _TABLES.clear()
-        _TABLES[size] = made
-    return _TABLES[size]
+BLOCKS = (16, 2)
+BASE = 0x9E3779B97F4A7C15  # odd, so that its powers can be undone modulo 2^64
+BYTES = np.random.default_rng(3).integers(0, 1 << 64, 256, np.uint64)
+_TABLES: list[np.ndarray] = []
+
+
+def _tables(n: int) -> list[np.ndarray]:
+    """Powers and inverse powers of the base up to n at least, kept for the next text."""
+    if not _TABLES or len(_TABLES[0]) <= n:
+        size = 1 << max(16, n.bit_length())
+        _TABLES[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64))]) for b in (BASE, pow(BASE, -1, 1 << 64))]
+    return _TABLES
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,24 +56,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """64-bit hashes of any ranges of one text, from sums of powers modulo two primes."""
+    """64-bit hashes of any ranges of one text, from sums of powers modulo 2^64."""
 
     def __init__(self, data: bytes):
-        x = np.frombuffer(data, np.uint8).astype(np.int64) + 1
-        self.n, self.inverse, self.sums = len(x), [], []
-        for (power, inverse), p in zip(_tables(len(x) + 1), PRIMES):
-            self.sums.append(np.concatenate([[0], np.cumsum(x * power[: len(x)] % p)]))
-            self.inverse.append(inverse)
+        x = np.frombuffer(data, np.uint8)
+        self.n = len(x)
+        power, self.inverse = _tables(self.n + 1)
+        self.sums = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(BYTES[x] * power[: self.n], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = [(s[end] - s[start]) % p * i[start] % p for s, i, p in zip(self.sums, self.inverse, PRIMES)]
-        return _mix(_mix((h[0] << 31 | h[1]).astype(np.int64)) + np.asarray(end - start).astype(np.uint64))
+        return _mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+
+    def grams(self, size: int) -> np.ndarray:
+        """The hash of each ``size`` bytes."""
+        return _mix((self.sums[size:] - self.sums[:-size]) * self.inverse[: self.n - size + 1] + np.uint64(size))
 
 
 def _anchors(h: Hashes, gram: int, span: int) -> np.ndarray:
     """For each start of ``span`` bytes the place of the smallest gram hash within them."""
     at = np.arange(h.n - gram + 1)
-    packed = (h(at, at + gram) >> np.uint64(32) << np.uint64(31)) | at.astype(np.uint64)
+    packed = (h.grams(gram) >> np.uint64(32) << np.uint64(31)) | at.astype(np.uint64)
     width, have = span - gram + 1, 1
     out = packed
     while have < width:
@@ -135,16 +131,70 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'int'}" for f in schema)
 
 
-def _places(ranges: list[dict]) -> np.ndarray:
-    """All starts of the given ranges, ascending and once each."""
-    ranges = sorted((r["a"], r["b"]) for r in ranges)
-    out, upto = [], -1
-    for a, b in ranges:
-        a = max(a, upto + 1)
-        if a <= b:
-            out.append(np.arange(a, b + 1))
-            upto = b
-    return np.concatenate(out)
+#: Ranges of windows that share a key: first is the place that the distances of its windows
+#: count from, n the number of ranges that this one stands for (2 for more than that too).
+RANGES = _schema(key="long", cover="long", cover2="long", a="int", b="int", first="int", n="int")
+
+
+def _digests(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in parts), np.int64).reshape(-1, 2)
+
+
+def _leader_ranges(length: int):
+    def make(text: bytes, ranges: list[dict]) -> tuple[np.ndarray, ...]:
+        key, a, b = (np.array([r[k] for r in ranges], np.int64) for k in ("g", "a", "b"))
+        cover = _digests([text[r["a"] : r["b"] + length] for r in ranges])
+        return key, cover[:, 0], cover[:, 1], a, b, a, np.ones(len(a), np.int64)
+
+    return make
+
+
+def _core_ranges(length: int, core: int, span: int):
+    def make(text: bytes, ranges: list[dict]) -> tuple[np.ndarray, ...]:
+        h = Hashes(text)
+        ends = _anchors(h, core, span)
+        ranges = sorted((r["a"], r["b"], r["n"]) for r in ranges)
+        at = np.concatenate([np.arange(a, b + 1) for a, b, _ in ranges])
+        n = np.repeat([n for *_, n in ranges], [b + 1 - a for a, b, _ in ranges])
+        first, last = ends[at], ends[at + length - span]
+        i, j = _runs(first, last, n, at - np.arange(len(at)))
+        a, b, first, last = at[i], at[j], first[i], last[i]
+        cover = _digests([text[x:y] for x, y in zip(a.tolist(), (b + length).tolist())])
+        return h(first, last + core).view(np.int64), cover[:, 0], cover[:, 1], a, b, first, n[i]
+
+    return make
+
+
+def _block_ranges(length: int, size: int):
+    def make(text: bytes, ranges: list[dict]) -> tuple[np.ndarray, ...]:
+        cut = []
+        for r in ranges:
+            a, b, first, n = r["a"], r["b"], r["first"], r["n"]
+            cut += [(s, max(a, s), min(b, s + size - 1), first, n) for s in range(first + (a - first) // size * size, b + 1, size)]
+        # all windows of a block hold the bytes from the last start to the first end
+        inner = b"".join(hashlib.blake2b(text[s + size - 1 : s + length], digest_size=8).digest() for s, *_ in cut)
+        cover = _digests([text[a : b + length] for _, a, b, *_ in cut])
+        _, a, b, first, n = np.array(cut, np.int64).T
+        return np.frombuffer(inner, np.int64), cover[:, 0], cover[:, 1], a, b, first, n
+
+    return make
+
+
+def _settled(ranges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of ranges those that repeat as a whole (row, a, b), and one range for each cover of the
+    keys that have several covers, as lists: (row, ranges)."""
+    ranges = stage(ranges, f"repeats-{name}")
+    place = F.struct("row", "a", "b", "first")
+    classes = ranges.groupBy("cover", "cover2").agg(F.min("key").alias("key"), F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.count("*").alias("m"), F.min(place).alias("one"))
+    classes = stage(classes, "repeats-classes")
+    again = classes.where("m > 1").select("cover", "cover2")
+    whole = stage(ranges.where("n = 1").select("cover", "cover2", "row", "a", "b").join(again, ["cover", "cover2"], "left_semi").select("row", "a", "b"), f"repeats-whole-{name}")
+    discard(ranges.sparkSession, f"repeats-{name}")
+    mixed = classes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    apart = classes.join(mixed, "key", "left_semi").select("one.row", F.struct("one.a", "one.b", "one.first", "n").alias("r")).groupBy("row").agg(F.collect_list("r").alias("ranges"))
+    apart = stage(apart, f"repeats-apart-{name}")
+    discard(ranges.sparkSession, "repeats-classes")
+    return whole, apart
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -187,7 +237,7 @@ def _remove_repeats(docs: DataFrame, length: int, name: str) -> DataFrame:
     # both written by themselves: a leader that a third of all texts hold can then be split
     # in the join, and the shuffles of each step are gone before the next one starts
     twice = stage(led.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "repeats-twice")
-    ranges = stage(led.join(twice, "g", "left_semi").groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "repeats-ranges")
+    ranges = stage(led.join(twice, "g", "left_semi").groupBy("row").agg(F.collect_list(F.struct("g", "a", "b")).alias("ranges")), "repeats-ranges")
 
     # rows that may lose something, bucketed by number: later joins read them in place
     found = rows.join(ranges, "row")
@@ -196,33 +246,16 @@ def _remove_repeats(docs: DataFrame, length: int, name: str) -> DataFrame:
     corpus = spark.table(name)
     discard(spark, "repeats-rows", "repeats-leaders", "repeats-twice", "repeats-ranges")
 
-    def cores(text: bytes, ranges: list[dict]):
-        h = Hashes(text)
-        ends = _anchors(h, core, span)
-        at = _places(ranges)
-        first, last = ends[at], ends[at + length - span]
-        i, j = _runs(first, last, at - np.arange(len(at)))
-        a, b, first, last = at[i], at[j], first[i], last[i]
-        inner = h(first, last + core)
-        whole = b"".join(hashlib.blake2b(text[i:j], digest_size=16).digest() for i, j in zip(a, b + length))
-        cover = np.frombuffer(whole, np.int64).reshape(-1, 2)
-        return inner.view(np.int64), cover[:, 0], cover[:, 1], a, b
-
-    schema = _schema(core="long", cover="long", cover2="long", a="int", b="int")
-    cored = stage(corpus.select("row", "text", "ranges").mapInArrow(_rows(schema, cores), _ddl(schema)), "repeats-cores")
-    classes = cored.groupBy("cover", "cover2").agg(F.min("core").alias("core"), F.count("*").alias("n"), F.min(F.struct("row", "a", "b")).alias("one"))
-    classes = stage(classes, "repeats-classes")
-    mixed = classes.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
-    whole = cored.select("cover", "cover2", "row", "a", "b").join(classes.where("n > 1").select("cover", "cover2"), ["cover", "cover2"], "left_semi").select("row", "a", "b")
-    whole = stage(whole, "repeats-whole")
-    discard(spark, "repeats-cores")
-    apart = classes.join(mixed, "core", "left_semi").select("one.row", F.struct("one.a", "one.b", F.col("n").cast("int").alias("n")).alias("r")).groupBy("row").agg(F.collect_list("r").alias("ranges"))
+    texts = corpus.select("row", "text")
+    lost, apart = _settled(corpus.select("row", "text", "ranges").mapInArrow(_rows(RANGES, _leader_ranges(length)), _ddl(RANGES)), "leader-ranges")
+    for step, make in (("cores", _core_ranges(length, core, span)), *[(f"blocks{size}", _block_ranges(length, size)) for size in BLOCKS]):
+        whole, apart = _settled(texts.join(apart, "row").mapInArrow(_rows(RANGES, make), _ddl(RANGES)), step)
+        lost = lost.union(whole)
 
     schema = _schema(at="int", n="int", edge="long", k0="long", k1="long", k2="long")
-    places = corpus.select("row", "text").join(apart, "row").mapInArrow(_rows(schema, triples(Reach(length))), _ddl(schema))
+    places = texts.join(apart, "row").mapInArrow(_rows(schema, triples(Reach(length))), _ddl(schema))
     single = repeated(stage(places, "repeats-places"), length).select("row", F.col("at").alias("a"), F.col("at").alias("b"))
-    lost = whole.union(single)
-    discard(spark, "repeats-classes")
+    lost = lost.union(single)
     gone = lost.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
