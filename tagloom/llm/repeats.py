@@ -96,20 +96,25 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(change)) - 1
 
 
+def _lists(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
+    """The fields of each row's list of ranges, an array each."""
+    at = column.offsets.to_numpy().tolist()
+    fields = {f.name: column.values.field(k).to_numpy() for k, f in enumerate(column.type.value_type)}
+    for a, b in zip(at, at[1:]):
+        yield {k: v[a:b] for k, v in fields.items()}
+
+
 def _rows(schema: pa.Schema, make):
-    """A mapInArrow function: make(row, text, *more) gives the columns of a text's rows,
-    the row's number excepted."""
+    """A mapInArrow function: make(text, ranges) gives the columns of a text's rows, the
+    row's number excepted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            rest = [c.to_pylist() for c in batch.columns[2:]]
             out: list[list] = [[] for _ in schema]
             n = 0
-            for k, (row, text) in enumerate(zip(batch.column(0).to_pylist(), texts)):
-                got = make(text or b"", *[c[k] for c in rest])
-                if got is None or not len(got[0]):
-                    continue
+            for row, text, ranges in zip(batch.column(0).to_pylist(), texts, _lists(batch.column(2))):
+                got = make(text, ranges)
                 out[0].append(np.full(len(got[0]), row))
                 for o, g in zip(out[1:], got):
                     o.append(g)
@@ -123,6 +128,40 @@ def _rows(schema: pa.Schema, make):
     return run
 
 
+def _leaders(length: int, gram: int, schema: pa.Schema, together: int = 1 << 15):
+    """A mapInArrow function of (row, text): leaders with the first and last window that each
+    has. Short texts are hashed together, windows over their ends left out."""
+
+    def of(rows: list[int], texts: list[bytes]) -> pa.RecordBatch:
+        sizes = np.array([len(t) for t in texts])
+        ends = np.cumsum(sizes)
+        h = Hashes(b"".join(texts))
+        lead = _anchors(h, gram, length)
+        owner = np.repeat(np.arange(len(texts)), sizes)[: len(lead)]
+        at = np.flatnonzero(np.arange(len(lead)) + length <= ends[owner])
+        i, j = _runs(lead[at], owner[at])
+        a, b, owner = at[i], at[j], owner[at[i]]
+        begin, first = (ends - sizes)[owner], lead[a]
+        cols = (np.array(rows)[owner], h(first, first + gram).view(np.int64), (a - begin).astype(np.int32), (b - begin).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, texts, size = [], [], 0
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                if len(text) >= length:
+                    rows.append(row)
+                    texts.append(text)
+                    size += len(text)
+                if size > together:
+                    yield of(rows, texts)
+                    rows, texts, size = [], [], 0
+        if rows:
+            yield of(rows, texts)
+
+    return run
+
+
 def _schema(**cols: str) -> pa.Schema:
     return pa.schema([("row", pa.int64())] + [(k, {"long": pa.int64(), "int": pa.int32()}[v]) for k, v in cols.items()])
 
@@ -136,46 +175,48 @@ def _ddl(schema: pa.Schema) -> str:
 RANGES = _schema(key="long", cover="long", cover2="long", a="int", b="int", first="int", n="int")
 
 
-def _digests(parts: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in parts), np.int64).reshape(-1, 2)
+def _digests(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    whole = b"".join([hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())])
+    return np.frombuffer(whole, np.int64).reshape(-1, 2)
 
 
 def _leader_ranges(length: int):
-    def make(text: bytes, ranges: list[dict]) -> tuple[np.ndarray, ...]:
-        key, a, b = (np.array([r[k] for r in ranges], np.int64) for k in ("g", "a", "b"))
-        cover = _digests([text[r["a"] : r["b"] + length] for r in ranges])
-        return key, cover[:, 0], cover[:, 1], a, b, a, np.ones(len(a), np.int64)
+    def make(text: bytes, ranges: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        a, b = ranges["a"], ranges["b"]
+        cover = _digests(text, a, b + length)
+        return ranges["g"], cover[:, 0], cover[:, 1], a, b, a, np.ones(len(a), np.int64)
 
     return make
 
 
 def _core_ranges(length: int, core: int, span: int):
-    def make(text: bytes, ranges: list[dict]) -> tuple[np.ndarray, ...]:
+    def make(text: bytes, ranges: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
         h = Hashes(text)
         ends = _anchors(h, core, span)
-        ranges = sorted((r["a"], r["b"], r["n"]) for r in ranges)
-        at = np.concatenate([np.arange(a, b + 1) for a, b, _ in ranges])
-        n = np.repeat([n for *_, n in ranges], [b + 1 - a for a, b, _ in ranges])
+        order = np.argsort(ranges["a"])
+        a, size = ranges["a"][order].astype(np.int64), (ranges["b"] + 1 - ranges["a"])[order]
+        at = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+        n = np.repeat(ranges["n"][order], size)
         first, last = ends[at], ends[at + length - span]
         i, j = _runs(first, last, n, at - np.arange(len(at)))
         a, b, first, last = at[i], at[j], first[i], last[i]
-        cover = _digests([text[x:y] for x, y in zip(a.tolist(), (b + length).tolist())])
+        cover = _digests(text, a, b + length)
         return h(first, last + core).view(np.int64), cover[:, 0], cover[:, 1], a, b, first, n[i]
 
     return make
 
 
 def _block_ranges(length: int, size: int):
-    def make(text: bytes, ranges: list[dict]) -> tuple[np.ndarray, ...]:
-        cut = []
-        for r in ranges:
-            a, b, first, n = r["a"], r["b"], r["first"], r["n"]
-            cut += [(s, max(a, s), min(b, s + size - 1), first, n) for s in range(first + (a - first) // size * size, b + 1, size)]
+    def make(text: bytes, ranges: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        a, b, first = (ranges[k].astype(np.int64) for k in ("a", "b", "first"))
+        start = first + (a - first) // size * size
+        blocks = (b - start) // size + 1
+        i = np.repeat(np.arange(len(a)), blocks)
+        start = start[i] + size * (np.arange(len(i)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+        a, b = np.maximum(a[i], start), np.minimum(b[i], start + size - 1)
         # all windows of a block hold the bytes from the last start to the first end
-        inner = b"".join(hashlib.blake2b(text[s + size - 1 : s + length], digest_size=8).digest() for s, *_ in cut)
-        cover = _digests([text[a : b + length] for _, a, b, *_ in cut])
-        _, a, b, first, n = np.array(cut, np.int64).T
-        return np.frombuffer(inner, np.int64), cover[:, 0], cover[:, 1], a, b, first, n
+        inner, cover = _digests(text, start + size - 1, start + length), _digests(text, a, b + length)
+        return inner[:, 0], cover[:, 0], cover[:, 1], a, b, first[i], ranges["n"][i]
 
     return make
 
@@ -184,14 +225,14 @@ def _settled(ranges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Of ranges those that repeat as a whole (row, a, b), and one range for each cover of the
     keys that have several covers, as lists: (row, ranges)."""
     ranges = stage(ranges, f"repeats-{name}")
-    place = F.struct("row", "a", "b", "first")
-    classes = ranges.groupBy("cover", "cover2").agg(F.min("key").alias("key"), F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.count("*").alias("m"), F.min(place).alias("one"))
+    one = [F.first(k).alias(k) for k in ("key", "row", "a", "b", "first")]  # of one and the same range, whichever; fixed once it is written
+    classes = ranges.groupBy("cover", "cover2").agg(*one, F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.count("*").alias("m"))
     classes = stage(classes, "repeats-classes")
     again = classes.where("m > 1").select("cover", "cover2")
     whole = stage(ranges.where("n = 1").select("cover", "cover2", "row", "a", "b").join(again, ["cover", "cover2"], "left_semi").select("row", "a", "b"), f"repeats-whole-{name}")
     discard(ranges.sparkSession, f"repeats-{name}")
     mixed = classes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    apart = classes.join(mixed, "key", "left_semi").select("one.row", F.struct("one.a", "one.b", "one.first", "n").alias("r")).groupBy("row").agg(F.collect_list("r").alias("ranges"))
+    apart = classes.join(mixed, "key", "left_semi").select("row", F.struct("a", "b", "first", "n").alias("r")).groupBy("row").agg(F.collect_list("r").alias("ranges"))
     apart = stage(apart, f"repeats-apart-{name}")
     discard(ranges.sparkSession, "repeats-classes")
     return whole, apart
@@ -224,16 +265,8 @@ def _remove_repeats(docs: DataFrame, length: int, name: str) -> DataFrame:
     rows = stage(numbered, "repeats-rows")
     digests = stage(rows.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("kept_sha256")), "repeats-digests")
 
-    def leaders(text: bytes):
-        if len(text) < length:
-            return None
-        h = Hashes(text)
-        lead = _anchors(h, gram, length)
-        a, b = _runs(lead)
-        return h(lead[a], lead[a] + gram).view(np.int64), a, b
-
     schema = _schema(g="long", a="int", b="int")
-    led = stage(rows.select("row", "text").mapInArrow(_rows(schema, leaders), _ddl(schema)), "repeats-leaders")
+    led = stage(rows.select("row", "text").mapInArrow(_leaders(length, gram, schema), _ddl(schema)), "repeats-leaders")
     # both written by themselves: a leader that a third of all texts hold can then be split
     # in the join, and the shuffles of each step are gone before the next one starts
     twice = stage(led.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "repeats-twice")
@@ -253,7 +286,12 @@ def _remove_repeats(docs: DataFrame, length: int, name: str) -> DataFrame:
         lost = lost.union(whole)
 
     schema = _schema(at="int", n="int", edge="long", k0="long", k1="long", k2="long")
-    places = texts.join(apart, "row").mapInArrow(_rows(schema, triples(Reach(length))), _ddl(schema))
+    sort = triples(Reach(length))
+
+    def windows(text: bytes, ranges: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        return sort(text, [dict(zip("abn", r)) for r in zip(*(ranges[k].tolist() for k in "abn"))])
+
+    places = texts.join(apart, "row").mapInArrow(_rows(schema, windows), _ddl(schema))
     single = repeated(stage(places, "repeats-places"), length).select("row", F.col("at").alias("a"), F.col("at").alias("b"))
     lost = lost.union(single)
     gone = lost.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
@@ -262,12 +300,9 @@ def _remove_repeats(docs: DataFrame, length: int, name: str) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[], [], [], []]
-            for text, ranges in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+            for text, ranges in zip(batch.column(1).cast(pa.binary()).to_pylist(), _lists(batch.column(2))):
                 data = np.frombuffer(text, np.uint8)
-                edge = np.zeros(len(data) + 1, np.int64)
-                for r in ranges or ():
-                    edge[r["a"]] += 1
-                    edge[r["b"] + length] -= 1
+                edge = np.bincount(ranges["a"], minlength=len(data) + 1) - np.bincount(ranges["b"] + length, minlength=len(data) + 1)
                 off = np.cumsum(edge)[:-1] > 0
                 cols[0].append(len(data))
                 cols[1].append(int(off.sum()))

@@ -584,3 +584,40 @@ def test_rows_survive_another_split_of_the_files(spark, tmp_path, monkeypatch, n
         assert sorted(map(str, run(docs).collect())) == before and len(before) == 80
     finally:
         spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_repeats_of_copies_with_changes(spark, monkeypatch):
+    """Few places are left to the sort of suffixes where copies differ by single words."""
+    rng = random.Random(8)
+    base = [words(rng, 700) for _ in range(4)]
+    data = []
+    for b in base:
+        for k in range(3):
+            w = b.split()
+            for at in range(40 + 30 * k, 700, 130):
+                w[at] = f"{k}{at}"
+            data.append(" ".join(w))
+    raw, seen, stage = [t.encode() for t in data], {}, repeats.stage
+
+    def counted(df, name):
+        out = stage(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(repeats, "stage", counted)
+    count = Counter(b[i:i + 200] for b in raw for i in range(len(b) - 199))
+    got = {r.doc_id: r for r in repeats.remove_repeats(table(spark, data)).collect()}
+    for i, b in enumerate(raw):
+        off = {k for s in range(len(b) - 199) if count[b[s:s + 200]] > 1 for k in range(s, s + 200)}
+        assert got[i].kept_sha256 == hashlib.sha256(bytes(c for k, c in enumerate(b) if k not in off)).hexdigest()
+    assert 0 < seen["repeats-places"] < sum(map(len, raw)) / 4
+    print("places", seen["repeats-places"], "bytes", sum(map(len, raw)))
+
+
+def test_hashes_of_ranges_know_no_place():
+    rng = random.Random(9)
+    part = bytes(rng.randrange(256) for _ in range(70))
+    for before in (0, 1, 999, 70_000):
+        h = repeats.Hashes(b"x" * before + part + b"y")
+        assert h(np.array([before + 3]), np.array([before + 60])) == repeats.Hashes(part)(np.array([3]), np.array([60]))
+        assert h.grams(32)[before] == h(np.array([before]), np.array([before + 32]))[0] == repeats.Hashes(part).grams(32)[0]
