@@ -611,7 +611,6 @@ def test_repeats_of_copies_with_changes(spark, monkeypatch):
         off = {k for s in range(len(b) - 199) if count[b[s:s + 200]] > 1 for k in range(s, s + 200)}
         assert got[i].kept_sha256 == hashlib.sha256(bytes(c for k, c in enumerate(b) if k not in off)).hexdigest()
     assert 0 < seen["repeats-places"] < sum(map(len, raw)) / 4
-    print("places", seen["repeats-places"], "bytes", sum(map(len, raw)))
 
 
 def test_hashes_of_ranges_know_no_place():
