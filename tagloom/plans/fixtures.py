@@ -5,11 +5,13 @@ out once."""
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+PART_ROWS = 100_000  # rows of lineitem or orders in a task
 BASE = ("region", "nation", "customer", "part", "orders", "lineitem", "events", "documents", "pages")
 
 TABLES = {
@@ -56,12 +58,19 @@ def _for(engine: str, sql: str) -> str:
     return re.sub(r"\{ms:(\w+)\}", to, sql)
 
 
-def _dealt(table: DataFrame, key: str, *columns: str) -> DataFrame:
+def _parts(*tables: DataFrame) -> int:
+    """Partitions that the tables are dealt to: as many as a shuffle has, and more where a task
+    would get over PART_ROWS rows, so that what a task holds does not grow with the tables.
+    Rows are counted from the files' footers."""
+    n = int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(n, *(math.ceil(t.count() / PART_ROWS) for t in tables))
+
+
+def _dealt(table: DataFrame, n: int, key: str, *columns: str) -> DataFrame:
     """Columns of a given table, dealt by the file id that is made of ``key``. Only they are
     shuffled, and the ids and texts that are made of them come after it.
 
     The number of partitions is fixed, as exploded chunks are many times what is shuffled."""
-    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return table.select(key, *columns).repartition(n, _file_id(key))
 
 
@@ -69,7 +78,7 @@ def _file_id(key: str):
     return F.expr(f"md5(concat('f',CAST({key} AS STRING)))")
 
 
-def _versions(lineitem: DataFrame) -> DataFrame:
+def _versions(lineitem: DataFrame, n: int) -> DataFrame:
     """The table versions of the SQL text. The numbering, aggregations and joins by file_id
     (or by more columns) all find the rows where they need them, so the table is shuffled
     once in a query. Rows that are alike in the columns of ``order`` give the same version
@@ -80,26 +89,26 @@ def _versions(lineitem: DataFrame) -> DataFrame:
     content_hash, rest = F.expr(columns[2]), columns[3].split(",\n")
     # no name of the given table stays above the window, and none gets a qualifier: a union
     # keeps a layout that it finds under one and the same name in all its branches
-    laid = _dealt(lineitem, "l_orderkey", *order).select(_file_id("l_orderkey").alias("file_id"), content_hash.alias("content_hash"), *order)
+    laid = _dealt(lineitem, n, "l_orderkey", *order).select(_file_id("l_orderkey").alias("file_id"), content_hash.alias("content_hash"), *order)
     numbered = laid.withColumn("version_number", F.row_number().over(Window.partitionBy("file_id").orderBy(*order)))
     return numbered.selectExpr("file_id", "version_number", "content_hash", *rest)
 
 
-def _files(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+def _files(orders: DataFrame, lineitem: DataFrame, n: int) -> DataFrame:
     """The table files of the SQL text. Versions are numbered by l_shipdate first, so the
     latest one of a file was observed at its newest date: two columns of lineitem do."""
     at = _for("spark", "{ms:l_shipdate} AS at")
-    seen = _dealt(lineitem, "l_orderkey", "l_shipdate").select(_file_id("l_orderkey").alias("file_id"), F.expr(at)).groupBy("file_id").agg(F.max("at").alias("o"))
-    laid = _dealt(orders, "o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+    seen = _dealt(lineitem, n, "l_orderkey", "l_shipdate").select(_file_id("l_orderkey").alias("file_id"), F.expr(at)).groupBy("file_id").agg(F.max("at").alias("o"))
+    laid = _dealt(orders, n, "o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
     text = _for("spark", TABLES["files"]).replace("FROM orders)", "FROM {laid})").replace(LAST, "{seen}")
     return orders.sparkSession.sql(text, laid=laid, seen=seen)
 
 
-def _placements(lineitem: DataFrame) -> DataFrame:
+def _placements(lineitem: DataFrame, n: int) -> DataFrame:
     """The table placements of the SQL text."""
     columns = re.match(r"SELECT (.* AS device),(.* AS directory),.* AS file_id,\s*min\((.*)\) AS physical_path FROM lineitem WHERE (.*) GROUP BY", TABLES["placements"], re.S)
     device, directory, path, where = columns.groups()
-    laid = _dealt(lineitem.where(where), "l_orderkey", "l_partkey", "l_suppkey")
+    laid = _dealt(lineitem.where(where), n, "l_orderkey", "l_partkey", "l_suppkey")
     named = laid.select(F.expr(device), F.expr(directory), _file_id("l_orderkey").alias("file_id"), F.expr(path).alias("path"))
     return named.groupBy("device", "directory", "file_id").agg(F.min("path").alias("physical_path"))
 
@@ -118,7 +127,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     for name in BASE:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     lineitem, orders = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("lineitem", "orders"))
-    own = {"versions": lambda: _versions(lineitem), "files": lambda: _files(orders, lineitem), "placements": lambda: _placements(lineitem), "their_versions": lambda: _their_versions(out["versions"])}
+    n = _parts(lineitem, orders)
+    own = {"versions": lambda: _versions(lineitem, n), "files": lambda: _files(orders, lineitem, n), "placements": lambda: _placements(lineitem, n), "their_versions": lambda: _their_versions(out["versions"])}
     out = {}
     for name, sql in TABLES.items():
         out[name] = own[name]() if name in own else spark.sql(_for("spark", sql))

@@ -890,8 +890,12 @@ CL = f"{CP}, cl AS (SELECT 'r1' AS receiver, file_id, content_hash, \"offset\",
 def _chunk_log(cat):
     p = L.chunk_plan(cat["versions"])
     k = F.floor(F.col("offset") / L.CHUNK)
-    good = p.where(k % 3 != 2).select(F.lit("r1").alias("receiver"), "file_id", "content_hash", "offset", "length", (k * 10).alias("at"), F.lit("data").alias("msg"))
-    return good.union(good.withColumn("at", F.col("at") + 7)).union(good.withColumn("offset", F.col("offset") + 1)).union(good.withColumn("offset", F.col("offset") + (1 << 40)))
+    # each good reply, again 7 ms later, one that is misaligned and one past the end; a union of
+    # four tables would make the plan of chunks four times
+    reply = lambda by, later: F.struct((F.col("offset") + by).alias("offset"), (k * 10 + later).alias("at"))
+    replies = F.explode(F.array(reply(0, 0), reply(0, 7), reply(1, 0), reply(1 << 40, 0))).alias("r")
+    good = p.where(k % 3 != 2).select("file_id", "content_hash", "length", replies)
+    return good.select(F.lit("r1").alias("receiver"), "file_id", "content_hash", "r.offset", "length", "r.at", F.lit("data").alias("msg"))
 
 
 @query("l2_clean_chunks", f"WITH {CL} SELECT receiver, file_id, content_hash, \"offset\", min(\"at\") AS \"at\", min(length) AS length FROM cl GROUP BY 1, 2, 3, 4")
