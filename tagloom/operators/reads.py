@@ -31,7 +31,7 @@ def list_files(cat: dict, deleted: str = "exclude", short: bool = False) -> Data
 
 def version_history(versions: DataFrame, *more: Column) -> DataFrame:
     """(file_id, history) with the versions in order; ``more`` are further aggregates."""
-    return versions.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("version_number", "content_hash", "size"))).alias("history"), *more)
+    return versions.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("version_number", "content_hash", "size"))).alias("history"), *more)
 
 
 def record_versions(versions: DataFrame, new: DataFrame) -> DataFrame:

@@ -65,8 +65,13 @@ def plan_file_sync(ours: DataFrame, theirs: DataFrame, by: tuple = ()) -> DataFr
     A newer tombstone comes first, then a newer restore, then move and content side by side.
     One join serves all; clocks of a file that we do not know count as 0. ``by`` names
     columns of both that tell several pairs of manifests apart; they lead the result."""
+    return _plan(_pair(ours, theirs, by), by)
+
+
+def _plan(pairs: DataFrame, by: tuple) -> DataFrame:
+    """The actions of plan_file_sync for pairs of rows, of which ours (o_*) may be missing."""
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    p = _pair(ours, theirs, by).where("t_latest_hash is not null").withColumn("decision", _decision())
+    p = pairs.where("t_latest_hash is not null").withColumn("decision", _decision())
     dead = F.coalesce(F.col("o_deleted"), F.lit(False))
     p = p.withColumn("kill", F.col("t_deleted") & ~dead & (F.col("t_deleted_at") > F.greatest(z("o_latest_observed_at"), z("o_restored_at"))))
     p = p.withColumn("raise", ~F.col("t_deleted") & dead & (F.col("t_restored_at") > z("o_deleted_at")))
@@ -136,6 +141,8 @@ def sweep_files(announced: DataFrame, pulls: DataFrame) -> DataFrame:
 
 
 PAIR = ("ours", "theirs")
+#: Columns of a manifest that a plan needs beside the hashes of its history.
+PLANNED = ("logical_path", "logical_path_modified_at", "deleted", "deleted_at", "restored_at", "latest_observed_at", "latest_hash", "latest_size")
 
 
 def bucket_digests(manifests: DataFrame, buckets: int) -> DataFrame:
@@ -168,12 +175,21 @@ def plan_fleet(manifests: DataFrame, pairs: DataFrame, buckets: int = 4096) -> D
 
     Buckets of files on which the two devices agree in all columns plan nothing and are not
     joined: first the digests of buckets are compared, then only rows of unequal buckets are
-    given out to the pairs. A device paired with itself plans nothing."""
+    given out to the pairs. A device paired with itself plans nothing.
+
+    Both rows of a pair meet in one aggregation by pair and file, so manifests that lie by
+    file_id are read once for both sides and not shuffled."""
     with steps(manifests.sparkSession) as keep:
         apart = stage(unequal_buckets(manifests, pairs.where("ours <> theirs"), buckets), "apart")
-        keyed = manifests.withColumn("bucket", _bucket(buckets))
-        sides = [keyed.join(apart, (F.col("device") == F.col(side)) & (keyed["bucket"] == apart["bucket"])).drop("device", "bucket") for side in PAIR]
-        return keep(plan_file_sync(sides[0], sides[1], PAIR), "fleet-plan")
+        sides = F.explode(F.array(*[F.struct(F.col(side).alias("device"), F.lit(side == "ours").alias("own")) for side in PAIR]))
+        sides = apart.select(*PAIR, "bucket", sides.alias("s")).select(*PAIR, "bucket", "s.*")
+        knows = F.transform("history", lambda v: F.struct(v.content_hash.alias("content_hash"))).alias("history")
+        row = F.struct(*PLANNED, knows)
+        keyed = manifests.select("device", "file_id", _bucket(buckets), row.alias("row"))
+        met = keyed.join(sides, ["device", "bucket"]).groupBy(*PAIR, "file_id").agg(F.collect_list(F.when(F.col("own"), F.col("row"))).alias("o"), F.collect_list(F.when(~F.col("own"), F.col("row"))).alias("t"))
+        both = met.select(*PAIR, "file_id", "o", F.explode("t").alias("t")).select(*PAIR, "file_id", "t", F.explode_outer("o").alias("o"))
+        both = both.select(*PAIR, "file_id", *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "to" for c in (*PLANNED, "history")])
+        return keep(_plan(both, PAIR), "fleet-plan")
 
 
 def _newest(snapshots: list[DataFrame], key: list[str]) -> DataFrame:

@@ -572,7 +572,8 @@ def _fleet(cat):
     """Manifests of three devices: a and b as in the queries above, c with a's state."""
     ours, theirs = _manifests(cat)
     same = [c for c in ours.columns if c in theirs.columns]
-    return ours.select(F.lit("a").alias("device"), *same).unionByName(theirs.select(F.lit("b").alias("device"), *same)).unionByName(ours.select(F.lit("c").alias("device"), *same))
+    twice = ours.select(F.explode(F.array(F.lit("a"), F.lit("c"))).alias("device"), *same)  # a union would make them twice
+    return twice.unionByName(theirs.select(F.lit("b").alias("device"), *same))
 
 
 @query("h8_plan_fleet", f"WITH {PLAN}, one AS (SELECT file_id, 'delete' AS action, NULL AS content_hash, NULL::BIGINT AS size, NULL AS path FROM p WHERE kill UNION ALL SELECT file_id, 'restore', content_hash, size, NULL FROM p WHERE up UNION ALL SELECT file_id, 'move', NULL, NULL, logical_path FROM p WHERE NOT td AND NOT kill AND NOT up AND known AND moved UNION ALL SELECT file_id, CASE WHEN decision = 'unknown' THEN 'pull_create' ELSE 'pull_change' END, content_hash, size, NULL FROM p WHERE NOT td AND NOT kill AND NOT up AND decision IN ('unknown', 'we_behind', 'divergent_theirs')) SELECT ours, 'b' AS theirs, one.* FROM one, (VALUES ('a'), ('c')) x(ours)")
